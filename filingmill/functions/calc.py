@@ -6,6 +6,8 @@ accounting bases and gives NULL when they differ.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -130,6 +132,12 @@ def lookup_key(
 
 # --------------------------------------------------------------- fiscal period
 
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 DATE_TEXT = r"^\s*(\d{1,2})-([A-Z]{3})-(\d{1,4})\s*$"
 
@@ -152,7 +160,18 @@ def fiscal_period(start: Column, end: Column, result_type: Column) -> Column:
     The fiscal year ends in March. A range of eleven months or more is annual;
     so is any row of type ``A``, even a quarter.
     """
-    d1, d2 = exchange_date(start), exchange_date(end)
+    dates = F.struct(
+        exchange_date(start).alias("d1"), exchange_date(end).alias("d2")
+    )
+    return bind(
+        dates,
+        lambda d: _period_of(d["d1"], d["d2"], start, end, result_type),
+    )
+
+
+def _period_of(
+    d1: Column, d2: Column, start: Column, end: Column, result_type: Column
+) -> Column:
     month, year = F.month(d2), F.year(d2)
     fiscal_year = F.when(month <= 3, year).otherwise(year + 1)
     label_year = F.concat(
