@@ -220,29 +220,29 @@ def fallback_narrative(findings: DataFrame) -> DataFrame:
     )
 
 
-def section_table(spark) -> DataFrame:
-    from filingmill.session import fixed_table
-
-    rows = [(i, k, t) for i, (k, t) in enumerate(R.REPORT_SECTIONS)]
-    return fixed_table(spark, ["section_pos", "report_section", "title"], rows)
-
-
-def findings_by_section(runs: DataFrame, findings: DataFrame, sections: DataFrame) -> DataFrame:
+def findings_by_section(
+    runs: DataFrame, findings: DataFrame,
+    sections: Sequence[tuple[str, str]] = tuple(R.REPORT_SECTIONS),
+) -> DataFrame:
     """Every report section of every run with its findings or a stub.
 
-    ``sections`` is the fixed list of report sections; each run is exploded
-    to it, then findings are joined.
+    Each run is exploded to the fixed list of sections, then the counts are
+    joined.
     """
-    keys = sections.agg(
-        F.array_sort(
-            F.collect_list(F.struct("section_pos", "report_section", "title"))
-        ).alias("listed")
+    listed = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("section_pos"),
+                F.lit(k).alias("report_section"), F.lit(t).alias("title"),
+            )
+            for i, (k, t) in enumerate(sections)
+        ]
     )
     counts = findings.groupBy(*RUN, "report_section").agg(
         F.count("*").alias("n_findings")
     )
-    grid = runs.select(*RUN).distinct().join(F.broadcast(keys)).select(
-        *RUN, F.explode("listed").alias("s")
+    grid = runs.select(*RUN).distinct().select(
+        *RUN, F.explode(listed).alias("s")
     ).select(*RUN, "s.*")
     stub = F.concat(
         F.lit("No supported findings were established for "), "title",
