@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from filingmill.rules import words as W
 
-SPACE = r"[\s\u00a0\ufeff]"
+# White space as the source texts define it.
+SPACE = r"[\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 YEAR = r"^(?:19|20)\d{2}$"
 DAY = r"^(?:0?[1-9]|[12]\d|3[01])$"
 
@@ -38,7 +43,7 @@ def ascii_words(alternatives: str) -> str:
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:
@@ -172,16 +177,19 @@ def meaningful_words(c: Column) -> Column:
 
 
 @F.pandas_udf("string")
-def _nfkc(texts: pd.Series) -> pd.Series:
+def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None if t is None else unicodedata.normalize("NFKC", t)
     )
 
 
-def evidence_normalise(c: Column, nfkc: bool = True) -> Column:
-    """Unify compatibility forms, hyphens, quotes and white space."""
-    text = _nfkc(c) if nfkc else c
-    text = F.translate(text, "\u00ad", "")
+def evidence_normalise(c: Column) -> Column:
+    """Unify hyphens, quotes and white space.
+
+    Compatibility forms are a separate step, ``nfkc``: a Python function
+    cannot be part of a higher-order function, so it is its own column.
+    """
+    text = F.translate(c, "\u00ad", "")
     text = F.translate(
         text, "\u2010\u2011\u2012\u2013\u2014\u201c\u201d\u2018\u2019", "-----\"\"''"
     )
@@ -223,12 +231,13 @@ def subject_supported(
     excerpt: Column,
     subjects: Sequence[Sequence[str]] = W.SUBJECT_PATTERNS,
     distance: int = W.SUBJECT_DISTANCE,
-    nfkc: bool = True,
 ) -> Column:
-    """Each subject of the claim stands near each of its numbers."""
-    compact = F.replace(
-        evidence_normalise(excerpt, nfkc), F.lit(","), F.lit("")
-    )
+    """Each subject of the claim stands near each of its numbers.
+
+    Pass an excerpt that went through ``nfkc`` where compatibility forms
+    matter.
+    """
+    compact = F.replace(evidence_normalise(excerpt), F.lit(","), F.lit(""))
     numbers = without_years_and_days(grouped_numbers(claim))
 
     def one(names: Sequence[str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions import calc
 from filingmill.functions import text as T
+from filingmill.functions.rows import compute_once
 from filingmill.operators.qa import exact_units
 from filingmill.rules import research as R
 from filingmill.rules import words as W
@@ -38,7 +39,7 @@ def in_scope(section: Column, claim: Column, scopes: Mapping = R.SECTION_SCOPE)
 
 def best_excerpt(
     claims: DataFrame, units: DataFrame, keys: Sequence[str],
-    subjects: Sequence[Sequence[str]] = W.SUBJECT_PATTERNS, nfkc: bool = True,
+    subjects: Sequence[Sequence[str]] = W.SUBJECT_PATTERNS,
 ) -> DataFrame:
     """The unit that supports each claim best.
 
@@ -52,8 +53,12 @@ def best_excerpt(
     )
     numbers = T.grouped_numbers(F.col("claim"))
     words = F.slice(T.meaningful_words(F.col("claim")), 1, EXCERPT_WORDS)
+    rows = rows.withColumn("_plain", T.nfkc(F.col("content")))
     rows = (
-        rows.withColumns({"_numbers": numbers, "_words": words})
+        compute_once(
+            rows, _numbers=numbers, _words=words,
+            _text=T.evidence_normalise(F.col("_plain")),
+        )
         .where(
             F.size(
                 T.missing_from(
@@ -62,15 +67,10 @@ def best_excerpt(
             ) == 0
         )
         .where(
-            T.subject_supported(
-                F.col("claim"), F.col("content"), subjects, nfkc=nfkc
-            )
+            T.subject_supported(F.col("claim"), F.col("_text"), subjects)
         )
         .withColumn(
-            "_hits",
-            T.count_contained(
-                F.col("_words"), T.evidence_normalise(F.col("content"), nfkc)
-            ),
+            "_hits", T.count_contained(F.col("_words"), F.col("_text"))
         )
         .where(F.col("_hits") >= F.least(F.lit(4), F.size("_words")))
     )
@@ -115,7 +115,6 @@ def basis_established(basis: Column) -> Column:
 
 def judge_conclusions(
     conclusions: DataFrame, packs: DataFrame, chunks: DataFrame,
-    nfkc: bool = True,
 ) -> DataFrame:
     """Every conclusion with its verdict: NULL reason means accepted.
 
@@ -151,12 +150,14 @@ def judge_conclusions(
     )
     joined = (
         rows.join(cited, KEY, "left")
-        .join(best_excerpt(rows, units, KEY, nfkc=nfkc), KEY, "left")
+        .join(best_excerpt(rows, units, KEY), KEY, "left")
         .join(basis_flags(units, chunks, KEY), KEY, "left")
     )
     uncertain = F.col("classification") == "UNCERTAIN"
     excerpt = F.when(~uncertain, F.col("excerpt"))
     joined = joined.withColumn("excerpt", excerpt).withColumn(
+        "_plain", T.nfkc(F.col("excerpt"))
+    ).withColumn(
         "financial_figure",
         T.is_financial_figure(
             F.col("claim"), F.col("excerpt"), F.col("financial_figure")
@@ -171,7 +172,7 @@ def judge_conclusions(
     )
     supported = F.coalesce(
         T.claim_supported(claim_col, quote)
-        & T.subject_supported(claim_col, quote, nfkc=nfkc),
+        & T.subject_supported(claim_col, F.col("_plain")),
         F.lit(False),
     )
     basis_ok = F.col("accounting_basis").isin(

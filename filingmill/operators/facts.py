@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions import calc
 from filingmill.functions import text as T
+from filingmill.functions.rows import compute_once, explode_rows
 from filingmill.rules import metrics as M
 from filingmill.rules import words as W
 
@@ -69,26 +70,19 @@ def xbrl_facts(documents: DataFrame) -> DataFrame:
 
     ``documents`` has document_id, company_id, entity_name and payload.
     """
-    name = F.regexp_extract("fact", XBRL_FACT, 1)
-    attrs = F.regexp_extract("fact", XBRL_FACT, 2)
-    body = F.regexp_extract("fact", XBRL_FACT, 3)
-    facts = (
-        documents.select(
-            "document_id", "company_id", "entity_name",
-            T.detect_basis(F.col("payload")).alias("accounting_basis"),
-            F.posexplode(
-                F.regexp_extract_all("payload", F.lit(XBRL_FACT), 0)
-            ).alias("fact_pos", "fact"),
-        )
-        .withColumns(
-            {
-                "concept": name,
-                "attrs": attrs,
-                "value": T.leading_number(body),
-            }
-        )
-        .where(F.col("value").isNotNull())
-    )
+    found = F.regexp_extract_all("payload", F.lit(XBRL_FACT), 0)
+    keep = ["document_id", "company_id", "entity_name", "accounting_basis"]
+    rows = compute_once(
+        documents, found=found,
+        accounting_basis=T.detect_basis(F.col("payload")),
+    )
+    rows = explode_rows(rows, keep, F.col("found"), "fact", "fact_pos")
+    facts = compute_once(
+        rows,
+        concept=F.regexp_extract("fact", XBRL_FACT, 1),
+        attrs=F.regexp_extract("fact", XBRL_FACT, 2),
+        value=T.leading_number(F.regexp_extract("fact", XBRL_FACT, 3)),
+    ).where(F.col("value").isNotNull())
     first = Window.partitionBy("document_id", "concept").orderBy("fact_pos")
     facts = facts.withColumn("rn", F.row_number().over(first)).where("rn = 1")
     words = F.lower(
@@ -109,7 +103,7 @@ def xbrl_facts(documents: DataFrame) -> DataFrame:
     )
     metric = T.metric_label(words, M.METRIC_LABELS)
     return (
-        facts.withColumn("metric", metric)
+        compute_once(facts, metric=metric)
         .where(F.col("metric").isNotNull())
         .select(
             *_fact(
@@ -140,31 +134,31 @@ def html_facts(documents: DataFrame) -> DataFrame:
     ``documents`` also has reporting_period. Bracketed negatives are no
     numbers here and are dropped.
     """
-    cells = F.regexp_extract_all("row", F.lit(TABLE_CELL), 1)
-    rows = (
-        documents.select(
-            "document_id", "company_id", "entity_name", "reporting_period",
-            T.detect_basis(F.col("payload")).alias("accounting_basis"),
-            F.posexplode(
-                F.regexp_extract_all(
-                    clean_html(F.col("payload")), F.lit(TABLE_ROW), 1
-                )
-            ).alias("fact_pos", "row"),
-        )
-        .withColumn("cells", cells)
-        .where(F.size("cells") >= 2)
-        .withColumns(
-            {
-                "label": _cell(F.get("cells", F.lit(0))),
-                "value": T.leading_number(_cell(F.get("cells", F.lit(1)))),
-            }
-        )
-    )
+    keep = [
+        "document_id", "company_id", "entity_name", "reporting_period",
+        "accounting_basis",
+    ]
+    rows = compute_once(
+        documents,
+        found=F.regexp_extract_all(
+            clean_html(F.col("payload")), F.lit(TABLE_ROW), 1
+        ),
+        accounting_basis=T.detect_basis(F.col("payload")),
+    )
+    rows = explode_rows(rows, keep, F.col("found"), "row", "fact_pos")
+    rows = compute_once(
+        rows, cells=F.regexp_extract_all("row", F.lit(TABLE_CELL), 1)
+    ).where(F.size("cells") >= 2)
+    rows = compute_once(
+        rows,
+        label=_cell(F.get("cells", F.lit(0))),
+        value=T.leading_number(_cell(F.get("cells", F.lit(1)))),
+    ).where(F.col("value").isNotNull())
     return (
-        rows.withColumn(
-            "metric", T.metric_label(F.col("label"), M.METRIC_LABELS)
+        compute_once(
+            rows, metric=T.metric_label(F.col("label"), M.METRIC_LABELS)
         )
-        .where(F.col("metric").isNotNull() & F.col("value").isNotNull())
+        .where(F.col("metric").isNotNull())
         .select(
             *_fact(
                 F.col("metric"), F.col("value"), F.lit("crores_inr"),
@@ -179,17 +173,19 @@ def guidance_statements(
     documents: DataFrame, words: Sequence[str] = W.GUIDANCE_WORDS
 ) -> DataFrame:
     """HTML paragraphs that read like guidance."""
+    rows = compute_once(
+        documents,
+        found=F.regexp_extract_all(
+            clean_html(F.col("payload")), F.lit(PARAGRAPH), 1
+        ),
+    )
+    rows = explode_rows(
+        rows, ["document_id", "company_id"], F.col("found"), "paragraph",
+        "paragraph_pos",
+    )
     text = T.trim_space(F.regexp_replace("paragraph", "<[^>]+>", ""))
     return (
-        documents.select(
-            "document_id", "company_id",
-            F.posexplode(
-                F.regexp_extract_all(
-                    clean_html(F.col("payload")), F.lit(PARAGRAPH), 1
-                )
-            ).alias("paragraph_pos", "paragraph"),
-        )
-        .withColumn("statement", text)
+        compute_once(rows, statement=text)
         .where(
             (F.length("statement") > 50)
             & F.col("statement").rlike("(?i)" + "|".join(words))
@@ -206,25 +202,23 @@ def guidance_statements(
 
 def text_facts(documents: DataFrame) -> DataFrame:
     """Plain text -> facts from ``label  number`` pairs; zeros are skipped."""
-    rows = (
-        documents.select(
-            "document_id", "company_id", "entity_name", "reporting_period",
-            T.detect_basis(F.col("payload")).alias("accounting_basis"),
-            F.posexplode(
-                F.regexp_extract_all("payload", F.lit(TEXT_FACT), 0)
-            ).alias("fact_pos", "fact"),
-        )
-        .withColumns(
-            {
-                "label": F.trim(F.regexp_extract("fact", TEXT_FACT, 1)),
-                "value": T.leading_number(
-                    F.regexp_extract("fact", TEXT_FACT, 2)
-                ),
-            }
-        )
-        .withColumn(
-            "metric", T.metric_label(F.col("label"), M.METRIC_LABELS)
-        )
+    keep = [
+        "document_id", "company_id", "entity_name", "reporting_period",
+        "accounting_basis",
+    ]
+    rows = compute_once(
+        documents,
+        found=F.regexp_extract_all("payload", F.lit(TEXT_FACT), 0),
+        accounting_basis=T.detect_basis(F.col("payload")),
+    )
+    rows = explode_rows(rows, keep, F.col("found"), "fact", "fact_pos")
+    rows = compute_once(
+        rows,
+        label=F.trim(F.regexp_extract("fact", TEXT_FACT, 1)),
+        value=T.leading_number(F.regexp_extract("fact", TEXT_FACT, 2)),
+    )
+    rows = compute_once(
+        rows, metric=T.metric_label(F.col("label"), M.METRIC_LABELS)
     )
     facts = rows.where(
         F.col("metric").isNotNull() & (F.col("value") != 0)

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingmill.functions import text as T
+from filingmill.functions.rows import compute_once, explode_rows
 from filingmill.rules import research as R
+from filingmill.rules.words import QUERY_STOP_WORDS
 from filingmill.session import fixed_table
 
 MIN_UNIT = 24
@@ -47,14 +49,28 @@ def section_queries(
     return fixed_table(spark, ["section_key", "query_index", "query"], rows)
 
 
+def _normalised(query: str) -> str:
+    """The search form of a query, as ``search_normalise`` gives it."""
+    kept = [c if c.isalnum() or c in "%₹" else " " for c in query.lower()]
+    return " ".join("".join(kept).split())
+
+
+def _query_tokens(query: str) -> list[str]:
+    return [
+        t for t in _normalised(query).split(" ")
+        if len(t) > 2 and t not in QUERY_STOP_WORDS
+    ]
+
+
 def _query_array(queries: Mapping[str, Sequence[str]]) -> Column:
     """The fixed query table as one constant array column."""
     entries = [
         F.struct(
             F.lit(section).alias("section_key"),
             F.lit(i).alias("query_index"),
-            T.search_normalise(F.lit(q)).alias("phrase"),
-            T.query_tokens(F.lit(q)).alias("tokens"),
+            F.lit(_normalised(q)).alias("phrase"),
+            F.array(*[F.lit(t) for t in _query_tokens(q)])
+            .cast("array<string>").alias("tokens"),
         )
         for section, listed in queries.items()
         for i, q in enumerate(listed)
@@ -102,21 +118,16 @@ def _units(chunks: DataFrame) -> DataFrame:
         F.filter("units", lambda u: u["has_digit"])["unit_id"]
     )
     place = [*DOC, "chunk_index", "page_start", "page_end"]
-    return (
-        chunks.where(F.col("chunk_index") > 0)
-        .select(*place, lines.alias("lines"))
-        .select(*place, units.alias("units"))
-        .select(
-            *place, F.slice(digit_ids, 1, PER_CHUNK).alias("lead_ids"),
-            F.explode("units").alias("u"),
-        )
-        .select(
-            *place, "u.line_start", "u.line_end", "u.size", "u.content",
-            "u.unit_id",
-            F.when(F.col("u.has_digit"), DIGIT_SCORE).otherwise(0)
-            .alias("digit"),
-            F.array_contains("lead_ids", F.col("u.unit_id")).alias("lead"),
-        )
+    rows = chunks.where(F.col("chunk_index") > 0).select(*place, "content")
+    rows = compute_once(rows, lines=lines).select(*place, "lines")
+    rows = compute_once(rows, units=units).select(*place, "units")
+    rows = rows.withColumn("lead_ids", F.slice(digit_ids, 1, PER_CHUNK))
+    return explode_rows(rows, [*place, "lead_ids"], F.col("units"), "u").select(
+        *place, "u.line_start", "u.line_end", "u.size", "u.content",
+        "u.unit_id",
+        F.when(F.col("u.has_digit"), DIGIT_SCORE).otherwise(0)
+        .alias("digit"),
+        F.array_contains("lead_ids", F.col("u.unit_id")).alias("lead"),
     )
 
 
@@ -129,10 +140,10 @@ def _scored(
     rows: DataFrame, queries: Mapping[str, Sequence[str]], bonus: int
 ) -> DataFrame:
     """Explode each row to its queries with a phrase or token hit."""
-    normalised = T.search_normalise(F.col("content"))
-    prepared = rows.withColumn("_norm", normalised).withColumn(
-        "_pieces", T.ascii_pieces(F.col("_norm"))
+    prepared = compute_once(
+        rows, _norm=T.search_normalise(F.col("content"))
     )
+    prepared = compute_once(prepared, _pieces=T.ascii_pieces(F.col("_norm")))
 
     def score(q: Column) -> Column:
         return F.struct(
@@ -147,7 +158,7 @@ def _scored(
     hits = F.filter(
         F.transform(_query_array(queries), score), lambda h: h["score"] > 0
     )
-    return prepared.withColumn("hits", hits).drop("_norm", "_pieces")
+    return compute_once(prepared, hits=hits).drop("_norm", "_pieces")
 
 
 def lexical_scores(
@@ -156,13 +167,10 @@ def lexical_scores(
     """Unit scores per query that has a hit; the digit bonus is included."""
     units = _units(chunks)
     kept = [c for c in units.columns if c not in ("digit", "lead")]
-    return (
-        _scored(units, queries, UNIT_BONUS)
-        .select(*kept, "digit", F.explode("hits").alias("hit"))
-        .select(
-            *kept, "hit.section_key", "hit.query_index",
-            (F.col("hit.score") + F.col("digit")).alias("score"),
-        )
+    scored = _scored(units, queries, UNIT_BONUS)
+    return explode_rows(scored, [*kept, "digit"], F.col("hits"), "hit").select(
+        *kept, "hit.section_key", "hit.query_index",
+        (F.col("hit.score") + F.col("digit")).alias("score"),
     )
 
 

@@ -646,7 +646,7 @@ def subject_proximity(spark, sf_dir) -> DataFrame:
         "Wholesale",
     ).otherwise("RETAIL   segment")
     excerpt = F.concat(name, F.lit(" revenue "), far, F.lit("of ₹11"), amount)
-    return V.table(spark, sf_dir, "orders").select(
+    return V.spread_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"),
         T.subject_supported(claim, excerpt).alias("ok"),
     )
@@ -694,7 +694,7 @@ def scrub_ids(spark, sf_dir) -> DataFrame:
         F.lit(" (sourceFindingIds: ["), key, F.lit("]) in chunk "), key,
         F.lit(" the\tyear chunks 4, 5 ."),
     )
-    return V.table(spark, sf_dir, "orders").select(
+    return V.spread_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"),
         F.replace(T.scrub_ids(text), F.lit("\t"), F.lit(" ")).alias("text"),
     )
@@ -721,7 +721,7 @@ def vague_notes(spark, sf_dir) -> DataFrame:
 @query(
     "anchored_claims",
     """SELECT o_orderkey AS row_id, CASE o_orderpriority WHEN '1-URGENT' THEN true WHEN '2-HIGH' THEN o_orderstatus = 'F'
-      WHEN '3-MEDIUM' THEN true WHEN '4-NOT SPECIFIED' THEN false ELSE false END AS ok FROM orders""",
+      WHEN '3-MEDIUM' THEN true WHEN '4-NOT SPECIFIED' THEN o_custkey + 2000 = 3001 ELSE false END AS ok FROM orders""",
 )
 def anchored_claims(spark, sf_dir) -> DataFrame:
     """Claims tied to fixed excerpts: figures, basis and subtraction."""
@@ -753,7 +753,7 @@ def anchored_claims(spark, sf_dir) -> DataFrame:
         .otherwise("No figure")
     )
     cite = F.struct(F.lit(1).alias("chunk_index"))
-    rows = V.table(spark, sf_dir, "orders").select(
+    rows = V.spread_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"), claim.alias("claim"),
         shown.alias("data_point"),
         F.when(pri == "5-LOW", F.array().cast("array<struct<chunk_index:int>>"))
@@ -813,9 +813,9 @@ def judged_conclusions(spark, sf_dir) -> DataFrame:
     )
     fixed = V.documents(spark, sf_dir).select(
         *keys, F.lit("financial").alias("section_key"),
-        F.explode(F.sequence(F.lit(3), F.lit(5))).cast("bigint").alias("pos"),
+        F.explode(F.sequence(F.lit(3), F.lit(5))).alias("pos"),
     ).select(
-        *keys, "section_key", "pos", F.lit("Revenue is not given.").alias("claim"),
+        *keys, "section_key", F.col("pos").cast("bigint").alias("pos"), F.lit("Revenue is not given.").alias("claim"),
         F.when(F.col("pos") == 3, "fact").when(F.col("pos") == 4, "opinion")
         .otherwise("uncertain").alias("classification"),
         *labels, F.array(F.lit("0:0-0")).alias("evidence_ids"),
@@ -900,7 +900,7 @@ def section_blocks(spark, sf_dir) -> DataFrame:
         F.lit('","headers":["a"],"rows":[["1"]]}[/TABLE]\n[TABLE]{"bad":1}[/TABLE]More.\n--- Detailed findings ---\n\nFinding '),
         key,
     )
-    rows = V.table(spark, sf_dir, "orders").select(
+    rows = V.spread_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"), content.alias("content")
     )
     return report.parse_section(rows, ["row_id"]).select(

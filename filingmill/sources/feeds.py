@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from filingmill import schemas
 from filingmill.functions import calc
 from filingmill.functions import text as T
+from filingmill.functions.rows import compute_once, explode_rows
 from filingmill.rules import metrics as M
 from filingmill.rules import words as W
 
@@ -59,11 +60,10 @@ def announcements(
     before any filter, as the feed is paged that way.
     """
     row = F.col("item")
-    parsed = _fetched(raw).select(
-        "company_id", "fetched_at",
-        F.posexplode(
-            F.from_json("payload", schemas.ANNOUNCEMENTS)["Table"]
-        ).alias("feed_pos", "item"),
+    parsed = explode_rows(
+        _fetched(raw), ["company_id", "fetched_at"],
+        F.from_json("payload", schemas.ANNOUNCEMENTS)["Table"],
+        "item", "feed_pos",
     )
     subject = T.trim_space(
         F.coalesce(row["NEWSSUB"], row["HEADLINE"], F.lit(""))
@@ -71,8 +71,9 @@ def announcements(
     name = _filled(T.trim_space(row["ATTACHMENTNAME"]))
     detail = F.concat(F.lit(DETAIL_BASE), _text(row["NEWSID"]))
     items = (
-        parsed.where(F.col("feed_pos") < max_items)
-        .withColumn("title", subject)
+        compute_once(
+            parsed.where(F.col("feed_pos") < max_items), title=subject
+        )
         .where(F.col("title") != "")
         .where(T.is_material_announcement(row["CATEGORYNAME"], F.col("title")))
         .select(
@@ -126,25 +127,24 @@ def rss_items(raw: DataFrame) -> DataFrame:
         )
         return T.trim_space(T.decode_entities(body))
 
-    return (
-        raw.where(F.col("http_status").between(200, 299))
-        .select(
-            "company_id", "fetched_at",
-            F.posexplode(
-                F.regexp_extract_all(
-                    "payload", F.lit(r"(?s)<item[^>]*>(.*?)</item>"), 1
-                )
-            ).alias("block_pos", "item"),
-        )
-        .select(
-            "company_id", "fetched_at", "block_pos",
-            tag("title").alias("title"),
-            tag("link").alias("link"),
-            tag("source").alias("publisher"),
-            tag("pubDate").alias("published_text"),
-            T.visible_text(tag("description")).alias("summary"),
-        )
-        .where((F.col("title") != "") & (F.col("link") != ""))
+    blocks = explode_rows(
+        raw.where(F.col("http_status").between(200, 299)),
+        ["company_id", "fetched_at"],
+        F.regexp_extract_all(
+            "payload", F.lit(r"(?s)<item[^>]*>(.*?)</item>"), 1
+        ),
+        "item", "block_pos",
+    )
+    items = compute_once(
+        blocks,
+        title=tag("title"),
+        link=tag("link"),
+        publisher=tag("source"),
+        published_text=tag("pubDate"),
+        summary=T.visible_text(tag("description")),
+    )
+    return items.drop("item").where(
+        (F.col("title") != "") & (F.col("link") != "")
     )
 
 
@@ -165,7 +165,7 @@ def news_items(
     )
     score = T.news_materiality(F.col("title"), F.col("summary"))
     return (
-        items.withColumn("score", score)
+        compute_once(items, score=score)
         .where(F.col("score") >= min_score)
         .select(
             "company_id", "fetched_at", "feed_pos",
@@ -214,9 +214,9 @@ def _filing(
 def listed_filings(raw: DataFrame) -> DataFrame:
     """Exchange A announcement list -> filings."""
     r = F.col("item")
-    rows = _fetched(raw).select(
-        "company_id",
-        F.explode(F.from_json("payload", schemas.LISTED_FILINGS)).alias("item"),
+    rows = explode_rows(
+        _fetched(raw), ["company_id"],
+        F.from_json("payload", schemas.LISTED_FILINGS), "item",
     )
     kind = F.coalesce(
         T.map_value(
@@ -238,17 +238,12 @@ def listed_filings(raw: DataFrame) -> DataFrame:
 def result_filings(raw: DataFrame) -> DataFrame:
     """Exchange A results list (an array, or an object holding ``results``)."""
     r = F.col("item")
-    listed = F.coalesce(
-        F.from_json("payload", schemas.RESULT_FILINGS),
-        F.from_json("payload", f"STRUCT<results:{schemas.RESULT_FILINGS}>")[
-            "results"
-        ],
-    )
     is_array = T.trim_space(F.col("payload")).startswith("[")
     inner = F.get_json_object("payload", "$.results")
     text = F.when(is_array, F.col("payload")).otherwise(inner)
-    rows = _fetched(raw).withColumn("payload", text).select(
-        "company_id", F.explode(listed).alias("item")
+    rows = explode_rows(
+        _fetched(raw), ["company_id"],
+        F.from_json(text, schemas.RESULT_FILINGS), "item",
     )
     return rows.select(
         *_filing(
@@ -262,11 +257,9 @@ def result_filings(raw: DataFrame) -> DataFrame:
 def exchange_b_filings(raw: DataFrame) -> DataFrame:
     """Exchange B filings list -> filings; attachments become URLs."""
     r = F.col("item")
-    rows = _fetched(raw).select(
-        "company_id",
-        F.explode(
-            F.from_json("payload", schemas.EXCHANGE_B_FILINGS)["Table"]
-        ).alias("item"),
+    rows = explode_rows(
+        _fetched(raw), ["company_id"],
+        F.from_json("payload", schemas.EXCHANGE_B_FILINGS)["Table"], "item",
     )
     kind = F.coalesce(
         T.map_value(
@@ -296,16 +289,10 @@ def all_filings(*feeds: DataFrame) -> DataFrame:
 def result_periods(raw: DataFrame) -> DataFrame:
     """Results-comparison payload -> one wide row per period."""
     r = F.col("item")
-    rows = (
-        _fetched(raw)
-        .select(
-            "company_id",
-            F.explode(
-                F.from_json("payload", schemas.RESULTS)["resCmpData"]
-            ).alias("item"),
-        )
-        .where((_text(r["re_from_dt"]) != "") & (_text(r["re_to_dt"]) != ""))
-    )
+    rows = explode_rows(
+        _fetched(raw), ["company_id"],
+        F.from_json("payload", schemas.RESULTS)["resCmpData"], "item",
+    ).where((_text(r["re_from_dt"]) != "") & (_text(r["re_to_dt"]) != ""))
     notes = F.concat_ws(
         " ", _text(r["re_desc_note_fin"]), _text(r["re_desc_note_seg"])
     )
@@ -335,6 +322,6 @@ def result_periods(raw: DataFrame) -> DataFrame:
 
 def shareholding_keys(raw: DataFrame) -> DataFrame:
     """Shareholding payload -> its top-level keys, reported as quarters."""
-    return _fetched(raw).select(
-        "company_id", F.explode(F.json_object_keys("payload")).alias("quarter")
+    return explode_rows(
+        _fetched(raw), ["company_id"], F.json_object_keys("payload"), "quarter"
     )
