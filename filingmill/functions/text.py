@@ -78,30 +78,6 @@ def query_tokens(c: Column) -> Column:
     )
 
 
-def ascii_pieces(normalised: Column) -> Column:
-    """Pieces of a normalised text between ASCII word boundaries."""
-    return F.split(normalised, "[^a-z0-9_]+")
-
-
-def lexical_score(
-    normalised: Column,
-    pieces: Column,
-    phrase: Column,
-    tokens: Column,
-    phrase_bonus: int,
-) -> Column:
-    """Phrase bonus plus, per token, its whole-word count up to eight."""
-
-    def token_score(token: Column) -> Column:
-        hits = F.size(F.filter(pieces, lambda p: p == token))
-        return F.when(
-            F.contains(normalised, token), F.least(hits, F.lit(8))
-        ).otherwise(0)
-
-    bonus = F.when(F.contains(normalised, phrase), phrase_bonus).otherwise(0)
-    return F.aggregate(tokens, bonus, lambda acc, t: acc + token_score(t))
-
-
 def clean_search_term(c: Column) -> Column:
     """Letters, digits and `` .&'-`` only, 80 characters, no wildcards."""
     kept = F.regexp_replace(trim_space(c), r"[^\p{L}\p{N} .&'-]", "")

@@ -25,6 +25,7 @@ MAX_UNIT = 900
 UNIT_BONUS = 60
 CHUNK_BONUS = 18
 DIGIT_SCORE = 2
+MAX_TOKEN_COUNT = 8
 BEST_PER_QUERY = 4
 PER_CHUNK = 6
 PER_SECTION = 32
@@ -62,22 +63,6 @@ def _query_tokens(query: str) -> list[str]:
     ]
 
 
-def _query_array(queries: Mapping[str, Sequence[str]]) -> Column:
-    """The fixed query table as one constant array column."""
-    entries = [
-        F.struct(
-            F.lit(section).alias("section_key"),
-            F.lit(i).alias("query_index"),
-            F.lit(_normalised(q)).alias("phrase"),
-            F.array(*[F.lit(t) for t in _query_tokens(q)])
-            .cast("array<string>").alias("tokens"),
-        )
-        for section, listed in queries.items()
-        for i, q in enumerate(listed)
-    ]
-    return F.array(*entries)
-
-
 def _units(chunks: DataFrame) -> DataFrame:
     """Units with their digit points and a ``lead`` flag.
 
@@ -139,26 +124,94 @@ def evidence_units(chunks: DataFrame) -> DataFrame:
 def _scored(
     rows: DataFrame, queries: Mapping[str, Sequence[str]], bonus: int
 ) -> DataFrame:
-    """Explode each row to its queries with a phrase or token hit."""
-    prepared = compute_once(
-        rows, _norm=T.search_normalise(F.col("content"))
+    """Add ``hits``: the queries with a phrase or token hit and their score.
+
+    The query table is fixed, so it becomes plain generated code. The words of
+    a row meet all tokens in one hash intersection; only the tokens found are
+    counted, by what is left after removing them from a text whose words stand
+    between two blanks each. A phrase of three words or more is searched only
+    where all its inner words occur.
+    """
+    listed = [
+        (section, i, _normalised(q), _query_tokens(q))
+        for section, group in queries.items() for i, q in enumerate(group)
+    ]
+    inner = {p: [w for w in p.split(" ")[1:-1] if w.isascii() and w.isalnum()]
+             for _, _, p, _ in listed}
+    tokens = sorted(
+        {t for _, _, _, ts in listed for t in ts}
+        | {w for words in inner.values() for w in words}
+    )
+    norm, padded = F.col("_norm"), F.col("_padded")
+    plain = (F.length(norm) == F.octet_length(norm)) & ~F.contains(
+        norm, F.lit("%")
+    )
+    ascii_text = F.when(plain, norm).otherwise(
+        F.regexp_replace(norm, "[^a-z0-9_]+", " ")
     )
-    prepared = compute_once(prepared, _pieces=T.ascii_pieces(F.col("_norm")))
 
-    def score(q: Column) -> Column:
-        return F.struct(
-            q["section_key"].alias("section_key"),
-            q["query_index"].alias("query_index"),
-            T.lexical_score(
-                F.col("_norm"), F.col("_pieces"), q["phrase"], q["tokens"],
-                bonus,
-            ).alias("score"),
+    def count(token: str) -> Column:
+        word = f" {token} "
+        left = F.octet_length(F.replace(padded, F.lit(word), F.lit("")))
+        n = (F.octet_length(padded) - left) / F.lit(len(word.encode()))
+        return F.when(
+            F.array_contains("_found", F.lit(token)),
+            F.least(n.cast("int"), F.lit(MAX_TOKEN_COUNT)),
+        ).otherwise(0)
+
+    def counted(token: str) -> Column:
+        return F.col("_counts")[tokens.index(token)]
+
+    def score(phrase: str, wanted: list[str]) -> Column:
+        there = F.lit(True)
+        for w in inner[phrase]:
+            there = there & (counted(w) > 0)
+        there = there & F.contains(norm, F.lit(phrase))
+        total = F.when(there, bonus).otherwise(0)
+        for t in wanted:
+            total = total + counted(t)
+        return total
+
+    def hit(n: int, section: str, index: int) -> Column:
+        value = F.col("_scores")[n]
+        return F.when(
+            value > 0,
+            F.struct(
+                F.lit(section).alias("section_key"),
+                F.lit(index).alias("query_index"), value.alias("score"),
+            ),
         )
 
-    hits = F.filter(
-        F.transform(_query_array(queries), score), lambda h: h["score"] > 0
+    def whole(values: list[Column]) -> Column:
+        # The slice keeps the optimiser from taking the array apart again.
+        array = F.array(*values).cast("array<int>")
+        return F.slice(array, 1, max(1, len(values)))
+
+    out = compute_once(rows, _norm=T.search_normalise(F.col("content")))
+    out = compute_once(out, _ascii=ascii_text)
+    out = out.withColumns(
+        {
+            "_found": F.array_intersect(
+                F.split("_ascii", " "),
+                F.array(*[F.lit(t) for t in tokens]).cast("array<string>"),
+            ),
+            "_padded": F.concat(
+                F.lit(" "),
+                F.replace(F.col("_ascii"), F.lit(" "), F.lit("  ")),
+                F.lit(" "),
+            ),
+        }
+    )
+    out = out.withColumn("_counts", whole([count(t) for t in tokens]))
+    out = out.withColumn(
+        "_scores", whole([score(p, ts) for _, _, p, ts in listed])
+    )
+    hits = F.array_compact(
+        F.array(*[hit(n, s, i) for n, (s, i, _, _) in enumerate(listed)])
+    )
+    return compute_once(out, hits=hits).drop(
+        "_norm", "_ascii", "_found", "_padded", "_counts", "_scores"
     )
-    return compute_once(prepared, hits=hits).drop("_norm", "_pieces")
 
 
 def lexical_scores(

@@ -16,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above 8,000 bytes of code. A longer
+    # generated stage runs faster as separate, smaller functions.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
