@@ -16,6 +16,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from filingmill.rules import words as W
 
@@ -152,7 +153,7 @@ def meaningful_words(c: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None if t is None else unicodedata.normalize("NFKC", t)

@@ -35,8 +35,8 @@ def item_keys(items: DataFrame) -> DataFrame:
         "company_id",
         F.when(news, "news").otherwise("document").alias("kind"),
         "arrival",
-        url.alias("k1"),
-        T.normalise_title(title).alias("k2"),
+        F.coalesce(url, F.lit("")).alias("k1"),
+        F.coalesce(T.normalise_title(title), F.lit("")).alias("k2"),
     )
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingmill import schemas
 from filingmill.functions import text as T
 from filingmill.operators import chunks as C
 from filingmill.operators import conclusions as K
 from filingmill.operators import dedupe, facts, qa, report, retrieve
 from filingmill.plans import flows
 from filingmill.plans.catalog import query
+from filingmill.plans.queries_metrics import FIRSTS_SQL
 from filingmill.rules import research as R
 from filingmill.rules import words as W
+from filingmill.session import fixed_table, shared_folder
 from filingmill.sources import testviews as V
+from filingmill.streaming import incremental
 
 
 def _sql_list(words) -> str:
@@ -788,8 +794,6 @@ s AS (SELECT *, h20 >= least(4, len(u[1:20])) AND h16 >= least(4, len(u[1:16]))
 )
 def judged_conclusions(spark, sf_dir) -> DataFrame:
     """Verdict on conclusions built from each document's first units."""
-    from pyspark.sql import Window
-
     chunks = V.paragraph_chunks(spark, sf_dir)
     _, packs = _cited(spark, sf_dir)
     packs = packs.where("section_key = 'english'").withColumn(
@@ -998,8 +1002,6 @@ def latest_section(spark, sf_dir) -> DataFrame:
 )
 def orphan_sections(spark, sf_dir) -> DataFrame:
     """Rows whose section is in no display group."""
-    from filingmill.session import fixed_table
-
     groups = fixed_table(spark, ["section"], [("user",), ("assistant",)])
     rows = V.table(spark, sf_dir, "conversations").withColumnRenamed("role", "section")
     return report.orphan_sections(rows, groups).select("conv_id", "turn")
@@ -1027,3 +1029,47 @@ def two_key_dedupe(spark, sf_dir) -> DataFrame:
     return dedupe.two_key_dedupe(V.discovered_items(spark, sf_dir)).select(
         "company_id", "arrival", "title", "original_url", "kept"
     )
+
+
+@query("incremental_feed")
+def incremental_feed(spark, sf_dir) -> DataFrame:
+    """Discovered items landed as files and taken in by the stream."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    columns = [f.split(" ")[0] for f in schemas.DISCOVERED_ITEMS.split(", ")]
+    V.discovered_items(spark, sf_dir).select(*columns).write.parquet(
+        f"{folder}/landed"
+    )
+    incremental.stream_items(
+        spark, f"{folder}/landed", f"{folder}/items", f"{folder}/progress"
+    ).awaitTermination()
+    return spark.read.parquet(f"{folder}/items").select(
+        "company_id", "arrival", "source_type", "title", "original_url"
+    )
+
+
+@query(
+    "incremental_metrics",
+    f"""WITH {V.INCOMING_SQL}, {FIRSTS_SQL}
+    SELECT company_id, entity_name, metric_name, reporting_period, accounting_basis, metric_value,
+      CASE WHEN any_bad THEN 'CONFLICTING' ELSE 'UNVERIFIED' END AS data_quality_status
+    FROM (SELECT *, bool_or(bad) OVER (PARTITION BY company_id, lower(trim(entity_name)), metric_name,
+      reporting_period, accounting_basis) AS any_bad FROM gaps) WHERE rn = 1""",
+)
+def incremental_metrics(spark, sf_dir) -> DataFrame:
+    """Incoming metrics landed as files and taken in by the stream."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = V.incoming_metrics(spark, sf_dir)
+    fields = [f.split(" ", 1) for f in schemas.INCOMING_METRICS.split(", ")]
+    rows.select(
+        *[
+            (F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n)
+            for n, t in fields
+        ]
+    ).write.parquet(f"{folder}/landed")
+    incremental.stream_metrics(
+        spark, f"{folder}/landed", f"{folder}/store", f"{folder}/progress"
+    ).awaitTermination()
+    return incremental.current_metrics(spark, f"{folder}/store").select(
+        "company_id", "entity_name", "metric_name", "reporting_period",
+        "accounting_basis", "metric_value", "data_quality_status",
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingmill.functions import text as T
-from filingmill.operators import report, views
+from filingmill.operators import facts, report, views
 from filingmill.plans.catalog import query
 from filingmill.rules import metrics as M
 from filingmill.rules import research as R
@@ -808,8 +808,6 @@ def source_lineage(spark, sf_dir) -> DataFrame:
 )
 def unknown_rules(spark, sf_dir) -> DataFrame:
     """Stored rule keys the catalogue does not know."""
-    from filingmill.operators import facts
-
     stored = V.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("row_id"),
         F.when(F.col("p_type") == "SMALL", "bank").otherwise("epc")

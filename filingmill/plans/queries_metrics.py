@@ -12,7 +12,7 @@ from filingmill.plans.catalog import query
 from filingmill.rules import metrics as M
 from filingmill.rules import research as R
 from filingmill.session import fixed_table
-from filingmill.sources import tables
+from filingmill.sources import feeds, tables
 from filingmill.sources import testviews as V
 
 
@@ -172,7 +172,7 @@ def fiscal_period(spark, sf_dir) -> DataFrame:
     ).select("filing_id", "p.*")
 
 
-_FIRSTS = """
+FIRSTS_SQL = """
 ok AS (SELECT * FROM incoming WHERE metric_name IN ('revenue', 'receivables') AND accounting_basis IS NOT NULL),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY company_id, lower(trim(entity_name)), metric_name,
   reporting_period, accounting_basis ORDER BY arrival) AS rn,
@@ -185,7 +185,7 @@ gaps AS (SELECT *, abs(fv - metric_value) / greatest(abs(fv), abs(metric_value),
 
 @query(
     "metric_conflicts",
-    f"""WITH {V.INCOMING_SQL}, {_FIRSTS},
+    f"""WITH {V.INCOMING_SQL}, {FIRSTS_SQL},
     flags AS (SELECT *, bool_or(bad) OVER (PARTITION BY company_id, lower(trim(entity_name)), metric_name,
       reporting_period, accounting_basis) AS any_bad FROM gaps)
     SELECT company_id, entity_name, metric_name, reporting_period, accounting_basis, arrival,
@@ -201,7 +201,7 @@ def metric_conflicts(spark, sf_dir) -> DataFrame:
 
 @query(
     "conflict_log",
-    f"""WITH {V.INCOMING_SQL}, {_FIRSTS}
+    f"""WITH {V.INCOMING_SQL}, {FIRSTS_SQL}
     SELECT company_id, entity_name, metric_name, reporting_period, accounting_basis, arrival,
       fv AS value_a, fs AS source_a_name, ft AS source_a_tier,
       metric_value AS value_b, source_name AS source_b_name, source_tier AS source_b_tier,
@@ -566,8 +566,6 @@ def text_facts(spark, sf_dir) -> DataFrame:
 )
 def result_metrics(spark, sf_dir) -> DataFrame:
     """Results payload as JSON text -> long metrics."""
-    from filingmill.sources import feeds
-
     year = F.year("o_orderdate").cast("string")
     item = F.struct(
         F.concat(F.lit("01-APR-"), year).alias("re_from_dt"),

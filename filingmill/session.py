@@ -29,21 +29,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable on this session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for data that must outlive a lost executor.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only
-    a local session without it gets a temporary folder of its own.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
+    session without it gets a temporary folder of its own.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="filingmill-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="filingmill-")
+    return folder
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make ``DataFrame.checkpoint`` usable on this session."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:

@@ -31,17 +31,15 @@ def _read_before(
     """Rows written by earlier batches.
 
     The folder of every batch is listed by Spark as a partition column, so a
-    filter on it prunes whole folders.
+    filter on it prunes whole folders. Batches are numbered from 0, and each
+    one writes its folder, so there is nothing to read before the first.
     """
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    if not folder.getFileSystem(conf).exists(folder):
-        return spark.createDataFrame([], full)
     return (
         spark.read.schema(full).parquet(path)
-        .where(F.col("batch") < F.lit(batch_id))
+        .where(F.col("batch") < F.lit(batch_id)).drop("batch")
     )
 
 
@@ -91,7 +89,7 @@ def stream_metrics(
     def run(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         path = f"{store}/{METRIC_STATE}"
-        old = _read_before(session, path, batch_id, batch.schema).drop("batch")
+        old = _read_before(session, path, batch_id, batch.schema)
         accepted, rejected = facts.admit(batch)
         kinds = dict(batch.dtypes)
         fresh = facts.new_data_points(accepted, old)
