@@ -491,7 +491,9 @@ def kept_calculations(calculations: Column, excerpt: Column) -> Column:
             lambda i: F.array_contains(shown, number_text(i["value"]))
             | F.array_contains(
                 shown,
-                F.format_string("%.0f", F.floor(i["value"] + F.lit(0.5))),
+                F.format_string(
+                    "%.0f", F.floor(i["value"] + 0.5).cast("double")
+                ),
             ),
         )
         return (
