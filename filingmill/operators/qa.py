@@ -176,19 +176,30 @@ def contradicted_results(
     keys: Sequence[str],
     position: str,
     value: str = "value",
-    block: int = 10_000,
 ) -> DataFrame:
     """Results that a later result of the same group contradicts.
 
     A result has such a partner exactly when the smallest or the largest later
     value is too far off, so each row needs two suffix extremes and no pairs.
-    They are found in blocks of positions: first per block, then inside one.
-    A group of any size is thus spread over many tasks; the block table that a
-    single group sends to one task is smaller by the block length.
-    ``position`` orders the rows of a group and is unique in it.
+    They are found in blocks of positions: first over the blocks of a group,
+    then inside each block. A group of n rows is cut into about sqrt(n)
+    blocks, so no task sorts more than about sqrt(n) of its rows at a time.
+    ``position`` is a whole number, unique in its group.
     """
-    blocked = results.withColumn(
-        "_block", F.floor(F.col(position) / F.lit(block))
+    keys = list(keys)
+    pos = F.col(position)
+    spans = results.groupBy(*keys).agg(
+        F.min(pos).alias("_from"), F.max(pos).alias("_to"),
+        F.count("*").alias("_n"),
+    )
+    width = F.ceil(
+        (F.col("_to") - F.col("_from") + 1) / F.ceil(F.sqrt(F.col("_n")))
+    )
+    blocked = (
+        results.join(spans, keys)
+        .where(F.col("_n") > 1)
+        .withColumn("_block", F.floor((pos - F.col("_from")) / width))
+        .select(*results.columns, "_block")
     )
     following = (
         Window.partitionBy(*keys).orderBy("_block")

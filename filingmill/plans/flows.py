@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingmill.functions import text as T
 from filingmill.operators import chunks as C
 from filingmill.operators import conclusions as K
 from filingmill.operators import dedupe, facts, qa, report, retrieve, views
@@ -17,12 +18,13 @@ from filingmill.sources import feeds, tables
 
 def discover(
     announcements: DataFrame, news: DataFrame, days_back_news: int = 21,
-    days_back_filings: int = 365, first_arrival: int = 0,
+    days_back_filings: int = 365,
 ) -> DataFrame:
     """Landed announcement and RSS payloads -> discovered items.
 
-    News come first, then announcements; ``arrival`` numbers the items of a
-    company in that order.
+    News come before announcements. ``arrival`` is built from the fetch time,
+    the feed and the position in it, so no company is numbered in one task. It
+    is unique per company as long as a feed is fetched once per microsecond.
     """
     items = feeds.news_items(
         news, max_items=feeds.news_limit(days_back_news)
@@ -30,10 +32,8 @@ def discover(
         feeds.announcements(announcements, days_back=days_back_filings)
         .withColumn("_feed", F.lit(1))
     )
-    order = Window.partitionBy("company_id").orderBy(
-        "fetched_at", "_feed", "feed_pos"
-    )
-    arrival = F.row_number().over(order) + F.lit(first_arrival)
+    slot = F.col("_feed") * feeds.FEED_SLOTS + F.col("feed_pos")
+    arrival = F.unix_micros("fetched_at") * (2 * feeds.FEED_SLOTS) + slot
     return items.withColumn("arrival", arrival.cast("bigint")).drop(
         "_feed", "feed_pos"
     )
@@ -50,8 +50,6 @@ def keep_new(
 
 def news_rows(items: DataFrame) -> DataFrame:
     """Kept news items -> news table rows."""
-    from filingmill.functions import text as T
-
     title = F.coalesce("headline", "title")
     return items.where("source_type = 'news'").select(
         F.col("content_hash").alias("news_id"), "company_id",

@@ -473,7 +473,7 @@ def contradicted_findings(spark, sf_dir) -> DataFrame:
         F.col("o_totalprice").alias("value"),
     )
     return qa.contradicted_results(
-        results, ["company_id", "basis"], "finding_id", block=1000
+        results, ["company_id", "basis"], "finding_id"
     ).select("finding_id", "later_low", "later_high")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingmill.functions import calc
@@ -234,31 +234,31 @@ def metric_admission(spark, sf_dir) -> DataFrame:
 
 @query(
     "pair_compat",
-    f"""WITH {V.INCOMING_SQL}, p AS (SELECT *, lead(arrival) OVER w AS b_arrival,
-      lead(accounting_basis) OVER w AS b_basis, lead(entity_name) OVER w AS b_entity,
-      lead(currency) OVER w AS b_currency, lead(reporting_period) OVER w AS b_period
-      FROM (SELECT * FROM incoming WHERE accounting_basis IS NOT NULL)
-      WINDOW w AS (PARTITION BY company_id, metric_name, source_name ORDER BY arrival, accounting_basis))
+    f"""WITH {V.INCOMING_SQL}, p AS (SELECT *, first_value(accounting_basis) OVER w AS b_basis,
+      first_value(currency) OVER w AS b_currency, first_value(reporting_period) OVER w AS b_period,
+      first_value(entity_name) OVER w AS b_entity
+      FROM incoming WHERE accounting_basis IS NOT NULL
+      WINDOW w AS (PARTITION BY metric_name, source_name ORDER BY arrival, accounting_basis))
     SELECT arrival, accounting_basis, accounting_basis = b_basis AS basis_ok, lower(entity_name) = lower(b_entity) AS entity_ok,
       currency = b_currency AS currency_ok, reporting_period = b_period AS period_ok,
       accounting_basis = b_basis AND entity_name = b_entity AND currency = b_currency
         AND reporting_period = b_period AS compatible,
       CASE WHEN accounting_basis <> b_basis THEN 'BASIS' WHEN entity_name <> b_entity THEN 'ENTITY'
         WHEN currency <> b_currency THEN 'CURRENCY' WHEN reporting_period <> b_period THEN 'PERIOD'
-      END AS primary_blocker
-    FROM p WHERE b_arrival IS NOT NULL""",
+      END AS primary_blocker FROM p""",
 )
 def pair_compat(spark, sf_dir) -> DataFrame:
-    """May two consecutive figures of a source be used together?"""
-    rows = V.incoming_metrics(spark, sf_dir).where("accounting_basis IS NOT NULL")
-    order = Window.partitionBy("company_id", "metric_name", "source_name").orderBy(
-        "arrival", "accounting_basis"
-    )
+    """May a figure be used together with the first one of its source?"""
+    keys = ["metric_name", "source_name"]
     fields = F.struct(
         "accounting_basis", "entity_name", "currency", "reporting_period"
     )
-    pairs = rows.withColumn("a", fields).withColumn("b", F.lead("a").over(order))
-    return pairs.where("b IS NOT NULL").select(
+    rows = V.incoming_metrics(spark, sf_dir).where(
+        "accounting_basis IS NOT NULL"
+    ).withColumn("a", fields)
+    order = F.struct("arrival", "accounting_basis")
+    firsts = rows.groupBy(*keys).agg(F.min_by("a", order).alias("b"))
+    return rows.join(firsts, keys).select(
         "arrival", "accounting_basis", calc.pair_compatibility("a", "b").alias("c")
     ).select("arrival", "accounting_basis", "c.*")
 

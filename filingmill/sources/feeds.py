@@ -7,7 +7,7 @@ an HTML page or malformed yields no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingmill import schemas
@@ -18,6 +18,8 @@ from filingmill.rules import metrics as M
 from filingmill.rules import words as W
 
 PDF_BASE = "https://www.bseindia.com/xml-data/corpfiling/AttachHis/"
+# No feed is read past its 60th item, so 64 positions per feed are enough.
+FEED_SLOTS = 64
 LIVE_BASE = "https://www.bseindia.com/xml-data/corpfiling/AttachLive/"
 DETAIL_BASE = "https://www.bseindia.com/corporates/anndet_new.aspx?newsid="
 
@@ -155,8 +157,6 @@ def news_items(
 
     One payload is one row, so its items are cut by their position inside it.
     """
-    from pyspark.sql import Window
-
     feed = Window.partitionBy("company_id", "fetched_at").orderBy("block_pos")
     items = (
         rss_items(raw)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingmill.rules import metrics as M
-from filingmill.session import fixed_table
+from filingmill.session import fixed_table, use_checkpoints
 
 
 def scan(
@@ -108,8 +108,6 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     kept = old.join(touched, "bucket", "left_semi").join(
         fresh.select("document_id").distinct(), "document_id", "left_anti"
     )
-    from filingmill.session import use_checkpoints
-
     use_checkpoints(spark)
     merged = kept.unionByName(fresh.select(*kept.columns)).checkpoint()
     replace_scope(merged, path, ["bucket"])
