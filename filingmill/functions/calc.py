@@ -6,11 +6,11 @@ accounting bases and gives NULL when they differ.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from filingmill.functions.rows import bind
+
 NOT_APPLICABLE = "NOT_APPLICABLE"
 
 
@@ -133,11 +133,6 @@ def lookup_key(
 # --------------------------------------------------------------- fiscal period
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it in ``body`` many times."""
-    return F.transform(F.array(value), body)[0]
-
-
 MONTHS = "JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC"
 DATE_TEXT = r"^\s*(\d{1,2})-([A-Z]{3})-(\d{1,4})\s*$"
 

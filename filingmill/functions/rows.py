@@ -8,12 +8,17 @@ such filter, and no filter moves below it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` many times."""
+    return F.transform(F.array(value), body)[0]
+
+
 def compute_once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that later steps must not compute again."""
     once = F.struct(*[c.alias(n) for n, c in columns.items()])

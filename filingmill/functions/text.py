@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from filingmill.functions.rows import bind
 from filingmill.rules import words as W
 
 # White space as the source texts define it.
@@ -182,25 +183,41 @@ def fact_grounded(
 ) -> Column:
     """Every material number and up to three long words are in the excerpt."""
     joined = F.concat_ws(" | ", F.array(fact), data_points)
-    numbers = material_numbers(joined)
-    numbers_ok = F.size(missing_from(numbers, signed_numbers(excerpt))) == 0
-    tokens = F.filter(
-        F.split(ascii_normalise(fact), " "), lambda t: F.length(t) > 3
+    parts = F.struct(
+        material_numbers(joined).alias("numbers"),
+        F.filter(
+            F.split(ascii_normalise(fact), " "), lambda t: F.length(t) > 3
+        ).alias("words"),
+        signed_numbers(excerpt).alias("shown"),
+        ascii_normalise(excerpt).alias("excerpt"),
     )
-    hits = count_contained(tokens, ascii_normalise(excerpt))
-    return numbers_ok & (hits >= F.least(F.lit(3), F.size(tokens)))
+
+    def grounded(p: Column) -> Column:
+        numbers_ok = F.size(missing_from(p["numbers"], p["shown"])) == 0
+        hits = count_contained(p["words"], p["excerpt"])
+        return numbers_ok & (hits >= F.least(F.lit(3), F.size(p["words"])))
+
+    return bind(parts, grounded)
 
 
 def claim_supported(claim: Column, quote: Column) -> Column:
     """All numbers, and at least four of the first sixteen claim words."""
-    numbers = grouped_numbers(claim)
-    numbers_ok = F.size(missing_from(numbers, grouped_numbers(quote))) == 0
-    first = F.slice(meaningful_words(claim), 1, 16)
-    hits = count_contained(first, F.lower(quote))
-    words_ok = F.when(F.size(first) == 0, F.size(numbers) > 0).otherwise(
-        hits >= F.least(F.lit(4), F.size(first))
+    parts = F.struct(
+        grouped_numbers(claim).alias("numbers"),
+        F.slice(meaningful_words(claim), 1, 16).alias("words"),
+        grouped_numbers(quote).alias("shown"),
+        F.lower(quote).alias("quote"),
     )
-    return numbers_ok & words_ok
+
+    def supported(p: Column) -> Column:
+        numbers_ok = F.size(missing_from(p["numbers"], p["shown"])) == 0
+        hits = count_contained(p["words"], p["quote"])
+        words_ok = F.when(
+            F.size(p["words"]) == 0, F.size(p["numbers"]) > 0
+        ).otherwise(hits >= F.least(F.lit(4), F.size(p["words"])))
+        return numbers_ok & words_ok
+
+    return bind(parts, supported)
 
 
 def subject_supported(
@@ -214,20 +231,31 @@ def subject_supported(
     Pass an excerpt that went through ``nfkc`` where compatibility forms
     matter.
     """
-    compact = F.replace(evidence_normalise(excerpt), F.lit(","), F.lit(""))
-    numbers = without_years_and_days(grouped_numbers(claim))
+    parts = F.struct(
+        F.replace(evidence_normalise(excerpt), F.lit(","), F.lit(""))
+        .alias("text"),
+        without_years_and_days(grouped_numbers(claim)).alias("numbers"),
+        claim.alias("claim"),
+    )
 
-    def one(names: Sequence[str]) -> Column:
+    def one(names: Sequence[str], p: Column) -> Column:
         pattern = ascii_words("|".join(names))
-        at = F.regexp_instr(compact, F.lit(pattern))
+        at = F.regexp_instr(p["text"], F.lit(pattern))
         near = F.forall(
-            numbers,
-            lambda n: (F.instr(compact, n) > 0)
-            & (F.abs(F.instr(compact, n) - at) <= distance),
+            p["numbers"],
+            lambda n: (F.instr(p["text"], n) > 0)
+            & (F.abs(F.instr(p["text"], n) - at) <= distance),
         )
-        return F.when(claim.rlike(pattern), (at > 0) & near).otherwise(True)
-
-    return reduce(lambda a, b: a & b, [one(s) for s in subjects], F.lit(True))
+        return F.when(
+            p["claim"].rlike(pattern), (at > 0) & near
+        ).otherwise(True)
+
+    return bind(
+        parts,
+        lambda p: reduce(
+            lambda a, b: a & b, [one(s, p) for s in subjects], F.lit(True)
+        ),
+    )
 
 
 def is_financial_figure(

@@ -122,16 +122,12 @@ def judge_conclusions(
     basis. Accepted facts with an interpretive phrase become inferences, and
     no inference stays at HIGH confidence.
     """
-    claim = T.trim_space(F.coalesce("claim", F.lit("")))
-    rows = conclusions.withColumns(
-        {
-            "claim": claim,
-            "classification": F.upper(T.trim_space(F.col("classification"))),
-            "confidence": F.upper(T.trim_space(F.col("confidence"))),
-            "accounting_basis": F.upper(
-                T.trim_space(F.col("accounting_basis"))
-            ),
-        }
+    rows = compute_once(
+        conclusions,
+        claim=T.trim_space(F.coalesce("claim", F.lit(""))),
+        classification=F.upper(T.trim_space(F.col("classification"))),
+        confidence=F.upper(T.trim_space(F.col("confidence"))),
+        accounting_basis=F.upper(T.trim_space(F.col("accounting_basis"))),
     )
     units = exact_units(rows.select(*KEY, "evidence_ids"), packs, KEY)
     cites = F.struct(
@@ -157,32 +153,34 @@ def judge_conclusions(
     excerpt = F.when(~uncertain, F.col("excerpt"))
     joined = joined.withColumn("excerpt", excerpt).withColumn(
         "_plain", T.nfkc(F.col("excerpt"))
-    ).withColumn(
-        "financial_figure",
-        T.is_financial_figure(
-            F.col("claim"), F.col("excerpt"), F.col("financial_figure")
-        ),
     )
     claim_col, quote = F.col("claim"), F.col("excerpt")
+    joined = compute_once(
+        joined,
+        financial_figure=T.is_financial_figure(
+            claim_col, quote, F.col("financial_figure")
+        ),
+        _supported=F.coalesce(
+            T.claim_supported(claim_col, quote)
+            & T.subject_supported(claim_col, F.col("_plain")),
+            F.lit(False),
+        ),
+        _scoped=in_scope(F.col("section_key"), claim_col),
+    )
     schema_ok = (
         (claim_col != "")
         & F.coalesce(F.col("classification").isin(W.ALLOWED_CLASSES), F.lit(False))
         & F.coalesce(F.col("confidence").isin(W.ALLOWED_CONFIDENCE), F.lit(False))
         & F.coalesce(F.col("accounting_basis").isin(W.ALLOWED_BASES), F.lit(False))
     )
-    supported = F.coalesce(
-        T.claim_supported(claim_col, quote)
-        & T.subject_supported(claim_col, F.col("_plain")),
-        F.lit(False),
-    )
     basis_ok = F.col("accounting_basis").isin(
         REPORTED_BASES
     ) & basis_established(F.col("accounting_basis"))
     reason = (
         F.when(~schema_ok, "SCHEMA")
         .when(~uncertain & F.col("citations").isNull(), "NO_CITATION")
-        .when(~uncertain & ~supported, "NOT_SUPPORTED")
-        .when(~uncertain & ~in_scope(F.col("section_key"), claim_col), "OUT_OF_SCOPE")
+        .when(~uncertain & ~F.col("_supported"), "NOT_SUPPORTED")
+        .when(~uncertain & ~F.col("_scoped"), "OUT_OF_SCOPE")
         .when(F.col("financial_figure") & ~basis_ok, "BASIS_NOT_ESTABLISHED")
     )
     relabelled = F.when(

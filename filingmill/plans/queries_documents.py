@@ -17,7 +17,7 @@ from filingmill.plans.catalog import query
 from filingmill.plans.queries_metrics import FIRSTS_SQL
 from filingmill.rules import research as R
 from filingmill.rules import words as W
-from filingmill.session import fixed_table, shared_folder
+from filingmill.session import fixed_table, shared_folder, stored
 from filingmill.sources import testviews as V
 from filingmill.streaming import incremental
 
@@ -89,7 +89,7 @@ def document_preview(spark, sf_dir) -> DataFrame:
     "chunk_search",
     f"""WITH {V.CHUNKS_SQL}, h AS (SELECT *, row_number() OVER (ORDER BY chunk_index, document_id) AS rn
       FROM chunks WHERE company_id = 'en' AND contains(lower(content), 'that the'))
-    SELECT h.document_id, chunk_index, content, left(string_split(d.text, chr(10))[1], 60) AS document_title
+    SELECT h.document_id, CAST(chunk_index AS INTEGER) AS chunk_index, content, left(string_split(d.text, chr(10))[1], 60) AS document_title
     FROM h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.document_id WHERE rn <= 100""",
 )
 def chunk_search(spark, sf_dir) -> DataFrame:
@@ -102,7 +102,7 @@ def chunk_search(spark, sf_dir) -> DataFrame:
 
 @query(
     "chunk_range",
-    f"""WITH {V.CHUNKS_SQL} SELECT document_id, chunk_index, content FROM chunks
+    f"""WITH {V.CHUNKS_SQL} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, content FROM chunks
     WHERE document_id = '17' AND chunk_index BETWEEN 2 AND 9 ORDER BY chunk_index LIMIT 50""",
 )
 def chunk_range(spark, sf_dir) -> DataFrame:
@@ -538,8 +538,10 @@ res AS (SELECT ids.document_id, cite_pos, p.unit_id, p.chunk_index, p.line_start
 
 
 def _cited(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    packs = retrieve.select_evidence(
-        V.paragraph_chunks(spark, sf_dir), V.TEST_QUERIES
+    packs = stored(
+        retrieve.select_evidence(
+            V.paragraph_chunks(spark, sf_dir), V.TEST_QUERIES
+        )
     )
     ids = F.array(*[F.lit(i) for i in ["1:1-1", " 1:1-2 ", "chunk 2", "999", "none"]])
     cited = V.documents(spark, sf_dir).select(

@@ -50,6 +50,12 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+def stored(rows: DataFrame) -> DataFrame:
+    """Compute rows once for several uses, in the shared folder."""
+    use_checkpoints(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Use all cores for heavy row work on a small input.
 
