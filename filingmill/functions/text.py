@@ -460,6 +460,17 @@ def metric_label(c: Column, labels: dict) -> Column:
     return map_value(labels, key)
 
 
+def period_kind(period: Column, prefixes: dict) -> Column:
+    """Quarter and filing type named by the first two letters of a period."""
+    key = F.upper(F.substring(period, 1, 2))
+    return F.struct(
+        map_value({k: v[0] for k, v in prefixes.items()}, key)
+        .alias("quarter"),
+        map_value({k: v[1] for k, v in prefixes.items()}, key)
+        .alias("filing_type"),
+    )
+
+
 # -------------------------------------------------------------------- display
 
 
