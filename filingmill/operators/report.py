@@ -413,24 +413,23 @@ def lineage(
     conclusions: DataFrame, evidence: DataFrame, metrics: DataFrame,
     registry: DataFrame,
 ) -> DataFrame:
-    """Conclusion -> evidence -> metric -> source registry."""
-    chain = (
+    """Conclusion -> evidence -> metric -> source registry, one row per link.
+
+    Conclusions without evidence stay, with NULLs. The rows are not gathered
+    into lists: a conclusion may rest on any number of records.
+    """
+    return (
         conclusions.join(evidence, "conclusion_id", "left")
         .join(metrics, "metric_id", "left")
         .join(
             registry.select("source_name", "tier", "tier_label"),
             "source_name", "left",
         )
-    )
-    source = F.struct(
-        "source_name", "tier", "accounting_basis", "reporting_period"
-    )
-    return chain.groupBy("conclusion_id", "conclusion").agg(
-        F.array_sort(F.collect_set("evidence_id")).alias("evidence_ids"),
-        F.array_sort(F.collect_set("metric_id")).alias("record_ids"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("source_name").isNotNull(), source))
-        ).alias("sources"),
+        .select(
+            "conclusion_id", "conclusion", "evidence_id", "metric_id",
+            "source_name", "tier", "tier_label", "accounting_basis",
+            "reporting_period",
+        )
     )
 
 

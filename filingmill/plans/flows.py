@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from filingmill.functions import text as T
 from filingmill.operators import chunks as C
 from filingmill.operators import conclusions as K
-from filingmill.operators import dedupe, facts, qa, report, retrieve, views
+from filingmill.operators import dedupe, facts, qa, report, retrieve
 from filingmill.rules import research as R
 from filingmill.sources import feeds, tables
 
@@ -176,5 +176,5 @@ def assemble_report(
 __all__ = [
     "assemble_report", "build_document", "discover", "document_rows",
     "ingest_metrics", "keep_new", "news_rows", "onboard",
-    "retrieve_evidence", "validate_conclusions", "validate_findings", "views",
+    "retrieve_evidence", "validate_conclusions", "validate_findings",
 ]

@@ -833,19 +833,19 @@ def judged_conclusions(spark, sf_dir) -> DataFrame:
 
 @query("near_duplicate_claims")
 def near_duplicate_claims(spark, sf_dir) -> DataFrame:
-    """Claims of each customer and year without near-duplicates."""
-    claims = V.claims(spark, sf_dir).select(
-        "company_id", "document_id",
-        F.when(F.col("report_section") == "P", "risks").otherwise("financial")
-        .alias("section_key"),
-        F.col("finding_pos").alias("pos"), F.col("fact").alias("claim"),
-        F.lit("FACT").alias("classification"),
-        (F.col("m") == 1).alias("anchor"),
-    )
-    return K.merge_claims(
-        claims.where("anchor").drop("anchor"),
-        claims.where("NOT anchor").drop("anchor"),
-    )
+    """Turns of each conversation without near-duplicates, users' first.
+
+    A conversation stands for the claims of one model answer.
+    """
+    turns = V.table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("company_id"),
+        F.lit("report").alias("document_id"),
+        F.lit("risks").alias("section_key"), F.col("turn").alias("pos"),
+        F.col("text").alias("claim"), F.lit("FACT").alias("classification"),
+        "role",
+    )
+    anchors = turns.where("role = 'user'").drop("role")
+    return K.merge_claims(anchors, turns.where("role <> 'user'").drop("role"))
 
 
 # --------------------------------------------------------------------- reports

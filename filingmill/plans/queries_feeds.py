@@ -761,11 +761,9 @@ def preflight(spark, sf_dir) -> DataFrame:
     e AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Company Annual Report'
       WHEN '2-HIGH' THEN 'Earnings Call Transcript' WHEN '3-MEDIUM' THEN 'Financial News Provider'
       ELSE 'Unlisted' END AS source_name, CAST(year(o_orderdate) AS VARCHAR) AS p, o_orderstatus AS b FROM orders)
-    SELECT c_custkey AS conclusion_id, coalesce((SELECT string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderkey AS VARCHAR))
-        FROM e WHERE o_custkey = c_custkey), '') AS evidence_ids,
-      CAST((SELECT count(DISTINCT (source_name, p, b)) FROM e WHERE o_custkey = c_custkey) AS INTEGER) AS n_sources,
-      (SELECT min(tier) FROM e JOIN reg USING (source_name) WHERE o_custkey = c_custkey) AS best_tier
-    FROM customer""",
+    SELECT c_custkey AS conclusion_id, CAST(o_orderkey AS VARCHAR) AS evidence_id, source_name, CAST(tier AS INTEGER) AS tier,
+      b AS accounting_basis, p AS reporting_period
+    FROM customer LEFT JOIN e ON o_custkey = c_custkey LEFT JOIN reg USING (source_name)""",
 )
 def source_lineage(spark, sf_dir) -> DataFrame:
     """Conclusion -> evidence -> metric -> source registry."""
@@ -789,13 +787,11 @@ def source_lineage(spark, sf_dir) -> DataFrame:
         F.col("o_orderstatus").alias("accounting_basis"),
         F.year("o_orderdate").cast("string").alias("reporting_period"),
     )
-    out = report.lineage(
+    return report.lineage(
         conclusions, evidence, metrics, tables.source_registry(spark)
-    )
-    return out.select(
-        "conclusion_id", F.array_join("evidence_ids", ",").alias("evidence_ids"),
-        F.size("sources").alias("n_sources"),
-        F.array_min(F.col("sources.tier")).alias("best_tier"),
+    ).select(
+        "conclusion_id", "evidence_id", "source_name", "tier",
+        "accounting_basis", "reporting_period",
     )
 
 
