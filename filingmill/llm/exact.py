@@ -95,7 +95,7 @@ def dedup(
     decided = groups.join(known.hint("merge"), "digest").select(
         "digest", "keep_id", "group_size"
     )
-    spots = parts.select("digest", "part").join(decided, "digest")
+    spots = parts.select("digest", "part").join(decided, "digest").repartition("digest", "part")
     return narrow.join(spots, ["digest", "part"]).select(
         F.col("key").alias(key),
         "keep_id",
