@@ -150,7 +150,7 @@ def special_roles(pages: DataFrame, key: str, payload: str) -> DataFrame:
     )
     parts = narrow.groupBy("digest", "part").agg(F.max("page").alias("top"))
     tops = parts.groupBy("digest").agg(F.max("top").alias("top"))
-    spots = parts.select("digest", "part").join(tops, "digest")
+    spots = parts.select("digest", "part").join(tops, "digest").repartition("digest", "part")
     counts = narrow.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
     revisits = narrow.join(spots, ["digest", "part"]).where(
         ~F.col("page").eqNullSafe(F.col("top"))
