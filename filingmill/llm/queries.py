@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm import chat, exact, neardup, shards, warc
+from filingmill.llm import chat, decontam, exact, neardup, shards, warc
 from filingmill.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,7 +108,8 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[ 	-]+'), lambda x: x <> '') AS words
+    '[ 	-
+]+'), lambda x: x <> '') AS words
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, unnest(CASE
@@ -136,6 +137,11 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+@query("op6_decontam")
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_shards")
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.shuffled_shards(table(spark, sf_dir, "documents"), 8)

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -42,6 +41,14 @@ def fisher_yates(rows: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def pile_batch(piles: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    bucket, size, blob = zip(*piles)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket, pa.int32()), pa.array(size, pa.int64()), pa.array(blob, pa.binary())],
+        ["bucket", "size", "pile"],
+    )
+
+
 def shuffle_to(
     docs: DataFrame, path: str, bucket_bytes: int = BUCKET_BYTES,
     seed: int = SEED, key: str = "doc_id", text: str = "text",
@@ -62,26 +69,55 @@ def shuffle_to(
         F.xxhash64(key, text).alias("_order"),
     )
 
+    fields = [c for c in scattered.columns if c != "_bucket"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One compressed pile per bucket and batch: texts shrink before they move."""
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]).sort_by("_bucket")
+            own = rows["_bucket"].to_numpy()
+            rows = rows.select(fields).combine_chunks()
+            cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
+            held, size = [], 0
+            for start, end in zip(cuts[:-1], cuts[1:]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_table(rows.slice(start, end - start))
+                raw = sink.getvalue()
+                held.append((int(own[start]), raw.size, codec.compress(raw, asbytes=True)))
+                size += len(held[-1][2])
+                if size > 1 << 20:
+                    yield pile_batch(held)
+                    held, size = [], 0
+            if held:
+                yield pile_batch(held)
+
     def shuffled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        held.clear()
-        for bucket in sorted(pc.unique(rows["_bucket"]).to_pylist()):
-            own = rows.filter(pc.equal(rows["_bucket"], bucket)).sort_by("_order")
+        codec = pa.Codec("zstd")
+        piles: dict[int, list[pa.Table]] = {}
+        for batch in batches:
+            for bucket, size, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                raw = codec.decompress(blob, decompressed_size=size)
+                piles.setdefault(bucket, []).append(pa.ipc.open_stream(raw).read_all())
+        for bucket in sorted(piles):
+            own = pa.concat_tables(piles.pop(bucket)).sort_by("_order")
             rng = np.random.default_rng([seed, bucket])
-            own = own.take(pa.array(fisher_yates(own.num_rows, rng)))
-            place = pa.array(np.arange(own.num_rows, dtype=np.int64))
-            own = own.drop_columns("_order").append_column("_place", place)
-            yield from own.to_batches(max_chunksize=BATCH_ROWS)
+            order = fisher_yates(own.num_rows, rng)
+            for start in range(0, len(order), BATCH_ROWS):
+                part = order[start:start + BATCH_ROWS]
+                rows = own.take(pa.array(part)).drop_columns("_order").combine_chunks()
+                rows = rows.append_column("_bucket", pa.array([bucket] * len(part), pa.int32()))
+                place = pa.array(np.arange(start, start + len(part)))
+                yield from rows.append_column("_place", place).to_batches()
 
     schema = StructType(
         [*docs.schema.fields, StructField("_bucket", IntegerType()),
          StructField("_place", LongType())]
     )
+    piles = scattered.mapInArrow(packed, "bucket int, size long, pile binary")
     # Each bucket is a task of its own.
-    dealt = scattered.repartitionById(buckets, "_bucket")
+    dealt = piles.repartitionById(buckets, "bucket")
     dealt.mapInArrow(shuffled, schema).write.parquet(path)
 
 

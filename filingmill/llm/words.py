@@ -13,10 +13,14 @@ _SHINGLE = 5
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                    0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
-# Bytes with A-Z as a-z, plus one so that no byte is zero; 0 is white space.
-_CODE = np.arange(1, 257, dtype=np.uint16)
-_CODE[ord("A") + 0:ord("Z") + 1] += 32
-_CODE[[0x20, *range(0x09, 0x0E)]] = 0
+# Bytes with A-Z as a-z, plus one so that no byte is zero; 0 ends a word.
+_LOWERED = np.arange(1, 257, dtype=np.uint16)
+_LOWERED[ord("A"):ord("Z") + 1] += 32
+#: Words end at ASCII white space alone.
+SPACED = _LOWERED.copy()
+SPACED[[0x20, *range(0x09, 0x0E)]] = 0
+#: Words are runs of ASCII letters and digits and of other characters.
+LETTERS = np.where([chr(i).isalnum() or i > 127 for i in range(256)], _LOWERED, 0).astype(np.uint16)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,31 +32,63 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(base: np.uint64, count: int) -> np.ndarray:
-    out = np.full(count, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+class _Powers:
+    """Powers of a number, as many as were ever asked for."""
 
+    def __init__(self, base: np.uint64):
+        self.base, self.known = base, np.ones(1, dtype=np.uint64)
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and each text's first word.
+    def upto(self, count: int) -> np.ndarray:
+        if len(self.known) < count:
+            new = np.full(count * 5 // 4, self.base, dtype=np.uint64)
+            new[0] = 1
+            self.known = np.multiply.accumulate(new)
+        return self.known[:count]
 
-    Words are runs of bytes other than ASCII white space, with A-Z lowered.
-    The second array has one more entry than texts. A hash is a polynomial in
-    the bytes modulo 2^64, mixed.
+
+_UP, _DOWN = _Powers(_BASE), _Powers(_BASE_INVERSE)
+
+
+def word_spans(
+    texts: list[str], table: np.ndarray = SPACED
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, each text's first word, and spans.
+
+    The second array has one more entry than texts. Spans are bytes from the
+    start of the first text, with one byte between texts. A hash is a
+    polynomial in the bytes modulo 2^64, mixed.
     """
-    parts = [t.encode() for t in texts]
+    parts = [t.encode(errors="surrogatepass") for t in texts]
     sizes = np.array([len(p) + 1 for p in parts], dtype=np.int64)
-    code = _CODE[np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)]
+    raw = np.frombuffer(b"\n".join([*parts, b""]), dtype=np.uint8)
+    code = table[raw]
+    if table is LETTERS:
+        _blank_marks(raw, code)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     inside = np.concatenate([[False], code > 0, [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    n = len(code) + 1
-    sums = np.zeros(n, dtype=np.uint64)
-    np.cumsum(code.astype(np.uint64) * _powers(_BASE, n)[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _powers(_BASE_INVERSE, n)[starts])
-    return hashes, np.searchsorted(starts, begins)
+    sums = np.zeros(len(code) + 1, dtype=np.uint64)
+    np.cumsum(code * _UP.upto(len(code)), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * _DOWN.upto(len(code) + 1)[starts])
+    return hashes, np.searchsorted(starts, begins), starts, ends
+
+
+def _blank_marks(raw: np.ndarray, code: np.ndarray) -> None:
+    """Clear the marks at U+00A0-00BF, U+2000-206F and U+3000-303F."""
+    two = np.flatnonzero(raw[:-1] == 0xC2)
+    two = two[raw[two + 1] < 0xC0]
+    lead = np.flatnonzero((raw[:-2] == 0xE2) | (raw[:-2] == 0xE3))
+    lead = lead[(raw[lead + 1] == 0x80) | ((raw[lead] == 0xE2) & (raw[lead + 1] == 0x81))]
+    for at in (two, two + 1, lead, lead + 1, lead + 2):
+        code[at] = 0
+
+
+def word_hashes(
+    texts: list[str], table: np.ndarray = SPACED
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and each text's first word."""
+    return word_spans(texts, table)[:2]
 
 
 def shingle_hashes(
