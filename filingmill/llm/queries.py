@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm import bpe, chat, decontam, exact, neardup, shards, warc
+from filingmill.llm import bpe, chat, decontam, exact, neardup, quality, shards, warc
 from filingmill.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id",
+        quality.held_out("doc_id", 4, 2).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= quality.CUT).cast("int").alias("predicted"),
+    )
+
+
 @query("op2_warc", r"""
 WITH p AS (
   SELECT page_id, encode(coalesce(html, '')) AS body FROM pages
