@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm import bpe, chat, decontam, exact, neardup, quality, shards, warc
+from filingmill.llm import bpe, chat, decontam, exact, neardup, quality, shards, toxicity, warc
 from filingmill.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,17 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select(
+        "doc_id",
+        toxicity.held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"),
+    )
+
+
 @query("op9_shards")
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.shuffled_shards(table(spark, sf_dir, "documents"), 8)
