@@ -25,6 +25,7 @@ from __future__ import annotations
 import codecs
 import functools
 import hashlib
+import itertools
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
@@ -175,7 +176,7 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary, memo: int = MEMO_WORDS):
         self.v = vocabulary
-        self.memo: dict[str, tuple[int, str, str]] = {}
+        self.memo: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
         self.size = memo
 
     def word(self, word: str) -> Iterator[int]:
@@ -188,12 +189,14 @@ class Encoder:
         yield from run.push(data)
         yield from run.finish()
 
-    def entry(self, word: str) -> tuple[int, str, str]:
-        """Count, ids and pieces of a word, the last two with spaces between."""
+    def entry(self, word: str) -> tuple[int, str, str, tuple[int, ...]]:
+        """Count, ids and pieces as text with spaces between, and ids."""
         found = self.memo.get(word)
         if found is None:
             ids = list(self.word(word))
-            found = (len(ids), " ".join(map(str, ids)), " ".join(decoded_pieces(self.v, ids)))
+            found = (
+                len(ids), " ".join(map(str, ids)), " ".join(decoded_pieces(self.v, ids)), tuple(ids)
+            )
             if len(word) <= 64:
                 if len(self.memo) >= self.size:
                     self.memo.clear()
@@ -220,21 +223,29 @@ class Encoder:
             for word in words:
                 if word in self.v.special:
                     yield self.v.special[word]
+                elif len(word) <= 64:
+                    yield from self.entry(word)[3]
                 else:
                     yield from self.word(word)
 
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and SHA-256 of the ids and of the decoded pieces."""
+    def digest(self, text: str, found: list[int] | None = None) -> tuple[int, str, str]:
+        """Number of ids, and SHA-256 of the ids and of the decoded pieces.
+
+        The ids are added to ``found`` if it is given.
+        """
         count, ids, pieces = 0, hashlib.sha256(), hashlib.sha256()
         get, between = self.memo.get, b""
         for words in self.words(text):
             if not words:
                 continue
             if words[0] in self.v.special:
-                entries = [(1, str(self.v.special[words[0]]), words[0])]
+                token = self.v.special[words[0]]
+                entries = [(1, str(token), words[0], (token,))]
             else:
                 entries = [get(w) or self.entry(w) for w in words]
-            n, i, p = zip(*entries)
+            n, i, p, numbers = zip(*entries)
+            if found is not None:
+                found.extend(itertools.chain.from_iterable(numbers))
             count += sum(n)
             ids.update(between + " ".join(i).encode())
             pieces.update(between + " ".join(p).encode())
@@ -318,7 +329,17 @@ def decode(rows: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "id
     return rows.select(F.col(key).cast("long"), ids).mapInArrow(run, f"{key} long, pieces string, text string")
 
 
-def digests(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, number of ids and digests of the ids and of the decoded pieces."""
+def digests(
+    docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text",
+    with_ids: bool = False,
+) -> DataFrame:
+    """Key, number of ids, digests of the ids and of the decoded pieces, and ids if asked for."""
     schema = f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _over_texts(docs, key, text, schema, lambda t: encoder(vocabulary).digest(t))
+    if not with_ids:
+        return _over_texts(docs, key, text, schema, lambda t: encoder(vocabulary).digest(t))
+
+    def row(value: str) -> tuple:
+        ids: list[int] = []
+        return (*encoder(vocabulary).digest(value, ids), ids)
+
+    return _over_texts(docs, key, text, f"{schema}, ids array<int>", row)

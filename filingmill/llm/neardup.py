@@ -333,3 +333,12 @@ def near_duplicates(
         component.alias("component_id"),
         F.col("key").eqNullSafe(component).alias("kept"),
     )
+
+
+def first_of_components(docs: DataFrame, decisions: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that stay, with their columns unchanged.
+
+    A key goes if none of its rows is kept. Only the keys that go are joined.
+    """
+    gone = decisions.groupBy(F.col(key).alias("_gone")).agg(F.bool_or("kept").alias("stays")).where("NOT stays")
+    return docs.join(gone.select("_gone"), docs[key].eqNullSafe(F.col("_gone")), "left_anti")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm import bpe, chat, decontam, exact, neardup, quality, shards, toxicity, warc
+from filingmill.llm import bpe, chat, decontam, exact, htmltext, neardup, quality, shards, toxicity, warc
 from filingmill.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -160,6 +160,12 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op7_htmltext")
+def op7_htmltext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = htmltext.main_text(table(spark, sf_dir, "pages"))
+    return rows.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @query("op8_toxicity")
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
