@@ -1,7 +1,8 @@
 """Two-pass external shuffle of a table into shards.
 
 Pass one scatters the rows with a seeded hash over buckets that each fit into
-a task's memory. Pass two reads one bucket at a time, orders it by content,
+a task's memory; a task's rows for one bucket travel as one compressed pile,
+which halves what is shuffled. Pass two reads one bucket at a time, orders it by content,
 shuffles it by Fisher-Yates with a generator seeded by (seed, bucket) and
 writes it. The buckets, one after another, are the shuffled table; shard ``s``
 of ``k`` is its ``s``-th run of rows, so row counts differ by one at most (the
