@@ -68,18 +68,19 @@ def dedup(
     """
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(PARTS))
+    # Digest and part are one key of 33 bytes, so that no exchange falls back
+    # to the digest alone, which a hot group shares.
     narrow = stored(
-        docs.select(
-            F.col(key).alias("key"),
-            digest_of(text).alias("digest"),
-        ).withColumn(
-            "part", F.pmod(F.xxhash64("key", F.monotonically_increasing_id()), F.lit(PARTS))
+        docs.select(F.col(key).alias("key"), digest_of(text).alias("digest")).select(
+            "key", F.concat("digest", F.unhex(F.lpad(F.hex(part), 2, "0"))).alias("spot")
         ),
         "digests",
     )
-    parts = narrow.groupBy("digest", "part").agg(
+    digest = F.substring("spot", 1, 32)
+    parts = narrow.groupBy("spot").agg(
         F.min("key").alias("low"), F.count(F.lit(1)).alias("n")
-    )
+    ).withColumn("digest", digest)
     groups = parts.groupBy("digest").agg(
         F.min("low").alias("low"), F.sum("n").alias("group_size")
     )
@@ -95,8 +96,8 @@ def dedup(
     decided = groups.join(known.hint("merge"), "digest").select(
         "digest", "keep_id", "group_size"
     )
-    spots = parts.select("digest", "part").join(decided, "digest").repartition("digest", "part")
-    return narrow.join(spots, ["digest", "part"]).select(
+    spots = parts.select("spot", "digest").join(decided, "digest")
+    return narrow.join(spots, "spot").select(
         F.col("key").alias(key),
         "keep_id",
         "group_size",
