@@ -145,14 +145,16 @@ def special_roles(pages: DataFrame, key: str, payload: str) -> DataFrame:
     narrow = stored(
         pages.select(
             F.col(key).alias("page"), F.sha1(text_of(payload)).alias("digest")
-        ).withColumn("part", F.pmod(F.xxhash64("page"), F.lit(PARTS))),
+        ).withColumn("spot", F.concat("digest", F.lit(":"), F.pmod(F.xxhash64("page"), F.lit(PARTS)))),
         "payload-digests",
     )
-    parts = narrow.groupBy("digest", "part").agg(F.max("page").alias("top"))
+    parts = narrow.groupBy("spot").agg(F.max("page").alias("top")).withColumn(
+        "digest", F.substring_index("spot", ":", 1)
+    )
     tops = parts.groupBy("digest").agg(F.max("top").alias("top"))
-    spots = parts.select("digest", "part").join(tops, "digest").repartition("digest", "part")
+    spots = parts.select("spot", "digest").join(tops, "digest").select("spot", F.col("top"))
     counts = narrow.groupBy("page").agg(F.count(F.lit(1)).alias("rows"))
-    revisits = narrow.join(spots, ["digest", "part"]).where(
+    revisits = narrow.join(spots, "spot").where(
         ~F.col("page").eqNullSafe(F.col("top"))
     ).select("page", "digest", "top", F.lit(1).alias("rows"))
     several = counts.where("rows > 1").join(
