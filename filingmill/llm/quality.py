@@ -8,7 +8,7 @@ the overlapping chunks, and the chunks' maxima and means over the whole text
 are combined into one probability. Texts are never cut.
 
 The network is trained on the driver on a bounded sample of labelled rows:
-at most ``SAMPLE`` per label, those with the smallest hash of key and text,
+at most ``SAMPLE`` per label, those with the smallest hash of the key,
 so the bound does not depend on the table's size. Scoring is a pass over all
 documents without a shuffle.
 
@@ -169,18 +169,28 @@ def sampled(
     docs: DataFrame, labels: DataFrame, label: str, learn: Column, bound: int,
     key: str = "doc_id", text: str = "text",
 ) -> list[tuple[str, int]]:
-    """At most ``bound`` learnable (text, label) rows of each label."""
-    own = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(
+    """At most ``bound`` learnable (text, label) rows of each label.
+
+    Keys are chosen from the labels alone, by the smallest hashes; then one
+    pass over the documents fetches their texts. Of several texts of a key the
+    smallest is taken.
+    """
+    own = labels.where(F.col(label).isNotNull() & learn).groupBy(F.col(key).alias("_key")).agg(
         F.min(label).alias("low"), F.max(label).alias("high")
-    ).where("low = high")
-    rows = docs.where(learn).select(
-        F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("body")
-    ).join(own, "_key").withColumn("order", F.xxhash64("_key", "body"))
-    return [
-        (r.body, int(r.low))
+    ).where("low = high").withColumn("order", F.xxhash64("_key"))
+    chosen = [
+        (r["_key"], int(r["low"]))
         for value in (0, 1)
-        for r in rows.where(F.col("low") == value).orderBy("order", "body").limit(bound).collect()
+        for r in own.where(F.col("low") == value).orderBy("order", "_key").limit(bound).collect()
     ]
+    if not chosen:
+        return []
+    # At most 2 x bound keys: a broadcast of known size.
+    few = F.broadcast(docs.sparkSession.createDataFrame(chosen, "_key long, _label int"))
+    texts = docs.join(few, F.col(key).cast("long") == F.col("_key")).groupBy("_key", "_label").agg(
+        F.min(F.coalesce(F.col(text), F.lit(""))).alias("body")
+    )
+    return [(r["body"], r["_label"]) for r in texts.orderBy("_key").collect()]
 
 
 def scored(
