@@ -10,12 +10,13 @@ the collisions to be expected; pairs that may reach the limit are confirmed on
 the full sets.
 
 No group is expanded into all its pairs. First each class is compared with the
-smallest and the largest class of its buckets, and links found are joined into
-components. Then, per bucket, only classes outside the bucket's main component
-are compared with classes of other components. Classes of different components
-that share a bucket are all compared, so no link between them is lost that the
-bands find. With the defaults a pair at similarity 0.85 shares no band with
-probability 1e-6.
+hubs of its buckets, and links found are joined into components. Then, in small
+buckets, classes outside the bucket's main component are compared with classes
+of other components; in large ones, pairs are found by what they have in common
+that sets them off from the hub. Both ways keep every pair of different
+components that shares a bucket and can reach the limit, so no link between
+them is lost that the bands find. With the defaults a pair at similarity 0.85
+shares no band with probability 1e-6.
 
 Defined results: a text without words, or a null text, has the empty set and is
 linked with nothing. Null keys take part, but the smallest key that is not null
@@ -44,6 +45,8 @@ BANDS = REGISTERS // ROWS
 PARTS = 64
 #: Standard deviations that an estimate may fall short of the limit.
 MARGIN = 5.0
+#: Classes of a bucket above which pairs are sought by differences to its hub.
+HOT = 64
 #: Most ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -244,33 +247,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each class with the smallest and the largest class of its buckets."""
-    ends = buckets.groupBy("bucket").agg(
-        F.min(F.struct("cls", "n")).alias("low"), F.max(F.struct("cls", "n")).alias("high")
+def _with_hubs(buckets: DataFrame) -> DataFrame:
+    """Each row of a bucket with the bucket's size and hub.
+
+    The hub is the class with the most company in all its buckets: in a group
+    of edited copies it is the text they were made from, or close to it.
+    """
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    company = buckets.join(sizes, "bucket").groupBy("cls").agg(F.sum("m").alias("company"))
+    hubs = buckets.join(company, "cls").groupBy("bucket").agg(
+        F.max(F.struct("company", "cls", "n")).alias("top"), F.count(F.lit(1)).alias("m")
     )
-    hubs = ends.select("bucket", F.explode(F.array("low", "high")).alias("hub"))
+    return buckets.join(
+        hubs.select("bucket", "m", F.col("top.cls").alias("hub"), F.col("top.n").alias("nh")), "bucket"
+    )
+
+
+def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hubs of its buckets."""
     return (
-        buckets.join(hubs, "bucket")
-        .where(f"cls <> hub.cls AND 100 * least(n, hub.n) >= {percent} * greatest(n, hub.n)")
-        .select(F.least("cls", "hub.cls").alias("a"), F.greatest("cls", "hub.cls").alias("b"))
+        buckets.where(f"cls <> hub AND 100 * least(n, nh) >= {percent} * greatest(n, nh)")
+        .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
         .distinct()
     )
 
 
-def _rest_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket and different components.
+def _rest_pairs(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one small bucket and different components.
 
-    One side is outside the bucket's main component, so a group that is
-    linked already costs nothing.
+    One side is outside the bucket's main component.
     """
-    marked = buckets.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    marked = stored(marked, "marked")
-    counts = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
+    counts = marked.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("size"))
     main = counts.groupBy("bucket").agg(
-        F.max(F.struct("m", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")
+        F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")
     ).where("comps > 1").select("bucket", "main")
-    open_rows = marked.join(main, "bucket")
+    open_rows = marked.select("bucket", "cls", "n", "comp").join(main, "bucket")
     others = open_rows.where("comp <> main").select(
         "bucket", F.col("cls").alias("c1"), F.col("n").alias("n1"), F.col("comp").alias("k1")
     )
@@ -285,6 +296,72 @@ def _rest_pairs(buckets: DataFrame, labels: DataFrame, percent: int) -> DataFram
     )
 
 
+def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a large bucket that may be linked though not both to its hub.
+
+    A class differs from the hub by the symmetric difference D of the sets.
+    Sets x and y at the limit differ by at most t = c (|x| + |y|) shingles,
+    c = (100 - percent) / (100 + percent), so their D share o = (|Dx| + |Dy| -
+    t) / 2 shingles at least. If o is 0 or less, both are linked to the hub.
+    Otherwise, in any fixed order, the first shingle they share stands among
+    the first |D| - o + 1 of both, and enough follow it. Shingles that the hub
+    lacks come first in the order, being rare. So pairs meet at shingles of
+    their edits, not at the text they have in common, and none is lost.
+    """
+    c = (100 - percent) / (100 + percent)
+    members = marked.select("hub", "cls", "n", "comp").distinct().where("cls <> hub")
+    own = labels.select(F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"))
+    members = members.join(own, "hub", "left").withColumn(
+        "near", F.col("comp") == F.coalesce("hub_comp", "hub")
+    )
+    with_sets = members.join(
+        sets.select("cls", F.col("items").alias("mine")), "cls"
+    ).join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("base")), "hub")
+    names = ["hub", "cls", "n", "comp", "near", "d", "place", "item"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = {k: batch.column(k) for k in ("hub", "cls", "n", "comp", "near")}
+            parts = {"d": [], "place": [], "item": []}
+            counts = []
+            for i in range(batch.num_rows):
+                mine, base = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in ("mine", "base"))
+                new = np.setdiff1d(mine, base, assume_unique=True)
+                lost = np.setdiff1d(base, mine, assume_unique=True)
+                d = len(new) + len(lost)
+                if rows["near"][i].as_py():
+                    first = int(d * (1 + c) / 2) + 2
+                else:
+                    first = int(c * len(mine) * (1 + 100 / percent)) + 2
+                items = np.concatenate([new, lost])[:first]
+                counts.append(len(items))
+                parts["item"].append(items)
+                parts["place"].append(np.arange(len(items)))
+                parts["d"].append(np.full(len(items), d))
+            if sum(counts):
+                at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+                columns = [rows[k].take(at) for k in names[:5]]
+                columns += [pa.array(np.concatenate(parts[k]).astype(np.int64)) for k in ("d", "place")]
+                columns.append(pa.array(np.concatenate(parts["item"]).view(np.int64)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = "hub long, cls long, n long, comp long, near boolean, d long, place long, item long"
+    firsts = stored(with_sets.mapInArrow(run, schema), "firsts")
+    others = firsts.where("NOT near").select(
+        "hub", "item", *[F.col(k).alias(f"{k}1") for k in ("cls", "n", "comp", "d", "place")]
+    )
+    return (
+        others.join(firsts, ["hub", "item"])
+        .where(
+            "comp <> comp1 AND (near OR cls1 < cls) AND "
+            f"100 * least(n, n1) >= {percent} * greatest(n, n1) AND "
+            f"2 * least(d - place, d1 - place1) >= d + d1 - {c!r} * (n + n1) - 1e-6"
+        )
+        .select(F.least("cls", "cls1").alias("a"), F.greatest("cls", "cls1").alias("b"))
+        .distinct()
+    )
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -293,10 +370,11 @@ def near_duplicates(
     Returns the key, ``n_shingles``, ``component_id`` and ``kept``.
     """
     signed = stored(_signatures(docs, key, text), "signatures")
-    rows = signed.select("key", "n", "fa", "fb").withColumn(
-        "part", F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
+    rows = signed.select("key", "n", "fa", "fb", F.concat_ws(":", "fa", "fb", part).alias("spot"))
+    parts = rows.where("n > 0").groupBy("spot").agg(
+        F.min("key").alias("low"), F.first("fa").alias("fa"), F.first("fb").alias("fb")
     )
-    parts = rows.where("n > 0").groupBy("fa", "fb", "part").agg(F.min("key").alias("low"))
     names = parts.groupBy("fa", "fb").agg(F.min("low").alias("cls"))
     reps = signed.where("n > 0").join(
         names.select(F.col("fa").alias("_fa"), F.col("fb").alias("_fb"), "cls"),
@@ -308,7 +386,7 @@ def near_duplicates(
     )
     bands = _bands(classes)
     shared = bands.groupBy("bucket").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y")
-    buckets = stored(bands.join(shared.select("bucket"), "bucket"), "buckets")
+    buckets = stored(_with_hubs(stored(bands.join(shared.select("bucket"), "bucket"), "shared")), "buckets")
     sets = stored(
         _full_sets(docs, buckets.select("cls", F.col("cls").alias("rep")).distinct(), key, text), "sets"
     )
@@ -318,16 +396,22 @@ def near_duplicates(
         return stored(_confirmed(tried, sets, percent), f"{name}-links"), tried
 
     first, tried = links(_star_pairs(buckets, percent), "star")
-    rest = _rest_pairs(buckets, components(first), percent).join(tried, ["a", "b"], "left_anti")
+    linked = components(first)
+    marked = stored(
+        buckets.join(linked, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "marked"
+    )
+    cold = _rest_pairs(marked.where(F.col("m") <= HOT), percent)
+    hot = _hot_pairs(marked.where(F.col("m") > HOT), linked, sets, percent)
+    rest = cold.unionByName(hot).distinct().join(tried, ["a", "b"], "left_anti")
     second, _ = links(rest, "rest")
     labels = components(first.unionByName(second))
     decided = names.join(labels, "cls", "left").select(
         "fa", "fb", F.coalesce("comp", "cls").alias("component")
     )
-    spots = parts.select("fa", "fb", "part").join(decided, ["fa", "fb"]).repartition("fa", "fb", "part")
-    linked = rows.join(spots, ["fa", "fb", "part"], "left")
+    spots = parts.select("spot", "fa", "fb").join(decided, ["fa", "fb"]).select("spot", "component")
+    placed = rows.join(spots, "spot", "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("key"))
-    return linked.select(
+    return placed.select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
