@@ -40,7 +40,7 @@ TARGET_RECALL = 0.999
 #: Places that a repetition samples, and the share of equal places to expect of
 #: the embeddings of an item and of a window near the limit.
 SAMPLED = 3
-AGREEMENT = 0.5
+AGREEMENT = 0.4
 WALKS = 4
 BLOCK_ITEMS = 20_000
 PART_CHARS = 4 << 20
@@ -118,6 +118,11 @@ def nearest_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
+def stride(size: int) -> int:
+    """Words from one window start to the next."""
+    return max(1, size // 8)
+
+
 def pair_ids(words: np.ndarray) -> np.ndarray:
     """A hash of each word and the next."""
     return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
@@ -164,7 +169,7 @@ class Items:
         # its runs of triples one holds its share of them.
         self.run, self.run_least = 0, 0
         for run in range(1, self.sizes[0] - 1):
-            least = run - max(3 * self.edits(n) // ((n - 2) // run) for n in self.sizes)
+            least = run - max((3 * self.edits(n) + stride(n) // 2) // ((n - 2) // run) for n in self.sizes)
             if least > 0 and least * max(self.run, 1) >= self.run_least * run:
                 self.run, self.run_least = run, least
 
@@ -185,14 +190,16 @@ class Items:
         sums, pairs = _counts(words, self.vocabulary), _counts(pair_ids(words), self.pairs)
         starts, sizes = [], []
         for size in self.sizes:
-            step, edits = max(1, size // 8), self.edits(size)
+            step, edits = stride(size), self.edits(size)
+            # A start between two strides leaves that many more words outside.
+            off = step // 2
             own = spots[(spots % step == 0) & (spots + size <= len(words))]
-            held = (sums[own + size] - sums[own] >= size - edits) & (
-                pairs[own + size - 1] - pairs[own] >= size - 1 - 2 * edits
+            held = (sums[own + size] - sums[own] >= size - edits - off) & (
+                pairs[own + size - 1] - pairs[own] >= size - 1 - 2 * edits - off
             )
             own = own[held]
             if size > 1:
-                own = own[triples[own + size - 2] - triples[own] >= size - 2 - 3 * edits]
+                own = own[triples[own + size - 2] - triples[own] >= size - 2 - 3 * edits - off]
             starts.append(own)
             sizes.append(np.full(len(own), size))
         return np.concatenate(starts), np.concatenate(sizes)
@@ -228,11 +235,16 @@ class Items:
                     stretches[-1][1] = high
                 else:
                     stretches.append([low, high])
-            for low, high in stretches:
-                low = max(low, 0)
+            # What is left and right of a span may hold another.
+            rest = [(max(low, 0), high) for low, high in stretches]
+            while rest:
+                low, high = rest.pop()
+                if high - low < len(own) - self.allowed[owner]:
+                    continue
                 edits, start, end = nearest_span(own, words[low:high])
                 if edits <= self.allowed[owner] and end > start:
                     spans.append((edits, low + start, low + end))
+                    rest += [(low, low + start), (low + end, high)]
             taken: list[tuple[int, int]] = []
             for edits, start, end in sorted(spans):
                 if all(end <= s or start >= e for s, e in taken):
