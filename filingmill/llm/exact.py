@@ -116,19 +116,17 @@ def first_copies(
     Texts stay where they are unless a key repeats with the same text.
     """
     mine = docs.withColumn("_exact_digest", digest_of(text))
-    marks = decisions.groupBy("digest", F.col(key).alias("_exact_key")).agg(
-        F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("rows")
-    )
+    marks = decisions.groupBy(
+        F.col(key).alias("_exact_key"), F.col("digest").alias("_exact_mark")
+    ).agg(F.bool_and("kept").alias("_exact_stays"), F.count(F.lit(1)).alias("_exact_rows"))
+    names = ["_exact_key", "_exact_mark"]
     same = [
         mine[key].eqNullSafe(F.col("_exact_key")),
-        mine["_exact_digest"] == F.col("digest"),
+        mine["_exact_digest"] == F.col("_exact_mark"),
     ]
-    special = marks.where(~F.col("stays") | (F.col("rows") > 1)).select(
-        "digest", "_exact_key"
-    )
-    repeated = marks.where(F.col("stays") & (F.col("rows") > 1)).select(
-        "digest", "_exact_key"
-    )
+    several = F.col("_exact_rows") > 1
+    special = marks.where(~F.col("_exact_stays") | several).select(*names)
+    repeated = marks.where(F.col("_exact_stays") & several).select(*names)
     single = mine.join(special, same, "left_anti").select(*docs.columns)
     copy = Window.partitionBy(key, "_exact_digest").orderBy(key)
     once = (
