@@ -81,9 +81,9 @@ def query_tokens(c: Column) -> Column:
 
 
 def clean_search_term(c: Column) -> Column:
-    """Letters, digits and `` .&'-`` only, 80 characters, no wildcards."""
+    """Letters, digits and `` .&'-`` only, no wildcards."""
     kept = F.regexp_replace(trim_space(c), r"[^\p{L}\p{N} .&'-]", "")
-    return F.regexp_replace(F.substring(kept, 1, 80), r"[%_*]", "")
+    return F.regexp_replace(kept, r"[%_*]", "")
 
 
 # ------------------------------------------------------------- numeric tokens
@@ -201,10 +201,10 @@ def fact_grounded(
 
 
 def claim_supported(claim: Column, quote: Column) -> Column:
-    """All numbers, and at least four of the first sixteen claim words."""
+    """All numbers, and at least four of the claim words."""
     parts = F.struct(
         grouped_numbers(claim).alias("numbers"),
-        F.slice(meaningful_words(claim), 1, 16).alias("words"),
+        meaningful_words(claim).alias("words"),
         grouped_numbers(quote).alias("shown"),
         F.lower(quote).alias("quote"),
     )

@@ -16,8 +16,6 @@ GROUP_PAGES = 3
 MIN_PAGE_CHARS = 30
 PREVIEW_CHARS = 5_000
 PREVIEW_PAGES = 3
-READ_CAP = 500
-SEARCH_CAP = 100
 
 
 def split_pages(documents: DataFrame, separator: str = "\f") -> DataFrame:
@@ -352,7 +350,7 @@ def chunk_range(
     page_from: int | None = None,
     page_to: int | None = None,
     chunk_indexes: list[int] | None = None,
-    limit: int = 50,
+    limit: int | None = None,
     include_metadata: bool = False,
 ) -> DataFrame:
     """Ordered chunks of one document.
@@ -368,7 +366,8 @@ def chunk_range(
         rows = rows.where(F.col("page_start") >= page_from)
     if page_to is not None:
         rows = rows.where(F.col("page_end") <= page_to)
-    return rows.orderBy("chunk_index").limit(min(limit, READ_CAP))
+    rows = rows.orderBy("chunk_index")
+    return rows if limit is None else rows.limit(limit)
 
 
 def search_chunks(
@@ -376,12 +375,12 @@ def search_chunks(
     documents: DataFrame,
     query: str,
     company_id: object | None = None,
-    limit: int = 10,
+    limit: int | None = None,
 ) -> DataFrame:
     """Case-insensitive keyword search over chunks, with document titles.
 
-    Hits are cut to the limit before the title join, so the join sees at most
-    that many rows.
+    With a limit, hits are cut to it before the title join, so the join sees
+    at most that many rows.
     """
     needle = query.strip()
     rows = chunks.where(F.col("chunk_index") > 0)
@@ -389,11 +388,9 @@ def search_chunks(
         rows = rows.where(F.col("company_id") == company_id)
     if len(needle) < 2:
         rows = rows.where(F.lit(False))
-    hits = (
-        rows.where(F.contains(F.lower("content"), F.lit(needle.lower())))
-        .orderBy("chunk_index", "document_id")
-        .limit(min(limit, SEARCH_CAP))
-    )
+    hits = rows.where(F.contains(F.lower("content"), F.lit(needle.lower())))
+    if limit is not None:
+        hits = hits.orderBy("chunk_index", "document_id").limit(limit)
     return with_titles(hits, documents)
 
 

@@ -16,7 +16,6 @@ from filingmill.rules import words as W
 
 KEY = ["company_id", "document_id", "section_key", "pos"]
 SCOPE = KEY[:3]
-EXCERPT_WORDS = 20
 MAX_CONCLUSIONS = 5
 SHARED_WORDS = 0.68
 REPORTED_BASES = ["CONSOLIDATED", "STANDALONE"]
@@ -52,7 +51,7 @@ def best_excerpt(
         units.select(*keys, "cite_pos", "content"), list(keys)
     )
     numbers = T.grouped_numbers(F.col("claim"))
-    words = F.slice(T.meaningful_words(F.col("claim")), 1, EXCERPT_WORDS)
+    words = T.meaningful_words(F.col("claim"))
     rows = rows.withColumn("_plain", T.nfkc(F.col("content")))
     rows = (
         compute_once(

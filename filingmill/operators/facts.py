@@ -27,8 +27,6 @@ TABLE_CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
 TEXT_FACT = r"([A-Za-z /\-]+?)\s{2,}([\d,]+(?:\.\d+)?)"
 
-RAW_TEXT_LIMIT = 50_000
-STATEMENT_LIMIT = 2_000
 
 
 def statement_type(label: Column, xbrl: bool = False) -> Column:
@@ -193,7 +191,7 @@ def guidance_statements(
         .select(
             "document_id", "company_id",
             F.col("paragraph_pos").cast("bigint").alias("paragraph_pos"),
-            F.substring("statement", 1, STATEMENT_LIMIT).alias("statement"),
+            "statement",
             F.lit("guidance").alias("topic"),
             F.lit(False).alias("is_verbatim"),
         )
@@ -270,13 +268,8 @@ def extraction_outcome(documents: DataFrame, facts: DataFrame) -> DataFrame:
         n.alias("n_facts"),
         F.when(
             kind == "html",
-            F.substring(
-                T.visible_text(clean_html(F.col("payload"))),
-                1, RAW_TEXT_LIMIT,
-            ),
-        ).when(
-            kind == "text", F.substring("payload", 1, RAW_TEXT_LIMIT)
-        ).alias("raw_text"),
+            T.visible_text(clean_html(F.col("payload"))),
+        ).when(kind == "text", F.col("payload")).alias("raw_text"),
     )
 
 

@@ -12,9 +12,6 @@ from filingmill.functions import text as T
 from filingmill.rules import words as W
 
 RUN = ["company_id", "document_id"]
-SHOWN_NUMBERS = 5
-EXCERPT_LIMIT = 900
-NEEDLE = 80
 MIN_QUOTE = 40
 MIN_ANALYSIS = 40
 MIN_IMPLICATION = 20
@@ -36,7 +33,7 @@ def grounding_note() -> Column:
     )
     detail = F.concat(
         F.lit("Numbers not found in cited evidence: "),
-        F.array_join(F.slice(missing, 1, SHOWN_NUMBERS), ", "),
+        F.array_join(missing, ", "),
     )
     quote = F.coalesce("supporting_quote", F.lit(""))
     return (
@@ -394,7 +391,7 @@ def citations(units: DataFrame, keys: Sequence[str]) -> DataFrame:
 def quote_fallback(
     findings: DataFrame, packs: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Units containing the start of an uncited quote, first per pack.
+    """Units containing an uncited quote, first per pack.
 
     ``findings`` has the key columns, the document and supporting_quote.
     Instead of testing every quote on every unit of its document, both sides
@@ -404,7 +401,7 @@ def quote_fallback(
     """
     pack = ["company_id", "document_id", "section_key"]
     doc = ["company_id", "document_id"]
-    needle = F.lower(F.substring("supporting_quote", 1, NEEDLE))
+    needle = F.lower("supporting_quote")
     inner = F.regexp_extract_all(
         "needle", F.lit(r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"), 0
     )
@@ -473,7 +470,7 @@ def grounded_labels(
             "accounting_basis": T.coerce(
                 F.col("accounting_basis"), W.ALLOWED_BASES, "NOT_CLEAR"
             ),
-            "supporting_quote": F.substring("excerpt", 1, EXCERPT_LIMIT),
+            "supporting_quote": F.col("excerpt"),
         }
     )
 

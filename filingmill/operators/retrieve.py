@@ -21,7 +21,6 @@ from filingmill.rules.words import QUERY_STOP_WORDS
 from filingmill.session import fixed_table
 
 MIN_UNIT = 24
-MAX_UNIT = 900
 UNIT_BONUS = 60
 CHUNK_BONUS = 18
 DIGIT_SCORE = 2
@@ -96,9 +95,7 @@ def _units(chunks: DataFrame) -> DataFrame:
             lambda i: F.array(unit(i, 1), unit(i, 2)),
         )
     )
-    units = F.filter(
-        units, lambda u: F.length(u["content"]).between(MIN_UNIT, MAX_UNIT)
-    )
+    units = F.filter(units, lambda u: F.length(u["content"]) >= MIN_UNIT)
     digit_ids = F.array_distinct(
         F.filter("units", lambda u: u["has_digit"])["unit_id"]
     )

@@ -12,8 +12,6 @@ from filingmill.rules import metrics as M
 
 NAME_LIMIT = 10
 DIRECTORY_LIMIT = 200
-NEWS_LIMIT = 200
-DOCUMENT_LIMIT = 400
 QUEUE_LIMIT = 50
 METRIC_LIMIT = 200
 FILINGS_PER_RUN = 10
@@ -104,8 +102,10 @@ def exchange_codes(companies: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------------ feed
 
 
-def _top(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """First n rows per company; the group limit prunes before the shuffle."""
+def _top(rows: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
+    """First n rows per company, or all; the group limit prunes before the shuffle."""
+    if n is None:
+        return rows
     window = Window.partitionBy("company_id").orderBy(*order)
     return (
         rows.withColumn("_rn", F.row_number().over(window))
@@ -113,12 +113,12 @@ def _top(rows: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     )
 
 
-def latest_news(news: DataFrame, n: int = NEWS_LIMIT) -> DataFrame:
+def latest_news(news: DataFrame, n: int | None = None) -> DataFrame:
     order = [F.desc_nulls_last("published_at"), F.col("news_id")]
     return _top(news, order, n)
 
 
-def latest_documents(documents: DataFrame, n: int = DOCUMENT_LIMIT) -> DataFrame:
+def latest_documents(documents: DataFrame, n: int | None = None) -> DataFrame:
     order = [F.desc_nulls_last("publication_date"), F.col("document_id")]
     return _top(documents, order, n)
 
@@ -170,21 +170,42 @@ def feed_order() -> list[Column]:
 def company_feed(
     companies: DataFrame, news: DataFrame, documents: DataFrame,
     ticker: str | None = None, source_type: str = "all",
+    n_news: int | None = None, n_documents: int | None = None,
 ) -> DataFrame:
-    """Latest news and documents per company in one ordered feed.
+    """All, or the latest, news and documents per company in one ordered feed.
 
-    Each company's place in its feed comes as ``feed_rank``. Both inputs are
-    cut to their limits per company first, so a feed has at most 600 rows.
+    Each company's place in its feed comes as ``feed_rank``. Items are ranked
+    within their day and the days are added up, so no task orders a whole
+    company.
     """
     wanted = companies.select("company_id", "ticker")
     if ticker is not None:
         wanted = wanted.where(F.col("ticker") == F.upper(F.trim(F.lit(ticker))))
-    items = feed_items(latest_news(news), latest_documents(documents))
+    items = feed_items(
+        latest_news(news, n_news), latest_documents(documents, n_documents)
+    )
     items = items.join(wanted, "company_id")
     if source_type != "all":
         items = items.where(F.col("source_type") == source_type)
-    window = Window.partitionBy("company_id").orderBy(*feed_order())
-    return items.withColumn("feed_rank", F.row_number().over(window))
+    items = items.withColumn(
+        "_day", F.to_date(F.coalesce("published_at", F.lit(EPOCH).cast("timestamp")))
+    )
+    later = (
+        Window.partitionBy("company_id").orderBy(F.desc("_day"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    days = (
+        items.groupBy("company_id", "_day").agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_before", F.coalesce(F.sum("_n").over(later), F.lit(0)))
+        .drop("_n")
+    )
+    window = Window.partitionBy("company_id", "_day").orderBy(*feed_order())
+    return (
+        items.withColumn("_rank", F.row_number().over(window))
+        .join(days, ["company_id", "_day"])
+        .withColumn("feed_rank", (F.col("_before") + F.col("_rank")).cast("int"))
+        .drop("_day", "_rank", "_before")
+    )
 
 
 def _type_grid(companies: DataFrame) -> DataFrame:

@@ -18,23 +18,25 @@ from filingmill.sources import feeds, tables
 
 def discover(
     announcements: DataFrame, news: DataFrame, days_back_news: int = 21,
-    days_back_filings: int = 365,
+    days_back_filings: int = 365, max_news: int | None = None,
 ) -> DataFrame:
     """Landed announcement and RSS payloads -> discovered items.
 
     News come before announcements. ``arrival`` is built from the fetch time,
-    the feed and the position in it, so no company is numbered in one task. It
-    is unique per company as long as a feed is fetched once per microsecond.
+    the feed and the position in it (below 2^32, as it is an array place), so
+    no company is numbered in one task. It is unique per company as long as a
+    feed is fetched once per microsecond. ``feeds.news_limit(days_back_news)``
+    is the usual value of ``max_news``; without it all news are read.
     """
-    items = feeds.news_items(
-        news, max_items=feeds.news_limit(days_back_news)
-    ).withColumn("_feed", F.lit(0)).unionByName(
+    items = feeds.news_items(news, max_items=max_news).withColumn("_feed", F.lit(0)).unionByName(
         feeds.announcements(announcements, days_back=days_back_filings)
         .withColumn("_feed", F.lit(1))
     )
-    slot = F.col("_feed") * feeds.FEED_SLOTS + F.col("feed_pos")
-    arrival = F.unix_micros("fetched_at") * (2 * feeds.FEED_SLOTS) + slot
-    return items.withColumn("arrival", arrival.cast("bigint")).drop(
+    arrival = F.expr(
+        "unix_micros(fetched_at) * CAST(8589934592 AS DECIMAL(18, 0))"
+        " + _feed * 4294967296L + feed_pos"
+    )
+    return items.withColumn("arrival", arrival.cast("decimal(38, 0)")).drop(
         "_feed", "feed_pos"
     )
 

@@ -87,23 +87,22 @@ def document_preview(spark, sf_dir) -> DataFrame:
 
 @query(
     "chunk_search",
-    f"""WITH {V.CHUNKS_SQL}, h AS (SELECT *, row_number() OVER (ORDER BY chunk_index, document_id) AS rn
-      FROM chunks WHERE company_id = 'en' AND contains(lower(content), 'that the'))
-    SELECT h.document_id, CAST(chunk_index AS INTEGER) AS chunk_index, content, left(string_split(d.text, chr(10))[1], 60) AS document_title
-    FROM h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.document_id WHERE rn <= 100""",
+    f"""WITH {V.CHUNKS_SQL}, h AS (SELECT * FROM chunks WHERE company_id = 'en' AND contains(lower(content), 'that the'))
+    SELECT h.document_id, CAST(chunk_index AS INTEGER) AS chunk_index, content, string_split(d.text, chr(10))[1] AS document_title
+    FROM h JOIN documents d ON CAST(d.doc_id AS VARCHAR) = h.document_id  """,
 )
 def chunk_search(spark, sf_dir) -> DataFrame:
-    """First hundred chunks of a company that hold a phrase."""
+    """All chunks of a company that hold a phrase."""
     return C.search_chunks(
         V.paragraph_chunks(spark, sf_dir), V.documents(spark, sf_dir),
-        " That THE ", "en", 1000,
+        " That THE ", "en",
     ).select("document_id", "chunk_index", "content", "document_title")
 
 
 @query(
     "chunk_range",
     f"""WITH {V.CHUNKS_SQL} SELECT document_id, CAST(chunk_index AS INTEGER) AS chunk_index, content FROM chunks
-    WHERE document_id = '17' AND chunk_index BETWEEN 2 AND 9 ORDER BY chunk_index LIMIT 50""",
+    WHERE document_id = '17' AND chunk_index BETWEEN 2 AND 9 ORDER BY chunk_index""",
 )
 def chunk_range(spark, sf_dir) -> DataFrame:
     """Chunks of one document in a page range."""
@@ -157,7 +156,7 @@ units AS (SELECT *, chunk_index || ':' || line_start || '-' || line_end AS unit_
     SELECT company_id, document_id, chunk_index, line_start, line_start AS line_end, 1 AS size, a AS content FROM lines
     UNION ALL SELECT company_id, document_id, chunk_index, line_start, least(n, line_start + 1), 2,
       concat_ws(' ', nullif(a, ''), nullif(b, '')) FROM lines)
-  WHERE length(content) BETWEEN 24 AND 900)"""
+  WHERE length(content) >= 24)"""
 
 _Q_ROWS = [(s, i, q) for s, qs in V.TEST_QUERIES.items() for i, q in enumerate(qs)]
 
@@ -294,7 +293,7 @@ _CLEAN = "regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g
     "html_paragraphs",
     f"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(unnest(regexp_extract_all({_CLEAN}, '(?is)<p[^>]*>(.*?)</p>', 1)),
       '<[^>]+>', '', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS statement FROM pages)
-    SELECT page_id, left(statement, 2000) AS statement FROM p
+    SELECT page_id, statement FROM p
     WHERE length(statement) > 50 AND regexp_matches(statement, '(?i)heon|eaux|keit|aim|plan')""",
 )
 def html_paragraphs(spark, sf_dir) -> DataFrame:
@@ -377,7 +376,7 @@ def numeric_tokens(spark, sf_dir) -> DataFrame:
     f"""WITH {V.CLAIMS_SQL}, m AS (SELECT *, list_filter({_material('fact')}, lambda x: NOT list_contains({_material('supporting_quote')}, x)) AS missing FROM claims)
     SELECT finding_id, CASE WHEN supporting_quote = '' THEN 'MISSING_EVIDENCE' ELSE 'NUMERICAL_MISMATCH' END AS status,
       CASE WHEN supporting_quote = '' THEN 'No supporting quote captured for this finding.'
-        ELSE 'Numbers not found in cited evidence: ' || array_to_string(missing[1:5], ', ') END AS detail, 'HIGH' AS severity
+        ELSE 'Numbers not found in cited evidence: ' || array_to_string(missing, ', ') END AS detail, 'HIGH' AS severity
     FROM m WHERE NOT insufficient_evidence AND (supporting_quote = '' OR len(missing) > 0)""",
 )
 def number_grounding(spark, sf_dir) -> DataFrame:
@@ -426,7 +425,7 @@ def fact_grounding(spark, sf_dir) -> DataFrame:
     "claim_support",
     f"""WITH {V.TURNS_SQL}, o AS (SELECT conv_id, turn, {_words_sql('claim')} AS w, lower(quote) AS q FROM turns),
     u AS (SELECT conv_id, turn, q, list_filter(list_transform(generate_series(1, len(w)), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END),
-      lambda x: x IS NOT NULL)[1:16] AS w FROM o)
+      lambda x: x IS NOT NULL) AS w FROM o)
     SELECT conv_id, turn, CASE WHEN len(w) = 0 THEN false ELSE len(list_filter(w, lambda t: contains(q, t))) >= least(4, len(w)) END AS supported FROM u""",
 )
 def claim_support(spark, sf_dir) -> DataFrame:
@@ -572,19 +571,19 @@ def citations(spark, sf_dir) -> DataFrame:
 
 @query(
     "quote_fallback",
-    f"""WITH {SELECT_SQL}, asked AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lower(left(x, 80)) AS needle FROM (
-        SELECT doc_id, substr(string_split(text, chr(10))[1], 5) AS x FROM documents) WHERE length(trim(x)) > 40)
+    f"""WITH {SELECT_SQL}, asked AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, lower(x) AS needle FROM (
+        SELECT doc_id, string_split(text, chr(10))[1] AS x FROM documents) WHERE length(trim(x)) > 40)
     SELECT document_id, section_key, unit_id FROM (SELECT a.document_id, p.section_key, p.unit_id, row_number() OVER (
         PARTITION BY a.document_id, p.section_key ORDER BY p.chunk_index, p.line_start, p.size) AS rn
       FROM asked a JOIN packs p ON p.document_id = a.document_id AND contains(lower(p.content), needle)) WHERE rn = 1""",
 )
 def quote_fallback(spark, sf_dir) -> DataFrame:
-    """First unit of each pack that holds the start of a quote."""
+    """First unit of each pack that holds a document's first line."""
     _, packs = _cited(spark, sf_dir)
     quotes = V.table(spark, sf_dir, "documents").select(
         F.col("lang").alias("company_id"),
         F.col("doc_id").cast("string").alias("document_id"),
-        F.expr("substring(split(text, '\n')[0], 5)").alias("supporting_quote"),
+        F.expr("split(text, '\n')[0]").alias("supporting_quote"),
     )
     return qa.quote_fallback(quotes, packs, ["document_id"]).select(
         "document_id", "section_key", "unit_id"
@@ -593,10 +592,10 @@ def quote_fallback(spark, sf_dir) -> DataFrame:
 
 @query(
     "best_excerpt",
-    f"""WITH {SELECT_SQL}, c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, left(string_split(text, chr(10))[1], 200) AS claim FROM documents),
+    f"""WITH {SELECT_SQL}, c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, string_split(text, chr(10))[1] AS claim FROM documents),
     w0 AS (SELECT document_id, claim, {_words_sql('claim')} AS w FROM c),
     w1 AS (SELECT document_id, claim, {_grouped('claim')} AS nums, list_filter(list_transform(generate_series(1, len(w)),
-      lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL)[1:20] AS w FROM w0),
+      lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS w FROM w0),
     j AS (SELECT w1.document_id, p.unit_id, p.content, p.chunk_index, p.line_start, p.size, nums, w,
       len(list_filter(w, lambda t: contains(trim(regexp_replace(lower(p.content), '\\s+', ' ', 'g')), t))) AS hits
       FROM w1 JOIN packs p ON p.document_id = w1.document_id AND p.section_key = 'english'
@@ -610,7 +609,7 @@ def best_excerpt(spark, sf_dir) -> DataFrame:
     _, packs = _cited(spark, sf_dir)
     claims = V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
-        F.substring(F.split("text", "\n")[0], 1, 200).alias("claim"),
+        F.split("text", "\n")[0].alias("claim"),
     )
     place = F.col("chunk_index") * 100000 + F.col("line_start")
     units = packs.where("section_key = 'english'").withColumn("cite_pos", place)
@@ -654,7 +653,7 @@ def subject_proximity(spark, sf_dir) -> DataFrame:
         "Wholesale",
     ).otherwise("RETAIL   segment")
     excerpt = F.concat(name, F.lit(" revenue "), far, F.lit("of ₹11"), amount)
-    return V.spread_orders(spark, sf_dir).select(
+    return V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         T.subject_supported(claim, excerpt).alias("ok"),
     )
@@ -702,7 +701,7 @@ def scrub_ids(spark, sf_dir) -> DataFrame:
         F.lit(" (sourceFindingIds: ["), key, F.lit("]) in chunk "), key,
         F.lit(" the\tyear chunks 4, 5 ."),
     )
-    return V.spread_orders(spark, sf_dir).select(
+    return V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"),
         F.replace(T.scrub_ids(text), F.lit("\t"), F.lit(" ")).alias("text"),
     )
@@ -761,7 +760,7 @@ def anchored_claims(spark, sf_dir) -> DataFrame:
         .otherwise("No figure")
     )
     cite = F.struct(F.lit(1).alias("chunk_index"))
-    rows = V.spread_orders(spark, sf_dir).select(
+    rows = V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), claim.alias("claim"),
         shown.alias("data_point"),
         F.when(pri == "5-LOW", F.array().cast("array<struct<chunk_index:int>>"))
@@ -781,9 +780,9 @@ one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORD
 claims AS (SELECT document_id, unit_id, content, chunk_index, rn, CASE rn WHEN 1 THEN content || ' revenue' ELSE 'unrelated revenue statement words entirely' END AS claim FROM one),
 w0 AS (SELECT *, {_words_sql('claim')} AS w FROM claims),
 w1 AS (SELECT *, list_filter(list_transform(generate_series(1, len(w)), lambda i: CASE WHEN list_position(w, w[i]) = i THEN w[i] END), lambda x: x IS NOT NULL) AS u FROM w0),
-h AS (SELECT *, len(list_filter(u[1:20], lambda t: contains(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')), t))) AS h20,
-  len(list_filter(u[1:16], lambda t: contains(lower(content), t))) AS h16 FROM w1),
-s AS (SELECT *, h20 >= least(4, len(u[1:20])) AND h16 >= least(4, len(u[1:16])) AS supported FROM h)"""
+h AS (SELECT *, len(list_filter(u, lambda t: contains(trim(regexp_replace(lower(content), '\\s+', ' ', 'g')), t))) AS h20,
+  len(list_filter(u, lambda t: contains(lower(content), t))) AS h16 FROM w1),
+s AS (SELECT *, h20 >= least(4, len(u)) AND h16 >= least(4, len(u)) AS supported FROM h)"""
 
 
 @query(
@@ -906,7 +905,7 @@ def section_blocks(spark, sf_dir) -> DataFrame:
         F.lit('","headers":["a"],"rows":[["1"]]}[/TABLE]\n[TABLE]{"bad":1}[/TABLE]More.\n--- Detailed findings ---\n\nFinding '),
         key,
     )
-    rows = V.spread_orders(spark, sf_dir).select(
+    rows = V.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), content.alias("content")
     )
     return report.parse_section(rows, ["row_id"]).select(

@@ -348,7 +348,7 @@ def announcement_feed(spark, sf_dir) -> DataFrame:
 )
 def filing_feeds(spark, sf_dir) -> DataFrame:
     """Three exchange lists per order -> one filing table."""
-    orders = V.spread_orders(spark, sf_dir)
+    orders = V.table(spark, sf_dir, "orders")
     key, cust, status = (
         F.col("o_orderkey"), F.col("o_custkey").cast("string"),
         F.col("o_orderstatus"),
@@ -440,14 +440,13 @@ FEED_SQL = """
 nw AS (SELECT * FROM (SELECT CAST(user_id AS VARCHAR) AS company_id, CAST(event_id AS VARCHAR) AS item_id,
     event_type || ' ' || props AS title, CASE WHEN event_type <> 'error' THEN ts END AS published_at,
     event_type AS category, row_number() OVER (PARTITION BY user_id ORDER BY
-      CASE WHEN event_type <> 'error' THEN ts END DESC NULLS LAST, CAST(event_id AS VARCHAR)) AS rn FROM events)
-  WHERE rn <= 200),
+      CASE WHEN event_type <> 'error' THEN ts END DESC NULLS LAST, CAST(event_id AS VARCHAR)) AS rn FROM events)),
 dc AS (SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS company_id, CAST(o_orderkey AS VARCHAR) AS item_id,
     'Order ' || o_orderkey AS title,
     o_orderdate AS published_at, CASE o_orderpriority WHEN '1-URGENT' THEN 'Annual_Report' WHEN '2-HIGH' THEN 'concall'
       WHEN '3-MEDIUM' THEN 'unknown' WHEN '4-NOT SPECIFIED' THEN 'credit_rating' END AS category,
     row_number() OVER (PARTITION BY o_custkey ORDER BY CASE WHEN o_orderstatus = 'F' THEN o_orderdate END
-      DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders) WHERE rn <= 400),
+      DESC NULLS LAST, CAST(o_orderkey AS VARCHAR)) AS rn FROM orders)),
 items AS (SELECT company_id, item_id, 'news' AS source_type, title, published_at, category FROM nw
   UNION ALL SELECT company_id, item_id, CASE WHEN lower(category) IN ('annual_report', 'concall', 'credit_rating')
     THEN lower(category) ELSE 'filing' END, title, published_at, category FROM dc)"""

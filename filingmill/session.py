@@ -56,19 +56,6 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.checkpoint()
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Use all cores for heavy row work on a small input.
-
-    A table in one small file is read by one task. Such a table is hashed to
-    as many partitions as there are cores; one that already has as many is
-    left alone, so a large table is never moved for this.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() >= cores:
-        return rows
-    return rows.repartition(cores, key)
-
-
 def _literal(value) -> str:
     if value is None:
         return "NULL"

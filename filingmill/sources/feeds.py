@@ -18,8 +18,6 @@ from filingmill.rules import metrics as M
 from filingmill.rules import words as W
 
 PDF_BASE = "https://www.bseindia.com/xml-data/corpfiling/AttachHis/"
-# No feed is read past its 60th item, so 64 positions per feed are enough.
-FEED_SLOTS = 64
 LIVE_BASE = "https://www.bseindia.com/xml-data/corpfiling/AttachLive/"
 DETAIL_BASE = "https://www.bseindia.com/corporates/anndet_new.aspx?newsid="
 
@@ -54,12 +52,13 @@ def payload_time(c: Column) -> Column:
 
 
 def announcements(
-    raw: DataFrame, days_back: int | None = None, max_items: int = 60
+    raw: DataFrame, days_back: int | None = None,
+    max_items: int | None = None,
 ) -> DataFrame:
     """Exchange announcements -> discovered items.
 
-    The first ``max_items`` rows of each payload are read, in feed order and
-    before any filter, as the feed is paged that way.
+    With ``max_items``, only the first rows of each payload are read, in feed
+    order and before any filter.
     """
     row = F.col("item")
     parsed = explode_rows(
@@ -72,10 +71,10 @@ def announcements(
     )
     name = _filled(T.trim_space(row["ATTACHMENTNAME"]))
     detail = F.concat(F.lit(DETAIL_BASE), _text(row["NEWSID"]))
+    if max_items is not None:
+        parsed = parsed.where(F.col("feed_pos") < max_items)
     items = (
-        compute_once(
-            parsed.where(F.col("feed_pos") < max_items), title=subject
-        )
+        compute_once(parsed, title=subject)
         .where(F.col("title") != "")
         .where(T.is_material_announcement(row["CATEGORYNAME"], F.col("title")))
         .select(
@@ -151,18 +150,21 @@ def rss_items(raw: DataFrame) -> DataFrame:
 
 
 def news_items(
-    raw: DataFrame, max_items: int = 40, min_score: float = W.NEWS_MIN_SCORE
+    raw: DataFrame, max_items: int | None = None,
+    min_score: float = W.NEWS_MIN_SCORE,
 ) -> DataFrame:
     """RSS payload -> material news as discovered items.
 
-    One payload is one row, so its items are cut by their position inside it.
+    One payload is one row, so ``max_items`` counts its items inside the row's
+    feed; ``feed_pos`` is the place in the payload.
     """
-    feed = Window.partitionBy("company_id", "fetched_at").orderBy("block_pos")
-    items = (
-        rss_items(raw)
-        .withColumn("feed_pos", F.row_number().over(feed) - 1)
-        .where(F.col("feed_pos") < max_items)
-    )
+    items = rss_items(raw).withColumnRenamed("block_pos", "feed_pos")
+    if max_items is not None:
+        feed = Window.partitionBy("company_id", "fetched_at").orderBy("feed_pos")
+        items = (
+            items.withColumn("_rn", F.row_number().over(feed))
+            .where(F.col("_rn") <= max_items).drop("_rn")
+        )
     score = T.news_materiality(F.col("title"), F.col("summary"))
     return (
         compute_once(items, score=score)

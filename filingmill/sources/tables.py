@@ -31,23 +31,32 @@ def scan(
 
 # --------------------------------------------------------------------- sinks
 
-CONTENT_LIMIT = 100_000
-STATEMENT_LIMIT = 10_000
 
 
-def stored_documents(documents: DataFrame) -> DataFrame:
-    """Rows as the document table keeps them, with a repeatable id."""
+def _cut(column: str, limit: int | None) -> Column:
+    return F.col(column) if limit is None else F.substring(column, 1, limit)
+
+
+def stored_documents(
+    documents: DataFrame, content_limit: int | None = None
+) -> DataFrame:
+    """Rows as the document table keeps them, with a repeatable id.
+
+    Content is whole unless a limit of characters is given.
+    """
     key = F.concat_ws(
         "::", "company_id", F.coalesce("document_url", "source_url"), "title"
     )
     return documents.withColumn(
-        "content", F.substring("content", 1, CONTENT_LIMIT)
+        "content", _cut("content", content_limit)
     ).withColumn("document_id", F.substring(F.sha2(key, 256), 1, 32))
 
 
-def stored_statements(statements: DataFrame) -> DataFrame:
+def stored_statements(
+    statements: DataFrame, statement_limit: int | None = None
+) -> DataFrame:
     return statements.withColumn(
-        "statement", F.substring("statement", 1, STATEMENT_LIMIT)
+        "statement", _cut("statement", statement_limit)
     ).withColumn("is_processed", F.lit(False))
 
 

@@ -10,22 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.session import spread
-
 TEXT = "string"
 
-# Tables whose queries do heavy work per row, with a key to spread them by.
-HEAVY_ROWS = {"documents": "doc_id", "pages": "page_id"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, HEAVY_ROWS[name]) if name in HEAVY_ROWS else rows
-
-
-def spread_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders for queries that parse or compare texts per order."""
-    return spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _s(c: str | Column) -> Column:
@@ -219,7 +207,7 @@ _HEADLINES = """
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One announcement or news headline per order."""
-    return spark.sql(_HEADLINES, orders=spread_orders(spark, sf_dir))
+    return spark.sql(_HEADLINES, orders=table(spark, sf_dir, "orders"))
 
 
 HEADLINES_SQL = "headlines AS (" + _HEADLINES.format(orders="orders") + ")"
@@ -237,7 +225,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lang").alias("company_id"),
         text.alias("content"),
         breaks.cast("int").alias("page_count"),
-        F.substring(F.split(text, "\n")[0], 1, 60).alias("title"),
+        F.split(text, "\n")[0].alias("title"),
         F.col("source").alias("source_name"),
     )
 
@@ -392,7 +380,7 @@ _CLAIMS = """
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim with a quote per order."""
-    return spark.sql(_CLAIMS, orders=spread_orders(spark, sf_dir))
+    return spark.sql(_CLAIMS, orders=table(spark, sf_dir, "orders"))
 
 
 CLAIMS_SQL = "claims AS (" + _CLAIMS.format(orders="orders") + ")"

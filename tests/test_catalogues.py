@@ -53,9 +53,12 @@ def test_stored_rows(spark, tmp_path):
         "company_id string, document_url string, source_url string, title string, content string",
     )
     a, b = (tables.stored_documents(rows).collect()[0] for _ in range(2))
-    assert len(a.content) == 100_000 and a.document_id == b.document_id
+    assert len(a.content) == 100_005 and a.document_id == b.document_id
+    cut = tables.stored_documents(rows, content_limit=100_000).first()
+    assert len(cut.content) == 100_000
     statements = spark.createDataFrame([("y" * 10_001,)], "statement string")
-    assert len(tables.stored_statements(statements).collect()[0].statement) == 10_000
+    assert len(tables.stored_statements(statements).first().statement) == 10_001
+    assert len(tables.stored_statements(statements, 10_000).first().statement) == 10_000
 
     path, staging = str(tmp_path / "t"), str(tmp_path / "s")
     old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "k string, v int")
