@@ -29,11 +29,6 @@ def first_basis(bases: Column) -> Column:
     return F.coalesce(F.get(named, F.lit(0)), F.lit(NOT_APPLICABLE))
 
 
-def basis_problem(*bases: Column) -> Column:
-    """Reason text when the bases differ, else NULL."""
-    return F.when(~same_basis(*bases), "MIXED_BASIS")
-
-
 def yoy_percent(current: Column, previous: Column) -> Column:
     value = F.try_divide(current - previous, F.abs(previous)) * 100
     return F.when(finite(current) & finite(previous), value)

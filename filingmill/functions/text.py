@@ -72,14 +72,6 @@ def ascii_normalise(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9%₹]+", " "))
 
 
-def query_tokens(c: Column) -> Column:
-    """Tokens of a query: longer than two characters and no stop word."""
-    return F.filter(
-        F.split(search_normalise(c), " "),
-        lambda t: (F.length(t) > 2) & ~t.isin(W.QUERY_STOP_WORDS),
-    )
-
-
 def clean_search_term(c: Column) -> Column:
     """Letters, digits and `` .&'-`` only, no wildcards."""
     kept = F.regexp_replace(trim_space(c), r"[^\p{L}\p{N} .&'-]", "")

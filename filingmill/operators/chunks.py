@@ -439,12 +439,3 @@ def contiguity(chunks: DataFrame) -> DataFrame:
             & (F.col("n_distinct") == F.col("n_chunks")),
         )
     )
-
-
-def latest_first(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First n rows per key in the given order."""
-    window = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        rows.withColumn("_rn", F.row_number().over(window))
-        .where(F.col("_rn") <= n).drop("_rn")
-    )

@@ -114,6 +114,8 @@ def basis_established(basis: Column) -> Column:
 
 def judge_conclusions(
     conclusions: DataFrame, packs: DataFrame, chunks: DataFrame,
+    scopes: Mapping = R.SECTION_SCOPE,
+    subjects: Sequence[Sequence[str]] = W.SUBJECT_PATTERNS,
 ) -> DataFrame:
     """Every conclusion with its verdict: NULL reason means accepted.
 
@@ -145,7 +147,7 @@ def judge_conclusions(
     )
     joined = (
         rows.join(cited, KEY, "left")
-        .join(best_excerpt(rows, units, KEY), KEY, "left")
+        .join(best_excerpt(rows, units, KEY, subjects), KEY, "left")
         .join(basis_flags(units, chunks, KEY), KEY, "left")
     )
     uncertain = F.col("classification") == "UNCERTAIN"
@@ -161,10 +163,10 @@ def judge_conclusions(
         ),
         _supported=F.coalesce(
             T.claim_supported(claim_col, quote)
-            & T.subject_supported(claim_col, F.col("_plain")),
+            & T.subject_supported(claim_col, F.col("_plain"), subjects),
             F.lit(False),
         ),
-        _scoped=in_scope(F.col("section_key"), claim_col),
+        _scoped=in_scope(F.col("section_key"), claim_col, scopes),
     )
     schema_ok = (
         (claim_col != "")
@@ -431,9 +433,15 @@ def merge_claims(
     )
 
 
-def section_status(conclusions: DataFrame, keys: Sequence[str] = tuple(SCOPE)) -> DataFrame:
-    """COMPLETE when a section has a supported conclusion."""
-    return conclusions.groupBy(*keys).agg(
+def section_status(
+    conclusions: DataFrame, keys: Sequence[str] = tuple(SCOPE),
+    sections: DataFrame | None = None,
+) -> DataFrame:
+    """COMPLETE when a section has a supported conclusion.
+
+    ``sections`` lists all sections; one without conclusions is INSUFFICIENT.
+    """
+    found = conclusions.groupBy(*keys).agg(
         F.count("*").alias("n_conclusions"),
         F.count_if(F.col("classification") != "UNCERTAIN")
         .alias("n_supported"),
@@ -441,6 +449,25 @@ def section_status(conclusions: DataFrame, keys: Sequence[str] = tuple(SCOPE)) -
             F.bool_or(F.col("classification") != "UNCERTAIN"), "COMPLETE"
         ).otherwise("INSUFFICIENT").alias("status"),
     )
+    if sections is None:
+        return found
+    return (
+        sections.select(*keys).distinct().join(found, list(keys), "left")
+        .na.fill(0, ["n_conclusions", "n_supported"])
+        .na.fill("INSUFFICIENT", ["status"])
+    )
+
+
+def uncertain_rows(status: DataFrame) -> DataFrame:
+    """One explicit UNCERTAIN row for each section without a supported conclusion."""
+    return status.where("status = 'INSUFFICIENT' AND n_conclusions = 0").select(
+        *SCOPE,
+        F.lit(0).cast("bigint").alias("pos"),
+        F.lit("Insufficient evidence for this section.").alias("claim"),
+        F.lit("UNCERTAIN").alias("classification"),
+        F.lit("LOW").alias("confidence"),
+        F.lit("NOT_APPLICABLE").alias("accounting_basis"),
+    )
 
 
 def number_survivors(

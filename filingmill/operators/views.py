@@ -57,10 +57,6 @@ def directory(companies: DataFrame, limit: int = DIRECTORY_LIMIT) -> DataFrame:
     )
 
 
-def active_companies(companies: DataFrame) -> DataFrame:
-    return companies.where("is_active")
-
-
 def clean_ticker(c: Column) -> Column:
     return F.regexp_replace(F.upper(T.trim_space(c)), "[^A-Z0-9.-]", "")
 

@@ -13,6 +13,7 @@ from filingmill.operators import chunks as C
 from filingmill.operators import conclusions as K
 from filingmill.operators import dedupe, facts, qa, report, retrieve
 from filingmill.rules import research as R
+from filingmill.rules import words as W
 from filingmill.sources import feeds, tables
 
 
@@ -145,15 +146,28 @@ def validate_findings(
 
 
 def validate_conclusions(
-    conclusions: DataFrame, packs: DataFrame, chunks: DataFrame
+    conclusions: DataFrame, packs: DataFrame, chunks: DataFrame,
+    sections: DataFrame | None = None,
+    scopes: Mapping = R.SECTION_SCOPE,
+    subjects: Sequence[Sequence[str]] = W.SUBJECT_PATTERNS,
 ) -> dict[str, DataFrame]:
-    """Accepted and rejected conclusions with the section status."""
-    judged = K.judge_conclusions(conclusions, packs, chunks)
+    """Accepted and rejected conclusions with the status of every section.
+
+    ``sections`` lists the sections that are asked for; without it, those that
+    have conclusions of any verdict count. ``uncertain`` has a row for each
+    section that ends up empty.
+    """
+    judged = K.judge_conclusions(conclusions, packs, chunks, scopes, subjects)
+    asked = conclusions.select(*K.SCOPE)
+    if sections is not None:
+        asked = asked.unionByName(sections.select(*K.SCOPE))
     accepted = judged.where(F.col("reject_reason").isNull())
+    status = K.section_status(accepted, sections=asked)
     return {
         "accepted": K.number_survivors(accepted, K.SCOPE, ["pos"]),
         "rejected": judged.where(F.col("reject_reason").isNotNull()),
-        "status": K.section_status(accepted),
+        "status": status,
+        "uncertain": K.uncertain_rows(status),
     }
 
 

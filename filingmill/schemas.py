@@ -18,7 +18,7 @@ INCOMING_METRICS = (
 )
 
 DISCOVERED_ITEMS = (
-    "arrival BIGINT, company_id STRING, source_type STRING, title STRING, "
+    "arrival DECIMAL(38,0), company_id STRING, source_type STRING, title STRING, "
     "headline STRING, summary STRING, publication_date TIMESTAMP, "
     "publisher STRING, original_url STRING, document_url STRING, "
     "quarter STRING, financial_year STRING, content_hash STRING, "

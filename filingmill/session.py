@@ -43,6 +43,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any store Spark can reach."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder of a stored table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable on this session."""
     context = spark.sparkContext

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from filingmill.rules import metrics as M
-from filingmill.session import fixed_table, use_checkpoints
+from filingmill.session import (
+    fixed_table, path_exists, remove_path, use_checkpoints,
+)
 
 
 def scan(
@@ -67,59 +69,89 @@ def append(rows: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None
     writer.parquet(path)
 
 
-def replace_scope(rows: DataFrame, path: str, scope: Sequence[str]) -> None:
+def replace_scope(
+    rows: DataFrame, path: str, scope: Sequence[str],
+    scopes: DataFrame | None = None,
+) -> None:
     """Replace the partitions the new rows fall in; leave the others.
 
     Spark stages the files and swaps whole partitions at job commit, so a
-    failed run leaves the old rows in place.
+    failed run leaves the old rows in place. ``scopes`` lists scopes that are
+    replaced even if they have no new rows: those end up empty. Rows are dealt
+    by scope first, so a scope has few files; a large one is split again by
+    adaptive execution.
     """
     (
-        rows.write.mode("overwrite")
+        rows.hint("rebalance", *[F.col(c) for c in scope]).write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*scope)
         .parquet(path)
     )
+    if scopes is not None:
+        spark = rows.sparkSession
+        emptied = scopes.select(*scope).distinct().join(
+            rows.select(*scope).distinct(), list(scope), "left_anti"
+        )
+        for row in emptied.toLocalIterator():
+            folders = "/".join(f"{c}={_folder(row[c])}" for c in scope)
+            remove_path(spark, f"{path}/{folders}")
+
+
+def _folder(value: object) -> str:
+    """A partition value as Spark names its folder."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    special = set('"#%\'*/:=?\\\x7f{[]^') | {chr(i) for i in range(1, 32)}
+    return "".join(f"%{ord(c):02X}" if c in special else c for c in str(value))
 
 
 def replace_scope_checked(
     spark: SparkSession, rows: DataFrame, path: str, scope: Sequence[str],
-    staging: str,
+    staging: str, scopes: DataFrame | None = None,
 ) -> int:
-    """Stage the rows, check their count, then replace the scope."""
-    expected = rows.count()
-    rows.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging)
-    found = staged.count()
+    """Stage the rows once, check their count, then replace the scope."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(rows.schema).parquet(staging)
+    found, expected = staged.count(), seen.get["n"]
     if found != expected:
         raise ValueError(f"staged {found} of {expected} rows")
-    replace_scope(staged, path, scope)
+    replace_scope(staged, path, scope, scopes)
     return found
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
+def write_chunks(
+    chunks: DataFrame, path: str, buckets: int = 256,
+    documents: DataFrame | None = None,
+) -> None:
     """Replace all chunks of the documents at hand.
 
-    Documents are spread over a fixed number of bucket folders, so the folder
-    count does not grow with the documents. Buckets touched by the new
-    documents are rewritten whole: old rows of other documents are kept.
+    Documents are dealt to ``buckets`` folders by a hash, so the folder count
+    does not grow with the documents; give a table the same count each time,
+    and one that keeps a bucket near a few hundred MB. Buckets touched by the
+    new documents are rewritten whole: rows of other documents are kept.
+    ``documents`` lists documents that are replaced even if they have no chunks
+    now.
     """
     spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(256)).cast("int")
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
     fresh = chunks.withColumn("bucket", bucket)
-    try:
-        old = spark.read.parquet(path)
-    except Exception as error:  # first write: the path is not there yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
+    if not path_exists(spark, path):
         replace_scope(fresh, path, ["bucket"])
         return
-    touched = fresh.select("bucket").distinct()
+    old = spark.read.parquet(path)
+    named = fresh.select("document_id", "bucket")
+    if documents is not None:
+        named = named.unionByName(
+            documents.select("document_id").withColumn("bucket", bucket)
+        )
+    touched = named.select("bucket").distinct()
     kept = old.join(touched, "bucket", "left_semi").join(
-        fresh.select("document_id").distinct(), "document_id", "left_anti"
+        named.select("document_id").distinct(), "document_id", "left_anti"
     )
     use_checkpoints(spark)
     merged = kept.unionByName(fresh.select(*kept.columns)).checkpoint()
-    replace_scope(merged, path, ["bucket"])
+    replace_scope(merged, path, ["bucket"], touched)
 
 
 # ----------------------------------------------------------- upserts, patches

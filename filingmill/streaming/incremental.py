@@ -5,9 +5,11 @@ the files it has not seen and stops. The work per batch is the batch operator
 itself, run in ``foreachBatch``, so a re-run after a lost executor or a
 delivered-again file gives the same table.
 
-Each batch writes its own folder ``batch=<id>`` with overwrite. If a batch is
-replayed after a crash, it reads the folders of the other batches only and
-replaces its own.
+Each batch writes its own folder ``run=<query id>/batch=<id>`` with overwrite.
+The query id is kept in the progress folder. If a batch is replayed after a
+crash, it reads the folders of the other batches only and replaces its own. A
+job that starts with a new progress folder is another run: it reads all that is
+stored, and overwrites nothing of it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from filingmill import schemas
 from filingmill.operators import dedupe, facts
+from filingmill.session import path_exists
 
 METRIC_STATE = "metrics"
 QUALITY_STATE = "data_quality"
@@ -28,23 +31,31 @@ REJECT_STATE = "rejected"
 def _read_before(
     spark: SparkSession, path: str, batch_id: int, schema: T.StructType
 ) -> DataFrame:
-    """Rows written by earlier batches.
+    """Rows of other runs, and of earlier batches of this run.
 
-    The folder of every batch is listed by Spark as a partition column, so a
-    filter on it prunes whole folders. Batches are numbered from 0, and each
-    one writes its folder, so there is nothing to read before the first.
+    Run and batch are folders, so a filter on them prunes whole folders.
     """
-    if batch_id == 0:
+    if not path_exists(spark, path):
         return spark.createDataFrame([], schema)
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    full = T.StructType(
+        [*schema.fields, T.StructField("run", T.StringType()),
+         T.StructField("batch", T.LongType())]
+    )
+    mine = F.col("run") == _run_id(spark)
     return (
         spark.read.schema(full).parquet(path)
-        .where(F.col("batch") < F.lit(batch_id)).drop("batch")
+        .where(~mine | (F.col("batch") < F.lit(batch_id))).drop("run", "batch")
     )
 
 
+def _run_id(spark: SparkSession) -> str:
+    """The id of the running stream; it stays the same with its progress folder."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def _write_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    run = _run_id(rows.sparkSession)
+    rows.write.mode("overwrite").parquet(f"{path}/run={run}/batch={batch_id}")
 
 
 def _landed(spark: SparkSession, folder: str, schema: str, per_run: int) -> DataFrame:
@@ -113,7 +124,7 @@ def stream_metrics(
 
 def current_metrics(spark: SparkSession, store: str) -> DataFrame:
     """The metric table with its conflict flags."""
-    metrics = spark.read.parquet(f"{store}/{METRIC_STATE}").drop("batch")
+    metrics = spark.read.parquet(f"{store}/{METRIC_STATE}").drop("run", "batch")
     conflicts = spark.read.parquet(f"{store}/{QUALITY_STATE}")
     flagged = conflicts.select(
         "company_id", F.lower(F.trim("entity_name")).alias("entity_key"),

@@ -111,3 +111,38 @@ def test_scopes(spark):
     rows = spark.createDataFrame(cases, "s string, c string, want boolean")
     for r in rows.select("*", K.in_scope(F.col("s"), F.col("c")).alias("got")).collect():
         assert r.got == r.want, r
+
+
+def test_emptied_scopes(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, v int"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    tables.replace_scope(frame([("a", 1), ("b/ :", 2), ("c", 3), (None, 4)]), path, ["k"])
+    tables.replace_scope(frame([("a", 9)]), path, ["k"], frame([("a", 0), ("b/ :", 0), (None, 0), ("gone", 0)]))
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("a", 9), ("c", 3)]
+    count = tables.replace_scope_checked(
+        spark, frame([]), path, ["k"], str(tmp_path / "s"), frame([("c", 0)])
+    )
+    assert count == 0 and [r.k for r in spark.read.parquet(path).collect()] == ["a"]
+
+
+def test_documents_without_chunks_lose_theirs(spark, tmp_path):
+    path, schema = str(tmp_path / "c"), "document_id string, chunk_index int"
+    rows = [(f"d{i}", j) for i in range(6) for j in range(2)]
+    tables.write_chunks(spark.createDataFrame(rows, schema), path, buckets=2)
+    tables.write_chunks(
+        spark.createDataFrame([("d0", 7)], schema), path, buckets=2,
+        documents=spark.createDataFrame([("d0",), ("d1",), ("d2",)], "document_id string"),
+    )
+    got = sorted((r.document_id, r.chunk_index) for r in spark.read.parquet(path).collect())
+    assert got == [("d0", 7), *[(f"d{i}", j) for i in (3, 4, 5) for j in range(2)]]
+
+
+def test_sections_do_not_vanish(spark):
+    schema = "company_id string, document_id string, section_key string, classification string"
+    accepted = spark.createDataFrame([("c", "d", "financial", "FACT"), ("c", "d", "risk", "UNCERTAIN")], schema)
+    asked = spark.createDataFrame([("c", "d", s, "") for s in ("financial", "risk", "debt")], schema)
+    status = K.section_status(accepted, sections=asked)
+    got = {r.section_key: (r.n_conclusions, r.n_supported, r.status) for r in status.collect()}
+    assert got == {"financial": (1, 1, "COMPLETE"), "risk": (1, 0, "INSUFFICIENT"), "debt": (0, 0, "INSUFFICIENT")}
+    rows = K.uncertain_rows(status).collect()
+    assert [(r.section_key, r.classification) for r in rows] == [("debt", "UNCERTAIN")]

@@ -30,6 +30,18 @@ def test_items(spark, tmp_path):
     assert run_items(spark, base) == [1, 3, 5]
 
 
+def test_items_with_a_new_progress_folder(spark, tmp_path):
+    base = str(tmp_path)
+    land_items(spark, f"{base}/in", [(1, "u1", "t1"), (2, "u2", "t2")])
+    assert run_items(spark, base) == [1, 2]
+    land_items(spark, f"{base}/in", [(3, "u2", "t9"), (4, "u4", "t4")])
+    incremental.stream_items(spark, f"{base}/in", f"{base}/out", f"{base}/other").awaitTermination()
+    rows = spark.read.parquet(f"{base}/out").collect()
+    assert sorted(r.arrival for r in rows) == [1, 2, 4]
+    land_items(spark, f"{base}/in", [(5, "u5", "t5"), (6, "u4", "t7")])
+    assert run_items(spark, base) == [1, 2, 4, 5]
+
+
 def land_metrics(spark, folder, values):
     fields = [f.split(" ", 1) for f in schemas.INCOMING_METRICS.split(", ")]
     rows = spark.createDataFrame(values, "arrival bigint, metric_name string, metric_value double")
