@@ -1024,7 +1024,26 @@ def near_numbered(spark, sf_dir) -> DataFrame:
 # ------------------------------------------------------------ rows-only queries
 
 
-@query("two_key_dedupe")
+# The rule as it reads: walk the items of a company and kind by arrival, keep
+# one whose keys no kept item has, and remember its keys.
+KEPT_SQL = rf"""{V.HEADLINES_SQL}, keyed AS (
+  SELECT company_id, item_id AS arrival, title, url, category = 'Company Update' AS news,
+    url AS k1, trim(regexp_replace(lower(title), '\\s+', ' ', 'g')) AS k2,
+    row_number() OVER (PARTITION BY company_id, category = 'Company Update' ORDER BY item_id) AS rn
+  FROM headlines),
+walk AS (
+  SELECT company_id, news, rn, arrival, true AS kept, [k1, k2] AS seen FROM keyed WHERE rn = 1
+  UNION ALL
+  SELECT w.company_id, w.news, i.rn, i.arrival, NOT list_has_any(w.seen, [i.k1, i.k2]),
+    CASE WHEN list_has_any(w.seen, [i.k1, i.k2]) THEN w.seen ELSE w.seen || [i.k1, i.k2] END
+  FROM walk w JOIN keyed i ON i.company_id = w.company_id AND i.news = w.news AND i.rn = w.rn + 1)"""
+
+
+@query(
+    "two_key_dedupe",
+    f"""WITH RECURSIVE {KEPT_SQL} SELECT company_id, i.arrival, title, url AS original_url, kept
+    FROM keyed i JOIN walk USING (company_id, news, rn)""",
+)
 def two_key_dedupe(spark, sf_dir) -> DataFrame:
     """Kept and skipped items under the two-key rule."""
     return dedupe.two_key_dedupe(V.discovered_items(spark, sf_dir)).select(
@@ -1032,19 +1051,31 @@ def two_key_dedupe(spark, sf_dir) -> DataFrame:
     )
 
 
-@query("incremental_feed")
+@query(
+    "incremental_feed",
+    f"""WITH RECURSIVE {KEPT_SQL} SELECT company_id, i.arrival, title, url AS original_url,
+      CASE WHEN i.news THEN 'news' ELSE 'filing' END AS source_type
+    FROM keyed i JOIN walk USING (company_id, news, rn) WHERE kept""",
+)
 def incremental_feed(spark, sf_dir) -> DataFrame:
-    """Discovered items landed as files and taken in by the stream."""
+    """Discovered items landed as three sets and taken in by three runs."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     columns = [f.split(" ")[0] for f in schemas.DISCOVERED_ITEMS.split(", ")]
-    V.discovered_items(spark, sf_dir).select(*columns).write.parquet(
-        f"{folder}/landed"
+    items = V.discovered_items(spark, sf_dir).withColumn(
+        "arrival", F.col("arrival").cast("decimal(38,0)")
     )
-    incremental.stream_items(
-        spark, f"{folder}/landed", f"{folder}/items", f"{folder}/progress"
-    ).awaitTermination()
+    last = items.agg(F.max("arrival")).first()[0] or 0
+    third = F.floor(F.col("arrival") * 3 / F.lit(int(last) + 1))
+    for part in range(3):
+        items.where(third == part).select(*columns).write.mode("append").parquet(
+            f"{folder}/landed"
+        )
+        incremental.stream_items(
+            spark, f"{folder}/landed", f"{folder}/items", f"{folder}/progress"
+        ).awaitTermination()
     return spark.read.parquet(f"{folder}/items").select(
-        "company_id", "arrival", "source_type", "title", "original_url"
+        "company_id", F.col("arrival").cast("bigint").alias("arrival"),
+        "source_type", "title", "original_url",
     )
 
 
