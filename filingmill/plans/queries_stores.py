@@ -276,7 +276,8 @@ def extraction_outcome(spark, sf_dir) -> DataFrame:
     )
     rows = V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"), F.col("lang").alias("company_id"),
-        F.col("source").alias("entity_name"), kind.alias("content_type"), F.col("text").alias("payload"),
+        F.col("source").alias("entity_name"),
+        F.lit("FY24").alias("reporting_period"), kind.alias("content_type"), F.col("text").alias("payload"),
     )
     return facts.extraction_outcome(rows, facts.extract_facts(rows)).select(
         "document_id", "document_type", "ok", "reason", F.sha2("raw_text", 256).alias("text_sha256")
