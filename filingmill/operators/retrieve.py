@@ -233,12 +233,12 @@ def _first(rows: DataFrame, keys: Sequence[str], order: Sequence, n: int) -> Dat
     return _row_number(rows, keys, order).where(F.col("_rn") <= n).drop("_rn")
 
 
-def select_evidence(
+def selected_units(
     chunks: DataFrame,
     queries: Mapping[str, Sequence[str]] = R.SECTION_QUERIES,
     limit: int = PER_SECTION,
 ) -> DataFrame:
-    """The evidence pack of every section of every document.
+    """Ids and places of the units of every evidence pack, without text.
 
     A digit gives every unit two points for every query, so units without any
     hit compete too. Carrying all of them to all queries would multiply the
@@ -248,15 +248,16 @@ def select_evidence(
     every query. Those are kept next to the rows with hits; the rest is
     dropped where it is scored, before any shuffle.
 
-    Text is scanned and scored once. The one shuffle is by document; every
-    window and group below it is on keys that start with the document.
+    Text is scanned and scored once and left behind there. The one shuffle is
+    by document; every window and group below it is on keys that start with
+    the document.
     """
     place = ["chunk_index", "line_start", "size"]
-    info = ["page_start", "page_end", "line_end", "unit_id", "content"]
+    info = ["line_end", "unit_id"]
     scope = [*DOC, "section_key"]
     scored = _scored(_units(chunks), queries, UNIT_BONUS).where(
         (F.size("hits") > 0) | F.col("lead")
-    )
+    ).select(*DOC, *place, *info, "digit", "lead", "hits")
     # The twin of a chunk's last line shares its id and is counted once.
     twin = (F.col("size") == 2) & (F.col("line_start") == F.col("line_end"))
     so_far = F.sum((F.col("lead") & ~twin).cast("int")).over(
@@ -335,8 +336,28 @@ def select_evidence(
     chain = _first(chain, [*scope, "chunk_index"], order, PER_CHUNK)
     chain = _first(chain, scope, order, limit)
     return chain.select(
-        *scope, "unit_id", "chunk_index", "page_start", "page_end",
-        "line_start", "line_end", "content",
+        *scope, "unit_id", "chunk_index", "line_start", "line_end", "size"
+    )
+
+
+def select_evidence(
+    chunks: DataFrame,
+    queries: Mapping[str, Sequence[str]] = R.SECTION_QUERIES,
+    limit: int = PER_SECTION,
+) -> DataFrame:
+    """The evidence pack of every section of every document.
+
+    Units are ranked by id; the text of those that stay is read again from
+    their chunk, which has one row per document and index.
+    """
+    picked = selected_units(chunks, queries, limit)
+    source = chunks.select(*DOC, "chunk_index", "page_start", "page_end", "content")
+    lines = F.slice(F.split("content", "\n"), F.col("line_start"), F.col("size"))
+    lines = F.filter(F.transform(lines, T.trim_space), lambda x: x != "")
+    return picked.join(source, [*DOC, "chunk_index"]).select(
+        *DOC, "section_key", "unit_id", "chunk_index", "page_start",
+        "page_end", "line_start", "line_end",
+        F.array_join(lines, " ").alias("content"),
     )
 
 

@@ -239,7 +239,7 @@ def evidence_select(spark, sf_dir) -> DataFrame:
 )
 def evidence_gate(spark, sf_dir) -> DataFrame:
     """Is each pack sufficient?"""
-    packs = retrieve.select_evidence(
+    packs = retrieve.selected_units(
         V.paragraph_chunks(spark, sf_dir), V.TEST_QUERIES
     )
     documents = V.documents(spark, sf_dir).select("company_id", "document_id")
