@@ -147,12 +147,17 @@ def meaningful_words(c: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(texts: pd.Series) -> pd.Series:
+def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(
         lambda t: None if t is None else unicodedata.normalize("NFKC", t)
     )
 
 
+def nfkc(c: Column) -> Column:
+    """Compatibility normal form. ASCII texts have it and stay in the JVM."""
+    return F.coalesce(_nfkc(F.when(F.length(c) < F.octet_length(c), c)), c)
+
+
 def evidence_normalise(c: Column) -> Column:
     """Unify hyphens, quotes and white space.
 

@@ -52,19 +52,17 @@ def best_excerpt(
     )
     numbers = T.grouped_numbers(F.col("claim"))
     words = T.meaningful_words(F.col("claim"))
+    # Numbers need no normal form, so most units leave before Python is asked.
+    rows = compute_once(rows, _numbers=numbers, _words=words).where(
+        F.size(
+            T.missing_from(
+                F.col("_numbers"), T.grouped_numbers(F.col("content"))
+            )
+        ) == 0
+    )
     rows = rows.withColumn("_plain", T.nfkc(F.col("content")))
     rows = (
-        compute_once(
-            rows, _numbers=numbers, _words=words,
-            _text=T.evidence_normalise(F.col("_plain")),
-        )
-        .where(
-            F.size(
-                T.missing_from(
-                    F.col("_numbers"), T.grouped_numbers(F.col("content"))
-                )
-            ) == 0
-        )
+        compute_once(rows, _text=T.evidence_normalise(F.col("_plain")))
         .where(
             T.subject_supported(F.col("claim"), F.col("_text"), subjects)
         )
