@@ -46,7 +46,7 @@ PARTS = 64
 #: Standard deviations that an estimate may fall short of the limit.
 MARGIN = 5.0
 #: Classes of a bucket above which pairs are sought by differences to its hub.
-HOT = 64
+HOT = 16
 #: Most ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
