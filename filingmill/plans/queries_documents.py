@@ -653,7 +653,7 @@ def subject_proximity(spark, sf_dir) -> DataFrame:
         "Wholesale",
     ).otherwise("RETAIL   segment")
     excerpt = F.concat(name, F.lit(" revenue "), far, F.lit("of ₹11"), amount)
-    return V.table(spark, sf_dir, "orders").select(
+    return V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"),
         T.subject_supported(claim, excerpt).alias("ok"),
     )
@@ -701,7 +701,7 @@ def scrub_ids(spark, sf_dir) -> DataFrame:
         F.lit(" (sourceFindingIds: ["), key, F.lit("]) in chunk "), key,
         F.lit(" the\tyear chunks 4, 5 ."),
     )
-    return V.table(spark, sf_dir, "orders").select(
+    return V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"),
         F.replace(T.scrub_ids(text), F.lit("\t"), F.lit(" ")).alias("text"),
     )
@@ -760,7 +760,7 @@ def anchored_claims(spark, sf_dir) -> DataFrame:
         .otherwise("No figure")
     )
     cite = F.struct(F.lit(1).alias("chunk_index"))
-    rows = V.table(spark, sf_dir, "orders").select(
+    rows = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"), claim.alias("claim"),
         shown.alias("data_point"),
         F.when(pri == "5-LOW", F.array().cast("array<struct<chunk_index:int>>"))
@@ -905,7 +905,7 @@ def section_blocks(spark, sf_dir) -> DataFrame:
         F.lit('","headers":["a"],"rows":[["1"]]}[/TABLE]\n[TABLE]{"bad":1}[/TABLE]More.\n--- Detailed findings ---\n\nFinding '),
         key,
     )
-    rows = V.table(spark, sf_dir, "orders").select(
+    rows = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("row_id"), content.alias("content")
     )
     return report.parse_section(rows, ["row_id"]).select(

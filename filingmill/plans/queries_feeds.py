@@ -348,7 +348,7 @@ def announcement_feed(spark, sf_dir) -> DataFrame:
 )
 def filing_feeds(spark, sf_dir) -> DataFrame:
     """Three exchange lists per order -> one filing table."""
-    orders = V.table(spark, sf_dir, "orders")
+    orders = V.keyed_orders(spark, sf_dir)
     key, cust, status = (
         F.col("o_orderkey"), F.col("o_custkey").cast("string"),
         F.col("o_orderstatus"),

@@ -166,7 +166,7 @@ def fiscal_period(spark, sf_dir) -> DataFrame:
     start = f"CASE o_orderstatus WHEN 'O' THEN {_date_text(y, '4', '1')} ELSE {_date_text(y, m, '1')} END"
     end = f"CASE o_orderstatus WHEN 'O' THEN {_date_text(y + ' + 1', '3', '31')} ELSE {_date_text(y, m, '28')} END"
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "A").otherwise("U")
-    return V.table(spark, sf_dir, "orders").select(
+    return V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").alias("filing_id"),
         calc.fiscal_period(F.expr(start), F.expr(end), kind).alias("p"),
     ).select("filing_id", "p.*")
@@ -490,7 +490,7 @@ _XBRL = """'<x><in:ProfitAfterTax contextRef="Q' || CAST(quarter(o_orderdate) AS
 )
 def xbrl_facts(spark, sf_dir) -> DataFrame:
     """Facts of one XBRL text per order."""
-    documents = V.table(spark, sf_dir, "orders").select(
+    documents = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.col("o_custkey").cast("string").alias("company_id"),
         F.lit("E").alias("entity_name"), F.expr(_XBRL).alias("payload"),
@@ -516,7 +516,7 @@ _HTML = """'<p>Standalone results</p><script>var a = "<tr><td>Net profit</td><td
 )
 def html_facts(spark, sf_dir) -> DataFrame:
     """Facts of one HTML table per order."""
-    documents = V.table(spark, sf_dir, "orders").select(
+    documents = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.col("o_custkey").cast("string").alias("company_id"),
         F.lit("E").alias("entity_name"), F.lit("FY24").alias("reporting_period"),
@@ -540,7 +540,7 @@ _PLAIN = """'Report of the year. Net profit   ' || CAST(CAST(floor(o_totalprice)
 )
 def text_facts(spark, sf_dir) -> DataFrame:
     """Facts of one plain text per order."""
-    documents = V.table(spark, sf_dir, "orders").select(
+    documents = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.col("o_custkey").cast("string").alias("company_id"),
         F.lit("E").alias("entity_name"), F.lit("FY24").alias("reporting_period"),
@@ -585,7 +585,7 @@ def result_metrics(spark, sf_dir) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", "Consolidated results")
         .otherwise("Notes").alias("re_desc_note_fin"),
     )
-    raw = V.table(spark, sf_dir, "orders").select(
+    raw = V.keyed_orders(spark, sf_dir).select(
         F.col("o_orderkey").cast("string").alias("company_id"),
         F.lit(200).alias("http_status"),
         F.to_json(F.struct(F.array(item).alias("resCmpData"))).alias("payload"),

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders dealt by key, for views that make a payload of each order.
+
+    Landed payloads lie in many files; the orders may lie in one. Whatever the
+    size, they are dealt once, before the payloads exist.
+    """
+    return table(spark, sf_dir, "orders").repartition("o_orderkey")
+
+
 def _s(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast(TEXT)
 
@@ -207,7 +216,7 @@ _HEADLINES = """
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One announcement or news headline per order."""
-    return spark.sql(_HEADLINES, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(_HEADLINES, orders=keyed_orders(spark, sf_dir))
 
 
 HEADLINES_SQL = "headlines AS (" + _HEADLINES.format(orders="orders") + ")"
@@ -380,7 +389,7 @@ _CLAIMS = """
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One claim with a quote per order."""
-    return spark.sql(_CLAIMS, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(_CLAIMS, orders=keyed_orders(spark, sf_dir))
 
 
 CLAIMS_SQL = "claims AS (" + _CLAIMS.format(orders="orders") + ")"
