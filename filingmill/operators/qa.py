@@ -415,25 +415,25 @@ def quote_fallback(
         .select(*keys, *[c for c in doc if c not in keys], needle.alias("needle"))
         .withColumn("word", longest)
     )
-    units = packs.withColumn("low", F.lower("content"))
-    words = units.withColumn(
-        "word",
+    place = [*pack, "unit_id", "chunk_index", "line_start", "line_end"]
+    words = packs.select(
+        *place,
         F.explode(
             F.array_distinct(
-                F.regexp_extract_all("low", F.lit(r"[\p{L}\p{N}]+"), 0)
+                F.regexp_extract_all(
+                    F.lower("content"), F.lit(r"[\p{L}\p{N}]+"), 0
+                )
             )
-        ),
+        ).alias("word"),
     )
-    keep = [
-        *keys, *[c for c in pack if c not in keys], "needle", "unit_id",
-        "chunk_index", "line_start", "line_end", "page_start", "page_end",
-        "content", "low",
-    ]
-    by_word = asked.where("word IS NOT NULL").join(words, [*doc, "word"])
-    others = asked.where("word IS NULL").join(units, doc)
+    # Words meet ids; the text comes last, and once per pair that met.
+    near = asked.where("word IS NOT NULL").join(words, [*doc, "word"])
+    others = asked.where("word IS NULL").join(packs.select(*place), doc)
+    met = [*keys, *[c for c in place if c not in keys], "needle"]
     hits = (
-        by_word.select(*keep).unionByName(others.select(*keep))
-        .where(F.contains("low", F.col("needle")))
+        near.select(*met).unionByName(others.select(*met))
+        .join(packs.select(*place, "page_start", "page_end", "content"), place)
+        .where(F.contains(F.lower("content"), F.col("needle")))
     )
     order = F.struct("chunk_index", "line_start", "line_end")
     return hits.groupBy(*keys, *[c for c in pack if c not in keys]).agg(

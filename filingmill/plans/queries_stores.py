@@ -302,3 +302,48 @@ def conclusion_status(spark, sf_dir) -> DataFrame:
     )
     accepted = rows.where("o_orderstatus = 'F'")
     return K.section_status(accepted, sections=rows).drop("document_id")
+
+
+# -------------------------------------------------------------------- findings
+
+_FINISHED = f"""{V.TURNS_SQL}, w AS (SELECT *, list_filter(string_split(trim(regexp_replace(lower(claim), '[^a-z0-9%₹]+', ' ', 'g')), ' '),
+    lambda t: length(t) > 3) AS words, trim(regexp_replace(lower(quote), '[^a-z0-9%₹]+', ' ', 'g')) AS q FROM turns),
+  g AS (SELECT *, len(list_filter(words, lambda t: contains(q, t))) >= least(3, len(words)) AS grounded FROM w)"""
+
+
+@query(
+    "grounded_labels",
+    f"""WITH {_FINISHED} SELECT conv_id, turn, grounded,
+      CASE WHEN NOT grounded THEN 'UNCERTAIN' WHEN turn % 3 = 1 THEN 'FACT' ELSE 'INFERENCE' END AS classification,
+      CASE WHEN NOT grounded THEN 'LOW' WHEN turn % 2 = 1 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence,
+      CASE WHEN conv_id % 2 = 0 THEN 'STANDALONE' ELSE 'NOT_CLEAR' END AS accounting_basis, sha256(quote) AS quote_sha256 FROM g""",
+)
+def grounded_labels(spark, sf_dir) -> DataFrame:
+    """Labels of each assistant turn; what the turn before does not ground is uncertain."""
+    rows = V.turn_pairs(spark, sf_dir).select(
+        "conv_id", "turn", F.col("claim").alias("fact"),
+        F.array().cast("array<string>").alias("data_points"), F.col("quote").alias("excerpt"),
+        F.when(F.col("turn") % 3 == 1, " fact ").otherwise("opinion").alias("classification"),
+        F.when(F.col("turn") % 2 == 1, "high").alias("confidence"),
+        F.when(F.col("conv_id") % 2 == 0, "standalone").otherwise("?").alias("accounting_basis"),
+    )
+    return qa.grounded_labels(rows).select(
+        "conv_id", "turn", "grounded", "classification", "confidence", "accounting_basis",
+        F.sha2("supporting_quote", 256).alias("quote_sha256"),
+    )
+
+
+@query(
+    "known_answers",
+    """SELECT o_orderkey AS finding_id, o_custkey % 25 AS question_id FROM orders WHERE o_custkey % 25 < 10 AND o_custkey % 2 = 0""",
+)
+def known_answers(spark, sf_dir) -> DataFrame:
+    """Answers to questions that were asked."""
+    raw = V.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("finding_id"), (F.col("o_custkey") % 25).alias("question_id"),
+        F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("b").alias("specialist"),
+    )
+    asked = V.table(spark, sf_dir, "nation").where("n_nationkey < 10").select(
+        F.lit("a").alias("specialist"), F.col("n_nationkey").cast("long").alias("question_id")
+    )
+    return qa.known_answers(raw, asked).select("finding_id", "question_id")
