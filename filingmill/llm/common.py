@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,8 +56,3 @@ def slices(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[range]:
         size += len(text)
     if start < len(texts):
         yield range(start, len(texts))
-
-
-def filled(batch: pd.DataFrame, column: str = "text") -> list[str]:
-    """The texts of a batch, null as the empty text."""
-    return ["" if x is None or x != x else x for x in batch[column].tolist()]
