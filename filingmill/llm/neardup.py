@@ -19,10 +19,11 @@ them is lost that the bands find. With the defaults a pair at similarity 0.85
 shares no band with probability 1e-6.
 
 Defined results: a text without words, or a null text, has the empty set and is
-linked with nothing. Null keys take part, but the smallest key that is not null
-names a component; a component of null keys alone has none. Rows repeated with
-one key share its component. Extra columns are ignored; an empty table gives
-an empty result.
+linked with nothing. A row with a null key shares the component of the rows
+with its set; a set that null keys alone have is linked with nothing and has no
+component id. Rows repeated with one key share its component; the texts of a
+key that has several count as one node. Extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
