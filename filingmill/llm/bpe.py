@@ -35,6 +35,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from filingmill.llm.common import batches_of
+
 BLOCK_CHARS = 1 << 16
 MEMO_WORDS = 300_000
 END = "</w>"
@@ -295,12 +297,13 @@ def _over_texts(docs: DataFrame, key: str, text: str, schema: str, row) -> DataF
                 value = cell.as_py() or ""
                 done.append(row(value))
                 size += len(value)
-                if size > 1 << 22 or i == batch.num_rows - 1:
+                if size > 1 << 20 or i == batch.num_rows - 1:
                     columns = [batch.column(0).slice(start, len(done))]
                     columns += [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*done), fields[1:])]
                     yield pa.RecordBatch.from_arrays(columns, [n for n, _ in fields])
                     done, start, size = [], i + 1, 0
 
+    batches_of(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(run, schema)
 

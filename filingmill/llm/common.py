@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Text that one numpy step of a task holds at once, in characters.
 BATCH_CHARS = 1 << 20
+#: Rows of a batch that Spark hands to Python.
+BATCH_ROWS = 500
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
@@ -38,6 +40,14 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def batches_of(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Rows that Spark hands to Python at once, for tasks planned from now on.
+
+    The default of 10,000 is too much for whole texts and register sets.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def text_of(column: str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

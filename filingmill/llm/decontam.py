@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingmill.llm.common import slices
+from filingmill.llm.common import BATCH_CHARS, batches_of, slices
 from filingmill.llm.words import LETTERS, mix, word_hashes, word_spans
 
 MAX_EDITS = 0.2
@@ -43,7 +43,6 @@ SAMPLED = 3
 AGREEMENT = 0.4
 WALKS = 4
 BLOCK_ITEMS = 20_000
-PART_CHARS = 4 << 20
 SEED = 7
 
 _FACTOR = mix(np.arange(11, 11 + SAMPLED, dtype=np.uint64)) | np.uint64(1)
@@ -264,7 +263,7 @@ def _pass(docs: DataFrame, block: Items) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for part in slices(texts, PART_CHARS):
+            for part in slices(texts, BATCH_CHARS):
                 own = [lowered(t) for t in texts[part.start:part.stop]]
                 words, first, starts, ends = word_spans(own, LETTERS)
                 # One long row of words with gaps, so a part needs few steps.
@@ -309,6 +308,7 @@ def leaks(
     the word edits.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    batches_of(docs.sparkSession)
     own = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("body"))
     blocks = own.count() // block_items + 1
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingmill.llm import examples
-from filingmill.llm.common import slices
+from filingmill.llm.common import batches_of, slices
 from filingmill.llm.htmltree import Page, parse
 
 CUT = 0.5
@@ -246,5 +246,6 @@ def main_text(
                     [rows.column(0), rows.column(1), pa.array(texts, pa.string())], [key, url, "text"]
                 )
 
+    batches_of(pages.sparkSession)
     rows = pages.select(F.col(key).cast("long"), F.col(url).cast("string"), F.col(source).cast("string"))
     return rows.mapInArrow(run, f"{key} long, {url} string, text string")

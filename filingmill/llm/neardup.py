@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingmill.llm.common import slices, stored
+from filingmill.llm.common import batches_of, slices, stored
 from filingmill.llm.words import mix, shingle_sets
 
 REGISTERS = 256
@@ -370,6 +370,7 @@ def near_duplicates(
 
     Returns the key, ``n_shingles``, ``component_id`` and ``kept``.
     """
+    batches_of(docs.sparkSession)
     signed = stored(_signatures(docs, key, text), "signatures")
     part = F.pmod(F.xxhash64("key"), F.lit(PARTS))
     rows = signed.select("key", "n", "fa", "fb", F.concat_ws(":", "fa", "fb", part).alias("spot"))

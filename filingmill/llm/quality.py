@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from filingmill.llm.common import slices
+from filingmill.llm.common import batches_of, slices
 
 WIDTH, STRIDE, FILTERS = 8, 4, 24
 #: Bytes of half a chunk: a chunk has twice as many and overlaps the next by half.
@@ -211,6 +211,7 @@ def scored(
                     [*rows.columns, pa.array(score)], [*rows.schema.names, "_score"]
                 )
 
+    batches_of(docs.sparkSession)
     schema = StructType([*docs.schema.fields, StructField("_score", DoubleType())])
     return docs.mapInArrow(run, schema)
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from filingmill.llm.common import text_of, work_folder
+from filingmill.llm.common import batches_of, text_of, work_folder
 
 #: Bytes of text that a bucket holds on average.
 BUCKET_BYTES = 8 << 20
@@ -116,6 +116,8 @@ def shuffle_to(
         [*docs.schema.fields, StructField("_bucket", IntegerType()),
          StructField("_place", LongType())]
     )
+    # A larger batch has more rows for each bucket, which compress better.
+    batches_of(docs.sparkSession, 10_000)
     piles = scattered.mapInArrow(packed, "bucket int, size long, pile binary")
     # Each bucket is a task of its own.
     dealt = piles.repartitionById(buckets, "bucket")

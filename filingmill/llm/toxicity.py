@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingmill.llm.common import slices
+from filingmill.llm.common import batches_of, slices
 from filingmill.llm.quality import held_out, sampled
 
 SAMPLE = 600
@@ -351,5 +351,6 @@ def toxicity_scores(
                     [batch.column(0).slice(part.start, len(part)), pa.array(score)], [key, "score"]
                 )
 
+    batches_of(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long"), F.col(text).cast("string"))
     return rows.mapInArrow(run, f"{key} long, score double")

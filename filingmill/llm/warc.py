@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm.common import stored, text_of
+from filingmill.llm.common import batches_of, stored, text_of
 
 SEGMENT_BYTES = 32 << 10
 CHUNK_BYTES = 8 << 10
@@ -172,6 +172,7 @@ def write_archives(
     records_per_file: int = RECORDS_PER_FILE,
 ) -> None:
     """Write one record per row of ``pages``, cut into segments if long."""
+    batches_of(pages.sparkSession)
     roles = special_roles(pages, key, payload)
     rows = pages.select(
         F.col(key).alias("page"),
@@ -378,6 +379,7 @@ def reassembled(raw: DataFrame) -> DataFrame:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives under ``path``, whole and decoded."""
+    batches_of(spark)
     return reassembled(raw_records(spark, path))
 
 
