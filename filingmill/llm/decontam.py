@@ -2,16 +2,20 @@
 
 Texts are sequences of words (runs of letters and digits, lowered). A document
 leaks an item if a span of it is within ``max_edits`` word edits per item word.
-Windows as long as an item slide over the whole document. A window that leaks
+Items are cut into pieces of at most ``PIECE_EDITS`` allowed edits: of the
+pieces of a leaked item, one at least is within its own share of the edits. So
+walks stay short, however long the item. Windows as long as a piece slide over
+the whole document, word by word. A window that leaks
 must hold enough words, pairs and triples of the items (an edit spoils three
 triples at most), so other windows are passed over without loss. The rest are embedded by CGK random walks, which turn few edits
 into few differing places; each repetition samples places of one walk and looks
-the result up among the items' samples. Matches are confirmed by the exact edit
-distance between the item and the text around the window.
+the result up among the pieces' samples. Matches are confirmed by the exact edit
+distance between the whole item and the text around the window.
 
-Repetitions follow from the recall that is asked for. Items are taken in blocks
-of ``BLOCK_ITEMS``: each block is one pass over the documents, and only a block
-is ever sent to the tasks.
+Repetitions of a piece follow from its words, its allowed edits and the recall
+that is asked for. Items are taken in blocks of ``BLOCK_ITEMS`` (fewer, if they
+are long): each block is one pass over the documents, and only a block is ever
+sent to the tasks.
 
 Defined results: a null or empty document leaks nothing, an item without words
 is never leaked. Items with fewer than ``1 / max_edits`` words must occur
@@ -37,12 +41,17 @@ from filingmill.llm.words import LETTERS, mix, word_hashes, word_spans
 
 MAX_EDITS = 0.2
 TARGET_RECALL = 0.999
-#: Places that a repetition samples, and the share of equal places to expect of
-#: the embeddings of an item and of a window near the limit.
+#: Places that a repetition samples.
 SAMPLED = 3
-AGREEMENT = 0.4
-WALKS = 4
+#: Loss of equal places by edits; measured losses are up to 1.3 (edits evenly
+#: spread, half of the words edited), and at most 1 at a fifth.
+LOSS = 1.5
+#: One walk may lose its place for good, so repetitions are dealt over many.
+WALKS = 16
+PIECE_EDITS = 4
 BLOCK_ITEMS = 20_000
+#: Characters of an item in a full block, on average.
+BLOCK_CHARS = 400
 SEED = 7
 
 _FACTOR = mix(np.arange(11, 11 + SAMPLED, dtype=np.uint64)) | np.uint64(1)
@@ -62,9 +71,26 @@ def word_ids(text: str) -> np.ndarray:
     return word_hashes([lowered(text)], LETTERS)[0] | np.uint64(1)
 
 
-def repetitions(recall: float = TARGET_RECALL) -> int:
+def pieces(size: int, allowed: int) -> list[tuple[int, int, int]]:
+    """First word, words and edits of each piece of an item.
+
+    The edits of all pieces, each plus one, are more than those allowed for the
+    item, so not all pieces can have more edits than their own.
+    """
+    count = min(size, max(1, -(-allowed // PIECE_EDITS)))
+    cuts = [size * i // count for i in range(count + 1)]
+    return [(a, b - a, allowed * (b - a) // size) for a, b in zip(cuts, cuts[1:])]
+
+
+def agreement(size: int, edits: int) -> float:
+    """Share of equal places to expect of a piece and a window with the edits."""
+    return 1 / (1 + LOSS * edits / math.sqrt(size))
+
+
+def repetitions(size: int, edits: int, recall: float = TARGET_RECALL) -> int:
     """Repetitions after which a window near the limit is found at ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREEMENT ** SAMPLED))
+    found = agreement(size, edits) ** SAMPLED
+    return 1 if found == 1 else math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
 def samples(windows: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
@@ -80,9 +106,8 @@ def samples(windows: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
     padded = np.concatenate([windows, np.zeros((rows, 1), dtype=np.uint64)], axis=1)
     line = np.arange(rows)
     out = np.zeros((rows, reps), dtype=np.uint64)
-    each = -(-reps // WALKS)
     span = (1.6 * sizes).astype(np.int64) + 1
-    for walk in range(WALKS):
+    for walk in range(min(WALKS, reps)):
         turn = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         seen = np.zeros((rows, steps), dtype=np.uint64)
         at = np.zeros(rows, dtype=np.int64)
@@ -90,7 +115,7 @@ def samples(windows: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
             word = padded[line, at]
             seen[:, step] = word
             at = np.minimum(at + ((word * turn[step]) >> np.uint64(63)).astype(np.int64), width)
-        for rep in range(walk * each, min(reps, (walk + 1) * each)):
+        for rep in range(walk, reps, WALKS):
             total = mix(np.full(rows, rep + 1, dtype=np.uint64)) + mix(sizes.astype(np.uint64))
             for share, factor in zip(rng.random(SAMPLED), _FACTOR):
                 total = total + seen[line, (share * span).astype(np.int64)] * factor
@@ -117,11 +142,6 @@ def nearest_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return int(cost[end]), int(origin[end]), end
 
 
-def stride(size: int) -> int:
-    """Words from one window start to the next."""
-    return max(1, size // 8)
-
-
 def pair_ids(words: np.ndarray) -> np.ndarray:
     """A hash of each word and the next."""
     return mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
@@ -148,33 +168,44 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], max_edits: float, recall: float):
         self.words = [(item, ids) for item, text in rows if len(ids := word_ids(text or ""))]
         self.allowed = [int(max_edits * len(w)) for _, w in self.words]
-        self.reps = repetitions(recall)
-        self.sizes = sorted({len(w) for _, w in self.words})
-        self.max_edits = max_edits
         if not self.words:
             return
+        self.longest = max(len(w) for _, w in self.words)
+        parts = [
+            (owner, *part) for owner, (_, w) in enumerate(self.words)
+            for part in pieces(len(w), self.allowed[owner])
+        ]
+        #: Most edits of the pieces of each size.
+        self.edits: dict[int, int] = {}
+        for _, _, size, edits in sorted(parts):
+            self.edits[size] = max(edits, self.edits.get(size, 0))
+        self.sizes = sorted(self.edits)
         self.width = self.sizes[-1]
+        reps = {size: repetitions(size, self.edits[size], recall) for size in self.sizes}
+        self.reps = max(reps.values())
         self.vocabulary = np.unique(np.concatenate([w for _, w in self.words]))
         self.pairs = np.unique(np.concatenate([pair_ids(w) for _, w in self.words]))
         self.triples = np.unique(np.concatenate([triple_ids(w) for _, w in self.words]))
-        grid = np.zeros((len(self.words), self.width), dtype=np.uint64)
-        for i, (_, w) in enumerate(self.words):
-            grid[i, :len(w)] = w
-        keys = samples(grid, np.array([len(w) for _, w in self.words]), self.reps)
-        flat = keys.ravel()
+        grid = np.zeros((len(parts), self.width), dtype=np.uint64)
+        for i, (owner, first, size, _) in enumerate(parts):
+            grid[i, :size] = self.words[owner][1][first:first + size]
+        sizes = np.array([size for _, _, size, _ in parts])
+        keys = samples(grid, sizes, self.reps)
+        held = np.arange(self.reps) < np.array([reps[size] for size in sizes])[:, None]
+        flat = keys[held]
         order = np.argsort(flat, kind="stable")
-        self.keys, self.owners = flat[order], order // self.reps
+        part = np.nonzero(held)[0][order]
+        self.keys = flat[order]
+        self.owners = np.array([p[0] for p in parts], dtype=np.int32)[part]
+        self.firsts = np.array([p[1] for p in parts], dtype=np.int32)[part]
         # A window with k edits has n - 2 - 3k word triples of the item, and of
         # its runs of triples one holds its share of them.
         self.run, self.run_least = 0, 0
         for run in range(1, self.sizes[0] - 1):
-            least = run - max((3 * self.edits(n) + stride(n) // 2) // ((n - 2) // run) for n in self.sizes)
+            least = run - max(3 * self.edits[n] // ((n - 2) // run) for n in self.sizes)
             if least > 0 and least * max(self.run, 1) >= self.run_least * run:
                 self.run, self.run_least = run, least
 
-    def edits(self, size: int) -> int:
-        return int(self.max_edits * size)
-
     def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and sizes of windows with enough words, pairs and triples."""
         triples = _counts(triple_ids(words), self.triples)
@@ -189,22 +220,20 @@ class Items:
         sums, pairs = _counts(words, self.vocabulary), _counts(pair_ids(words), self.pairs)
         starts, sizes = [], []
         for size in self.sizes:
-            step, edits = stride(size), self.edits(size)
-            # A start between two strides leaves that many more words outside.
-            off = step // 2
-            own = spots[(spots % step == 0) & (spots + size <= len(words))]
-            held = (sums[own + size] - sums[own] >= size - edits - off) & (
-                pairs[own + size - 1] - pairs[own] >= size - 1 - 2 * edits - off
+            edits = self.edits[size]
+            own = spots[spots + size <= len(words)]
+            held = (sums[own + size] - sums[own] >= size - edits) & (
+                pairs[own + size - 1] - pairs[own] >= size - 1 - 2 * edits
             )
             own = own[held]
             if size > 1:
-                own = own[triples[own + size - 2] - triples[own] >= size - 2 - 3 * edits - off]
+                own = own[triples[own + size - 2] - triples[own] >= size - 2 - 3 * edits]
             starts.append(own)
             sizes.append(np.full(len(own), size))
         return np.concatenate(starts), np.concatenate(sizes)
 
     def candidates(self, words: np.ndarray) -> dict[int, list[int]]:
-        """Window starts by item, for windows that share a sample with it."""
+        """Starts by item, from windows that share a sample with one of its pieces."""
         found: dict[int, set[int]] = defaultdict(set)
         starts, sizes = self.windows(words)
         for first in range(0, len(starts), 20_000):
@@ -217,15 +246,16 @@ class Items:
             rows, reps = np.nonzero(self.keys[low] == keys)
             high = np.searchsorted(self.keys, keys[rows, reps], "right")
             for row, first_owner, end in zip(begin[rows], low[rows, reps], high):
-                for owner in self.owners[first_owner:end]:
-                    found[int(owner)].add(int(row))
+                for owner, first_word in zip(self.owners[first_owner:end], self.firsts[first_owner:end]):
+                    found[int(owner)].add(int(row) - int(first_word))
         return {owner: sorted(places) for owner, places in found.items()}
 
     def leaks(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(item, first word, end word, item words, edits) of confirmed spans."""
         for owner, places in self.candidates(words).items():
             item, own = self.words[owner]
-            slack, spans = self.allowed[owner] + 1 + len(own) // 8, []
+            # Edits before or after the piece move the span, edits in it the window.
+            slack, spans = self.allowed[owner] + PIECE_EDITS + 1, []
             # Windows next to each other are confirmed as one stretch.
             stretches = []
             for place in places:
@@ -238,9 +268,13 @@ class Items:
             rest = [(max(low, 0), high) for low, high in stretches]
             while rest:
                 low, high = rest.pop()
-                if high - low < len(own) - self.allowed[owner]:
+                near, least = words[low:high], len(own) - self.allowed[owner]
+                # An edit spoils one word and two pairs of the item at most.
+                if len(near) < least or np.isin(near, own).sum() < least:
+                    continue
+                if np.isin(pair_ids(near), pair_ids(own)).sum() < 2 * least - len(own) - 1:
                     continue
-                edits, start, end = nearest_span(own, words[low:high])
+                edits, start, end = nearest_span(own, near)
                 if edits <= self.allowed[owner] and end > start:
                     spans.append((edits, low + start, low + end))
                     rest += [(low, low + start), (low + end, high)]
@@ -268,8 +302,8 @@ def _pass(docs: DataFrame, block: Items) -> DataFrame:
                 words, first, starts, ends = word_spans(own, LETTERS)
                 # One long row of words with gaps, so a part needs few steps.
                 counts = np.diff(first)
-                begin = first[:-1] + items.width * np.arange(len(part))
-                row = np.zeros(len(words) + items.width * (len(part) + 1), dtype=np.uint64)
+                begin = first[:-1] + items.longest * np.arange(len(part))
+                row = np.zeros(len(words) + items.longest * (len(part) + 1), dtype=np.uint64)
                 row[np.arange(len(words)) + np.repeat(begin - first[:-1], counts)] = words | np.uint64(1)
                 at = np.concatenate([[0], np.cumsum([len(t.encode(errors="surrogatepass")) + 1 for t in own])])
                 out = []
@@ -310,7 +344,8 @@ def leaks(
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     batches_of(docs.sparkSession)
     own = items.select(F.col(item).cast("long").alias("id"), F.col(item_text).cast("string").alias("body"))
-    blocks = own.count() // block_items + 1
+    count, chars = own.agg(F.count("*"), F.coalesce(F.sum(F.char_length("body")), F.lit(0))).first()
+    blocks = max(count // block_items, chars // (block_items * BLOCK_CHARS)) + 1
     own = own.withColumn("block", F.pmod(F.xxhash64("id", "body"), F.lit(blocks)))
     passes = []
     for number in range(blocks):

@@ -121,6 +121,31 @@ def test_leaks_against_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in blocks} == want
 
 
+@pytest.mark.parametrize("size", [7, 20, 50, 100, 200])
+def test_recall_at_the_limit(size):
+    rng = random.Random(size)
+    new = lambda n: [f"n{rng.getrandbits(60)}" for _ in range(n)]
+    items = [new(size) for _ in range(120)]
+    block = decontam.Items([(i, " ".join(w)) for i, w in enumerate(items)], decontam.MAX_EDITS, decontam.TARGET_RECALL)
+    for kind in ("swap", "insert", "drop"):
+        missed = 0
+        for i, item in enumerate(items):
+            text = list(item)
+            for at in sorted(rng.sample(range(size), block.allowed[i]), reverse=True):
+                text[at:at + (kind != "insert")] = [] if kind == "drop" else new(1)
+            body = decontam.word_ids(" ".join(new(size + 3 + i % 9) + text + new(size + 3)))
+            missed += i not in {found for found, *_ in block.leaks(body)}
+        assert missed == 0, kind
+
+
+def test_pieces_leave_one_within_its_edits():
+    for size in range(1, 120):
+        for allowed in {0, size // 10, size // 5, size // 2}:
+            parts = decontam.pieces(size, allowed)
+            assert [p[0] for p in parts] + [size] == [0] + [p[0] + p[1] for p in parts]
+            assert sum(edits + 1 for *_, edits in parts) > allowed
+
+
 def test_leaks_empty_tables(spark):
     docs, benchmark, _, _ = leak_tables(spark)
     assert decontam.leaks(docs.limit(0), benchmark).collect() == []
