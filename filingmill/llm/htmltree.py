@@ -14,10 +14,19 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never shown as text, dropped with all they hold.
 UNSEEN = frozenset(
-    "head script style title template noscript svg math iframe object canvas audio video map "
+    "script style title template noscript svg math iframe object canvas audio video map "
     "textarea select button datalist".split()
 )
 RAW = frozenset("script style title textarea iframe noscript".split())
+#: Blocks that end an open svg or math, and other unseen elements without an end.
+BLOCKS = frozenset(
+    "address article aside blockquote center dd details div dl dt fieldset figcaption figure footer form "
+    "h1 h2 h3 h4 h5 h6 header li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
+)
+#: Elements of svg and math that hold blocks.
+HOLDS_BLOCKS = frozenset("foreignobject desc annotation-xml".split())
+#: Unseen elements without an end that are read again in one page; later ones hold nothing.
+REREAD = 50
 #: A start of the key closes an open one of the values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -76,7 +85,14 @@ def marks_of(attributes: str) -> str:
 
 
 def parse(source: str) -> Page:
-    """The tree of a page, whatever its markup; text blocks are leaves."""
+    """The tree of a page, whatever its markup; text blocks are leaves.
+
+    The tags of head mean nothing here: what it may hold is unseen anyway, and
+    anything else starts the body. An unseen element that is still open where
+    an element around it or the page ends, has no end: it holds what stands
+    before its first block, or nothing if the page ends before any block.
+    Script and style without an end hold the rest of the page.
+    """
     page = Page()
     page.add(-1, "html", "", None, 0)
     stack: list[tuple[str, int]] = [("html", 0)]
@@ -109,13 +125,28 @@ def parse(source: str) -> Page:
             if stack[depth][0] in scope:
                 return
 
-    at, skip, depth = 0, None, 0
+    at, skip, rereads = 0, None, 0
+    inner: list[str] = []
+    opened, block = 0, None
+    endless: set[str] = set()
+
+    def after_raw(name: str, at: int) -> int:
+        """Where the text of a raw element ends, behind its end tag."""
+        if name not in endless:
+            end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
+            if end is not None:
+                return end.end()
+            endless.add(name)
+        return len(source) if name in ("script", "style") else at
+
     while True:
         found = _TOKEN.search(source, at)
         if found is None:
             if skip is None:
                 take(source[at:])
-            break
+                break
+            at, skip, rereads = opened if block is None else block, None, rereads + 1
+            continue
         if skip is None:
             take(source[at:found.start()])
         at = found.end()
@@ -123,24 +154,45 @@ def parse(source: str) -> Page:
         if name is None:
             continue
         name, ends = name.lower(), bool(found[1])
+        alone = found[3].endswith("/")
         if skip is not None:
-            if name == skip:
-                depth += -1 if ends else 1
-                if depth == 0:
-                    skip = None
-            elif skip == "head" and (name == "body" or ends and name == "html"):
+            if ends and inner and (inner[-1] == name or name in inner):
+                while inner.pop() != name:
+                    pass
+            elif ends and name == skip:
                 skip = None
-            elif skip == "head" and not ends and name in RAW:
-                at = _after_raw(source, name, at)
-            if skip is not None or name != "body" or ends:
+            elif ends and (name in ("body", "html") or any(name == own for own, _ in stack)):
+                if block is None and name in ("body", "html"):
+                    block = opened
+                rereads += block is not None
+                at, skip = found.start() if block is None else block, None
+            elif ends:
                 continue
+            elif name in RAW and not alone:
+                at = after_raw(name, at)
+            elif name == skip and name in ("button", "select"):
+                # Neither stands in its like: the one before has no end.
+                rereads += block is not None
+                at, skip = found.start() if block is None else block, None
+            elif name in BLOCKS and skip in ("svg", "math") and HOLDS_BLOCKS.isdisjoint(inner):
+                at, skip = found.start(), None
+            elif name not in VOID and name not in ("html", "head", "body"):
+                if name in BLOCKS and block is None:
+                    block = found.start()
+                if not alone:
+                    inner.append(name)
+            continue
+        if name == "head":
+            flush()
+            continue
         if name in UNSEEN:
-            if ends or found[3].endswith("/") and name not in RAW:
+            if ends or alone and name not in RAW:
                 continue
             if name in RAW:
-                at = _after_raw(source, name, at)
-            else:
-                skip, depth = name, 1
+                at = after_raw(name, at)
+            elif rereads < REREAD:
+                skip, opened, block = name, at, None
+                inner.clear()
             if name not in ("script", "style", "template", "svg", "math", "noscript"):
                 flush()
             continue
@@ -170,13 +222,7 @@ def parse(source: str) -> Page:
         flush()
         state["inside"] = 0
         stack.append((name, page.add(stack[-1][1], name, marks_of(found[3]), None, 0)))
-        if found[3].endswith("/"):
+        if alone:
             stack.pop()
     flush()
     return page
-
-
-def _after_raw(source: str, name: str, at: int) -> int:
-    """Where the text of a raw element ends, behind its end tag."""
-    end = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-    return len(source) if end is None else end.end()

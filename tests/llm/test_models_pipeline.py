@@ -146,6 +146,31 @@ def test_html_page_and_odd_rows(spark):
     assert htmltext.main_text(pages.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("source, want", [
+    ("<html><head><title>T</title><p>One.<p>Two.", "One. Two."),
+    ("<head><meta charset=x><script>'<p>no'</script><template><p>no</p></template>Bare text<p>One.", "Bare text One."),
+    ("<head><title>T</title></head><body><p>One.</p></body>", "One."),
+    ("<div><button>Go</div><p>One.", "One."),
+    ("<body><button>Go<p>One.</p><button>Off</button><p>Two.</p></body></html>", "One. Two."),
+    ("<div><select><option>A<option>B</div><p>One.</p><select><option>C</select><p>Two.", "One. Two."),
+    ("<body><svg><path d='x'><p>One.</p>", "One."),
+    ("<svg><foreignObject><p>no</p></foreignObject><g/></svg><p>One.", "One."),
+    ("<ul><li><object data=x>no<li>One.</ul><p>Two.", "One. Two."),
+    ("<object><object>no</object><div>no</div></object><p>One.", "One."),
+    ("<template><script>'</div>'</script><div>no</div></template><p>One.", "One."),
+    ("<object>One.", "One."),
+    ("<iframe src=x><p>One.", "One."),
+])
+def test_html_left_out_ends(source, want):
+    assert " ".join(t for t in htmltext.parse(source).text if t is not None) == want
+
+
+def test_html_many_left_out_ends():
+    for tag in ("object", "button", "select", "canvas", "iframe", "svg"):
+        texts = [t for t in htmltext.parse(f"<{tag}><p>Words.</p>" * 5000).text if t is not None]
+        assert texts == ["Words."] * 5000
+
+
 def test_html_test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()
     model = htmltext.default_model()
