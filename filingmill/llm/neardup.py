@@ -15,8 +15,9 @@ buckets, classes outside the bucket's main component are compared with classes
 of other components; in large ones, pairs are found by what they have in common
 that sets them off from the hub. Both ways keep every pair of different
 components that shares a bucket and can reach the limit, so no link between
-them is lost that the bands find. With the defaults a pair at similarity 0.85
-shares no band with probability 1e-6.
+them is lost that the bands find. Rows of a band follow from ``percent``: a pair
+at the limit shares no band with a probability of at most ``MISS`` (3e-6 at 80,
+9e-7 at 85; below 5 % one row is not enough for that).
 
 Defined results: a text without words, or a null text, has the empty set and is
 linked with nothing. A row with a null key shares the component of the rows
@@ -40,8 +41,8 @@ from filingmill.llm.words import mix, shingle_sets
 
 REGISTERS = 256
 MANTISSA_BITS = 10
-ROWS = 7
-BANDS = REGISTERS // ROWS
+#: Most that a pair at the limit may miss all bands.
+MISS = 1e-5
 #: Parts of a group of equal sets when it is gathered.
 PARTS = 64
 #: Standard deviations that an estimate may fall short of the limit.
@@ -119,22 +120,32 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "key long, n long, fa long, fb long, regs binary")
 
 
-def _bands(classes: DataFrame) -> DataFrame:
+def band_rows(percent: int) -> int:
+    """Most rows of a band at which a pair at the limit is found but for ``MISS``."""
+    rows = 1
+    while rows < REGISTERS and (1 - (percent / 100) ** (rows + 1)) ** (REGISTERS // (rows + 1)) <= MISS:
+        rows += 1
+    return rows
+
+
+def _bands(classes: DataFrame, percent: int) -> DataFrame:
     """(bucket, class, set size) for each band of each class."""
+    length = band_rows(percent)
+    count = REGISTERS // length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.arange(1, BANDS + 1, dtype=np.uint64)
-        place = mix(np.arange(1, ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+        turn = np.arange(1, count + 1, dtype=np.uint64)
+        place = mix(np.arange(1, length + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             regs = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16)
-            regs = regs.reshape(-1, REGISTERS)[:, :BANDS * ROWS].reshape(-1, BANDS, ROWS)
+            regs = regs.reshape(-1, REGISTERS)[:, :count * length].reshape(-1, count, length)
             keys = mix(((regs.astype(np.uint64) + np.uint64(1)) * place).sum(axis=2) + mix(turn))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys.view(np.int64).ravel()),
-                 pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)),
-                 pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))],
+                 pa.array(np.repeat(batch.column(0).to_numpy(), count)),
+                 pa.array(np.repeat(batch.column(1).to_numpy(), count))],
                 ["bucket", "cls", "n"],
             )
 
@@ -386,7 +397,7 @@ def near_duplicates(
         reps.groupBy("cls", "fa", "fb").agg(F.first("n").alias("n"), F.first("regs").alias("regs")),
         "classes",
     )
-    bands = _bands(classes)
+    bands = _bands(classes, percent)
     shared = bands.groupBy("bucket").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).where("x < y")
     buckets = stored(_with_hubs(stored(bands.join(shared.select("bucket"), "bucket"), "shared")), "buckets")
     sets = stored(

@@ -91,6 +91,23 @@ def test_neardup_against_brute_force(spark, copies):
     assert all(r.kept == (r.doc_id == r.component_id) for r in rows)
 
 
+def test_bands_follow_the_limit():
+    for percent in range(5, 100):
+        rows = neardup.band_rows(percent)
+        assert (1 - (percent / 100) ** rows) ** (neardup.REGISTERS // rows) <= 1e-5
+    assert neardup.band_rows(85) == 7
+
+
+def test_neardup_at_half(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(100):
+        words = [f"v{rng.getrandbits(60)}" for _ in range(154)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:104] + [f"v{rng.getrandbits(60)}" for _ in range(48)]))]
+    got = neardup.near_duplicates(table(spark, rows), percent=50).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 50)
+
+
 def test_neardup_large_buckets(spark, copies, monkeypatch):
     monkeypatch.setattr(neardup, "HOT", 3)
     rows = neardup.near_duplicates(table(spark, copies), percent=80).collect()
