@@ -45,10 +45,11 @@ _PAD = 256
 def planes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes and echo of all texts in a row, padded, and each text's first half.
 
-    Each text fills whole half chunks and at least one.
+    Each text fills whole half chunks and at least one. Half a chunk of padding
+    follows, more than a filter or an echo reaches; it is not pooled.
     """
     raw = [t.encode(errors="surrogatepass") for t in texts]
-    halves = np.array([max(1, -(-len(r) // HALF)) for r in raw])
+    halves = np.array([max(1, -(-len(r) // HALF)) + 1 for r in raw])
     first = np.concatenate([[0], np.cumsum(halves)])
     out = np.full(first[-1] * HALF + WIDTH, _PAD, dtype=np.int16)
     for at, r in zip(first * HALF, raw):
@@ -91,7 +92,7 @@ class Network:
     def features(self, halves: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Maxima and means over each text's overlapping chunks."""
         rows = []
-        for a, b in zip(first[:-1], first[1:]):
+        for a, b in zip(first[:-1], first[1:] - 1):
             own = halves[a:b]
             chunks = np.maximum(own[:-1], own[1:]) if b - a > 1 else own
             rows.append(np.concatenate([chunks.max(axis=0), chunks.mean(axis=0)]))
@@ -104,7 +105,8 @@ class Network:
             self.pooled(data[i * HALF:(i + step) * HALF + WIDTH], echo[i * HALF:(i + step) * HALF + WIDTH])[0]
             for i in range(0, first[-1], step)
         ])
-        z = self.features(halves, first) @ self.out + self.shift
+        # Summed row by row: a matrix product may round by its number of rows.
+        z = (self.features(halves, first) * self.out).sum(axis=1) + self.shift
         return 1 / (1 + np.exp(-np.clip(z.astype(float), -40, 40)))
 
     def gradients(self, batch: tuple, goal: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -117,7 +119,7 @@ class Network:
         dseen = dz[:, None] * self.out
         dh = np.zeros_like(halves)
         column = np.arange(FILTERS)
-        for i, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        for i, (a, b) in enumerate(zip(first[:-1], first[1:] - 1)):
             own = halves[a:b]
             top = own.argmax(axis=0)
             dh[a + top, column] += dseen[i, :FILTERS]

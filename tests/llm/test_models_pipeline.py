@@ -81,6 +81,14 @@ def test_quality_network_gradients():
         assert abs((up - down) / 2e-5 - g[at]) < 0.05 * abs(g[at]) + 1e-4
 
 
+def test_quality_of_a_text_alone_and_in_a_batch():
+    net = quality.trained([(t, int(i > 2)) for i, t in enumerate(BAD + GOOD)], epochs=2)
+    line = "Same words in a row, and so on. "
+    rows = [line * 4, line * 4, line * 3, (line * 4)[:127], "", "!" * 256, line[:31], line * 40, *BAD, *GOOD, line * 4]
+    alone = [net.scores([t])[0] for t in rows]
+    assert net.scores(rows).tolist() == alone and net.scores(rows[::-1]).tolist() == alone[::-1]
+
+
 def test_kernel_table_equals_sum_over_landmarks():
     units = ["idiot", "clown", "quiet", "idxiot"]
     machine = toxicity.Machine(["idiot", "clown"], ["quiet", "river"], 4)
