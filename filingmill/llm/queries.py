@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filingmill.llm import bpe, chat, decontam, exact, htmltext, neardup, quality, shards, toxicity, warc
+from filingmill.llm import (
+    bpe, chat, decontam, exact, htmltext, neardup, quality, shards, tokenfiles, toxicity, warc,
+)
 from filingmill.llm.common import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,3 +208,16 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept",
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
+
+
+@query("op13_tokenfiles")
+def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "tokens")
+    tokenfiles.write_records(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1
+    )
+    return tokenfiles.read_records(spark, path).select(
+        "doc_id", "start",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
