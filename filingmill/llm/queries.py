@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingmill.llm import (
-    bpe, chat, decontam, exact, htmltext, neardup, quality, shards, tokenfiles, toxicity, warc,
+    bpe, chat, decontam, exact, hardneg, htmltext, neardup, quality, shards, tokenfiles, toxicity, warc,
 )
 from filingmill.llm.common import work_folder
 
@@ -210,6 +210,33 @@ def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op11_hardneg", """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.id AS anchor_id, b.id AS id, a.label = b.label AS alike,
+    list_dot_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0
+), p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER w AS rank, s.id AS negative_id,
+  positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT alike
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id)
+QUALIFY rank <= 3
+""")
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return hardneg.hard_negatives(rows)
+
+
 @query("op13_tokenfiles")
 def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "tokens")

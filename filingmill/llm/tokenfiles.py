@@ -43,13 +43,13 @@ from filingmill.llm.bpe import byte_letters
 from filingmill.llm.common import batches_of, slices, text_of
 
 #: Bytes of text whose ids go into one file, on average.
-FILE_BYTES = 128 << 20
-#: Text that is encoded at once, in characters.
-BATCH_CHARS = 16 << 20
+FILE_BYTES = 64 << 20
+#: Text that is encoded at once, in bytes.
+BATCH_BYTES = 6 << 20
 #: A longer text is encoded in parts.
 PIECE_BYTES = 4 << 20
 #: Strings in each half of a worker's memo, and the longest of them.
-MEMO_STRINGS, MEMO_CHARS = 300_000, 64
+MEMO_STRINGS, MEMO_CHARS = 200_000, 64
 
 _SPACE = re.compile(r"[\x09-\x0d\x20]")
 _PLAIN = re.compile(r"[!-~\u00C0-\u00FF]*")
@@ -233,18 +233,29 @@ def encoder(vocabulary: str) -> Encoder:
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches joined up to about ``BATCH_CHARS`` bytes."""
+    """Batches joined up to about ``BATCH_BYTES`` bytes."""
     held, size = [], 0
     for batch in batches:
         held.append(batch)
         size += batch.nbytes
-        if size > BATCH_CHARS:
+        if size > BATCH_BYTES:
             yield pa.concat_batches(held)
             held, size = [], 0
     if held:
         yield pa.concat_batches(held)
 
 
+def cut_batch(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``BATCH_BYTES`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(rows.column(1)).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // BATCH_BYTES, prepend=0, append=-1))
+    start = 0
+    for end in np.unique(np.append(cuts, rows.num_rows)):
+        if end > start:
+            yield rows.slice(start, end - start)
+            start = int(end)
+
+
 def write_records(
     docs: DataFrame, path: str, vocabulary: str, end_id: int | None = None,
     file_bytes: int = FILE_BYTES, key: str = "doc_id", text: str = "text",
@@ -268,8 +279,7 @@ def write_records(
         run = encoder(vocabulary)
         end = b"" if end_id is None else end_id.to_bytes(run.width, "little")
         for rows in gathered(batches):
-            for part in slices(rows.column(1).to_pylist(), BATCH_CHARS):
-                own = rows.slice(part.start, len(part))
+            for own in cut_batch(rows):
                 found = run.texts(own.column(1))
                 held = [frame(k, ids + end, run.width) for k, ids in zip(own.column(0).to_pylist(), found)]
                 for few in slices(held, 1 << 20):
