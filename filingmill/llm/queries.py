@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingmill.llm import (
-    bpe, chat, decontam, exact, hardneg, htmltext, neardup, quality, shards, tokenfiles, toxicity, warc,
+    bpe, chat, decontam, exact, hardneg, htmltext, neardup, quality, shards, spelling, tokenfiles, toxicity, warc,
 )
 from filingmill.llm.common import work_folder
 
@@ -237,6 +237,52 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(rows)
 
 
+@query("op12_spelling", r"""
+WITH RECURSIVE t AS (
+  SELECT 0 AS step, list_transform(range(256), lambda x: x::BIGINT) AS crc
+  UNION ALL
+  SELECT step + 1, list_transform(crc, lambda x: xor(x >> 1, 3988292384 * (x & 1))) FROM t WHERE step < 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+), lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hexed AS (
+  SELECT run, n, hex(encode(doc_id::VARCHAR || ':' || run)) AS bytes FROM lowered
+), hashed AS (
+  SELECT run, n, xor(4294967295, list_reduce(
+    list_transform(range(0, length(bytes) // 2), lambda i: ('0x' || substr(bytes, 2 * i + 1, 2))::BIGINT),
+    lambda a, b: xor(a >> 8, crc[1 + (xor(a, b) & 255)]), 4294967295)) AS h
+  FROM hexed, (SELECT crc FROM t WHERE step = 8)
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END
+    AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) AS front, substr(word, i + 1) AS back
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM cut a JOIN cut b
+    ON a.i = b.i AND a.front = b.front AND a.back = b.back AND a.word <> b.word
+  UNION SELECT w.word, c.word, c.n FROM words w JOIN cut c ON w.word = c.front || c.back
+  UNION SELECT c.word, w.word, w.n FROM words w JOIN cut c ON w.word = c.front || c.back
+), best AS (
+  SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+    CASE WHEN m >= 5 * n THEN other END AS form, CASE WHEN m >= 5 * n THEN m END AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, form AS spot, 1 AS steps FROM formed WHERE form IS NOT NULL
+  UNION ALL
+  SELECT k.word, f.form, steps + 1 FROM walk k JOIN formed f ON f.word = k.spot WHERE f.form IS NOT NULL
+), ends AS (SELECT word, arg_max(spot, steps) AS root FROM walk GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)
+""")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op13_tokenfiles")
 def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_folder(spark, "tokens")

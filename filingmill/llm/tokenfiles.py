@@ -43,13 +43,13 @@ from filingmill.llm.bpe import byte_letters
 from filingmill.llm.common import batches_of, slices, text_of
 
 #: Bytes of text whose ids go into one file, on average.
-FILE_BYTES = 64 << 20
+FILE_BYTES = 32 << 20
 #: Text that is encoded at once, in bytes.
 BATCH_BYTES = 6 << 20
 #: A longer text is encoded in parts.
 PIECE_BYTES = 4 << 20
 #: Strings in each half of a worker's memo, and the longest of them.
-MEMO_STRINGS, MEMO_CHARS = 200_000, 64
+MEMO_STRINGS, MEMO_CHARS = 150_000, 64
 
 _SPACE = re.compile(r"[\x09-\x0d\x20]")
 _PLAIN = re.compile(r"[!-~\u00C0-\u00FF]*")
@@ -71,23 +71,23 @@ def frame(key: int | None, ids: bytes, width: int) -> bytes:
     return b"".join((length, _SUM.pack(masked(length)), payload, _SUM.pack(masked(payload))))
 
 
-def frames_of(content: bytes) -> Iterator[tuple[int, int, bytes | None, str | None]]:
+def frames_of(content: bytes | pa.Buffer) -> Iterator[tuple[int, int, bytes | None, str | None]]:
     """Offset, length, payload and what is wrong of each frame of a file."""
     at, view = 0, memoryview(content)
-    while at < len(content):
-        if at + _HEAD.size > len(content):
-            yield at, len(content) - at, None, "frame cut short"
+    while at < len(view):
+        if at + _HEAD.size > len(view):
+            yield at, len(view) - at, None, "frame cut short"
             return
-        size, check = _HEAD.unpack_from(content, at)
+        size, check = _HEAD.unpack_from(view, at)
         if masked(view[at:at + 8]) != check:
-            yield at, len(content) - at, None, "length differs from its checksum"
+            yield at, len(view) - at, None, "length differs from its checksum"
             return
         length = _HEAD.size + size + _SUM.size + 1
-        if at + length > len(content) or size < _KEY.size:
-            yield at, len(content) - at, None, "frame cut short"
+        if at + length > len(view) or size < _KEY.size:
+            yield at, len(view) - at, None, "frame cut short"
             return
         payload = view[at + _HEAD.size:at + _HEAD.size + size]
-        good = masked(payload) == _SUM.unpack_from(content, at + length - 5)[0]
+        good = masked(payload) == _SUM.unpack_from(view, at + length - 5)[0]
         yield at, length, bytes(payload) if good else None, None if good else "payload differs from its checksum"
         at += length
 
@@ -284,6 +284,7 @@ def write_records(
                 held = [frame(k, ids + end, run.width) for k, ids in zip(own.column(0).to_pylist(), found)]
                 for few in slices(held, 1 << 20):
                     yield pa.RecordBatch.from_arrays([pa.array(held[few.start:few.stop], pa.binary())], ["value"])
+        pa.default_memory_pool().release_unused()
 
     lines = dealt.select("key", "body").mapInArrow(framed, "value binary")
     lines.select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/records")
@@ -313,7 +314,7 @@ def _scan(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
         for batch in batches:
             for number, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 held, size, before = [], 0, 0
-                for place, (offset, length, payload, problem) in enumerate(frames_of(content.as_py())):
+                for place, (offset, length, payload, problem) in enumerate(frames_of(content.as_buffer())):
                     own = count = ids = None
                     if payload is not None:
                         own, ids = key_and_ids(payload)
@@ -327,6 +328,7 @@ def _scan(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                         held, size = [], 0
                 if held:
                     yield batch_of(held)
+        pa.default_memory_pool().release_unused()
 
     return _files(spark, path).mapInArrow(run, _INDEX + ", ids binary" * with_ids)
 
