@@ -50,6 +50,8 @@ BATCH_BYTES = 6 << 20
 PIECE_BYTES = 4 << 20
 #: Strings in each half of a worker's memo, and the longest of them.
 MEMO_STRINGS, MEMO_CHARS = 150_000, 64
+#: Most files whose starts (two numbers each) are broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 1_000_000
 
 _SPACE = re.compile(r"[\x09-\x0d\x20]")
 _PLAIN = re.compile(r"[!-~\u00C0-\u00FF]*")
@@ -349,6 +351,8 @@ def read_records(spark: SparkSession, path: str, key: str = "doc_id") -> DataFra
     # One row per file: its number of ids.
     earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    if sizes.count() <= BROADCAST_FILES:
+        starts = F.broadcast(starts)
     return _scan(spark, path, with_ids=True).join(starts, "file").select(
         F.col("key").alias(key), (F.coalesce("base", F.lit(0)) + F.col("before")).alias("start"), "ids", "problem"
     )
