@@ -16,15 +16,13 @@ from pyspark.sql import functions as F
 
 from filingmill.functions import text as T
 from filingmill.functions.rows import compute_once, explode_rows
+from filingmill.operators import lexicon
+from filingmill.operators.lexicon import CHUNK, DOC
 from filingmill.rules import research as R
-from filingmill.rules.words import QUERY_STOP_WORDS
-from filingmill.session import fixed_table
+from filingmill.session import fixed_table, stored
 
-MIN_UNIT = 24
 UNIT_BONUS = 60
 CHUNK_BONUS = 18
-DIGIT_SCORE = 2
-MAX_TOKEN_COUNT = 8
 BEST_PER_QUERY = 4
 PER_CHUNK = 6
 PER_SECTION = 32
@@ -33,7 +31,8 @@ CHUNKS_PER_SECTION = 8
 MIN_UNITS = 12
 MIN_CHUNKS = 2
 
-DOC = ["company_id", "document_id"]
+# Refs of units without a hit: for every query, and once for every section.
+_QUERIES, _SECTIONS = -1, -2
 
 
 def section_queries(
@@ -49,178 +48,51 @@ def section_queries(
     return fixed_table(spark, ["section_key", "query_index", "query"], rows)
 
 
-def _normalised(query: str) -> str:
-    """The search form of a query, as ``search_normalise`` gives it."""
-    kept = [c if c.isalnum() or c in "%₹" else " " for c in query.lower()]
-    return " ".join("".join(kept).split())
-
-
-def _query_tokens(query: str) -> list[str]:
-    return [
-        t for t in _normalised(query).split(" ")
-        if len(t) > 2 and t not in QUERY_STOP_WORDS
-    ]
-
-
-def _units(chunks: DataFrame) -> DataFrame:
-    """Units with their digit points and a ``lead`` flag.
+def evidence_units(chunks: DataFrame) -> DataFrame:
+    """Each line of a chunk alone and with the next line.
 
     All lines of a chunk are in one row, so pairs are built in place and
     nothing is shuffled. The last line gives its unit twice, with one id.
-    ``lead`` marks the first ids of a chunk that hold a digit, up to the cap
-    per chunk.
     """
     lines = F.transform(F.split("content", "\n"), lambda x: T.trim_space(x))
     n = F.size("lines")
 
     def unit(i: Column, size: int) -> Column:
         picked = F.filter(F.slice("lines", i, size), lambda x: x != "")
-        text = F.array_join(picked, " ")
         end = F.least(n, i + size - 1)
         return F.struct(
-            i.alias("line_start"),
-            end.alias("line_end"),
-            F.lit(size).alias("size"),
-            text.alias("content"),
-            F.concat(
-                F.col("chunk_index").cast("string"), F.lit(":"),
-                i.cast("string"), F.lit("-"), end.cast("string"),
-            ).alias("unit_id"),
-            text.rlike(r"\d").alias("has_digit"),
+            i.alias("line_start"), end.alias("line_end"), F.lit(size).alias("size"),
+            F.array_join(picked, " ").alias("content"),
         )
 
     units = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda i: F.array(unit(i, 1), unit(i, 2)),
-        )
-    )
-    units = F.filter(units, lambda u: F.length(u["content"]) >= MIN_UNIT)
-    digit_ids = F.array_distinct(
-        F.filter("units", lambda u: u["has_digit"])["unit_id"]
+        F.transform(F.sequence(F.lit(1), n), lambda i: F.array(unit(i, 1), unit(i, 2)))
     )
-    place = [*DOC, "chunk_index", "page_start", "page_end"]
+    units = F.filter(units, lambda u: F.length(u["content"]) >= lexicon.MIN_UNIT)
+    place = [*CHUNK, "page_start", "page_end"]
     rows = chunks.where(F.col("chunk_index") > 0).select(*place, "content")
     rows = compute_once(rows, lines=lines).select(*place, "lines")
-    rows = compute_once(rows, units=units).select(*place, "units")
-    rows = rows.withColumn("lead_ids", F.slice(digit_ids, 1, PER_CHUNK))
-    return explode_rows(rows, [*place, "lead_ids"], F.col("units"), "u").select(
-        *place, "u.line_start", "u.line_end", "u.size", "u.content",
-        "u.unit_id",
-        F.when(F.col("u.has_digit"), DIGIT_SCORE).otherwise(0)
-        .alias("digit"),
-        F.array_contains("lead_ids", F.col("u.unit_id")).alias("lead"),
-    )
+    return explode_rows(rows, place, units, "u").select(*place, "u.*", unit_id().alias("unit_id"))
 
 
-def evidence_units(chunks: DataFrame) -> DataFrame:
-    """Each line of a chunk alone and with the next line."""
-    return _units(chunks).drop("digit", "lead")
+def unit_id(start: str = "u.line_start", end: str = "u.line_end") -> Column:
+    """chunk:first line-last line"""
+    return F.concat(F.col("chunk_index"), F.lit(":"), F.col(start), F.lit("-"), F.col(end))
 
 
-def _scored(
-    rows: DataFrame, queries: Mapping[str, Sequence[str]], bonus: int
+def lexical_scores(
+    chunks: DataFrame, queries: Mapping[str, Sequence[str]] = R.SECTION_QUERIES,
+    index: DataFrame | None = None, words: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``hits``: the queries with a phrase or token hit and their score.
+    """Unit scores per query that has a hit; the digit bonus is included.
 
-    The query table is fixed, so it becomes plain generated code. The words of
-    a row meet all tokens in one hash intersection; only the tokens found are
-    counted, by what is left after removing them from a text whose words stand
-    between two blanks each. A phrase of three words or more is searched only
-    where all its inner words occur.
+    ``index`` and ``words`` are a stored index of the same chunks; without
+    them, postings are made on the way.
     """
-    listed = [
-        (section, i, _normalised(q), _query_tokens(q))
-        for section, group in queries.items() for i, q in enumerate(group)
-    ]
-    inner = {p: [w for w in p.split(" ")[1:-1] if w.isascii() and w.isalnum()]
-             for _, _, p, _ in listed}
-    tokens = sorted(
-        {t for _, _, _, ts in listed for t in ts}
-        | {w for words in inner.values() for w in words}
-    )
-    norm, padded = F.col("_norm"), F.col("_padded")
-    plain = (F.length(norm) == F.octet_length(norm)) & ~F.contains(
-        norm, F.lit("%")
-    )
-    ascii_text = F.when(plain, norm).otherwise(
-        F.regexp_replace(norm, "[^a-z0-9_]+", " ")
-    )
-
-    def count(token: str) -> Column:
-        word = f" {token} "
-        left = F.octet_length(F.replace(padded, F.lit(word), F.lit("")))
-        n = (F.octet_length(padded) - left) / F.lit(len(word.encode()))
-        return F.when(
-            F.array_contains("_found", F.lit(token)),
-            F.least(n.cast("int"), F.lit(MAX_TOKEN_COUNT)),
-        ).otherwise(0)
-
-    def counted(token: str) -> Column:
-        return F.col("_counts")[tokens.index(token)]
-
-    def score(phrase: str, wanted: list[str]) -> Column:
-        there = F.lit(True)
-        for w in inner[phrase]:
-            there = there & (counted(w) > 0)
-        there = there & F.contains(norm, F.lit(phrase))
-        total = F.when(there, bonus).otherwise(0)
-        for t in wanted:
-            total = total + counted(t)
-        return total
-
-    def hit(n: int, section: str, index: int) -> Column:
-        value = F.col("_scores")[n]
-        return F.when(
-            value > 0,
-            F.struct(
-                F.lit(section).alias("section_key"),
-                F.lit(index).alias("query_index"), value.alias("score"),
-            ),
-        )
-
-    def whole(values: list[Column]) -> Column:
-        # The slice keeps the optimiser from taking the array apart again.
-        array = F.array(*values).cast("array<int>")
-        return F.slice(array, 1, max(1, len(values)))
-
-    out = compute_once(rows, _norm=T.search_normalise(F.col("content")))
-    out = compute_once(out, _ascii=ascii_text)
-    out = out.withColumns(
-        {
-            "_found": F.array_intersect(
-                F.split("_ascii", " "),
-                F.array(*[F.lit(t) for t in tokens]).cast("array<string>"),
-            ),
-            "_padded": F.concat(
-                F.lit(" "),
-                F.replace(F.col("_ascii"), F.lit(" "), F.lit("  ")),
-                F.lit(" "),
-            ),
-        }
-    )
-    out = out.withColumn("_counts", whole([count(t) for t in tokens]))
-    out = out.withColumn(
-        "_scores", whole([score(p, ts) for _, _, p, ts in listed])
-    )
-    hits = F.array_compact(
-        F.array(*[hit(n, s, i) for n, (s, i, _, _) in enumerate(listed)])
-    )
-    return compute_once(out, hits=hits).drop(
-        "_norm", "_ascii", "_found", "_padded", "_counts", "_scores"
-    )
-
-
-def lexical_scores(
-    chunks: DataFrame, queries: Mapping[str, Sequence[str]] = R.SECTION_QUERIES
-) -> DataFrame:
-    """Unit scores per query that has a hit; the digit bonus is included."""
-    units = _units(chunks)
-    kept = [c for c in units.columns if c not in ("digit", "lead")]
-    scored = _scored(units, queries, UNIT_BONUS)
-    return explode_rows(scored, [*kept, "digit"], F.col("hits"), "hit").select(
-        *kept, "hit.section_key", "hit.query_index",
-        (F.col("hit.score") + F.col("digit")).alias("score"),
+    hits = lexicon.unit_hits(*lexicon.occurrences(chunks, queries, index, words), UNIT_BONUS)
+    return hits.select(
+        *CHUNK, "line_start", "line_end", "size", unit_id("line_start", "line_end").alias("unit_id"),
+        "section_key", "query_index", (F.col("hit") + F.col("digit")).alias("score"),
     )
 
 
@@ -237,99 +109,57 @@ def selected_units(
     chunks: DataFrame,
     queries: Mapping[str, Sequence[str]] = R.SECTION_QUERIES,
     limit: int = PER_SECTION,
+    index: DataFrame | None = None,
+    words: DataFrame | None = None,
 ) -> DataFrame:
     """Ids and places of the units of every evidence pack, without text.
 
     A digit gives every unit two points for every query, so units without any
-    hit compete too. Carrying all of them to all queries would multiply the
-    rows. Only the first ones of a document can ever win: per chunk the first
-    six ids (the chunk cap), and of those the first ``limit`` of the document
-    (the section cap), because each earlier one ranks at least as high in
-    every query. Those are kept next to the rows with hits; the rest is
-    dropped where it is scored, before any shuffle.
-
-    Text is scanned and scored once and left behind there. The one shuffle is
-    by document; every window and group below it is on keys that start with
-    the document.
+    hit compete too, but few of them can win. Per document the first ``limit``
+    digit units can fill a section (of a chunk the first six ids, the chunk's
+    cap), because each earlier one ranks at least as high; for one query only
+    the first four rows can be among its best four. Those meet the sections and
+    the queries; no other unit without a hit is carried.
+
+    Hits are dealt by document once; windows and groups below are on keys that
+    start with the document.
     """
     place = ["chunk_index", "line_start", "size"]
-    info = ["line_end", "unit_id"]
+    unit = [*place, "line_end", "digit"]
     scope = [*DOC, "section_key"]
-    scored = _scored(_units(chunks), queries, UNIT_BONUS).where(
-        (F.size("hits") > 0) | F.col("lead")
-    ).select(*DOC, *place, *info, "digit", "lead", "hits")
     # The twin of a chunk's last line shares its id and is counted once.
     twin = (F.col("size") == 2) & (F.col("line_start") == F.col("line_end"))
-    so_far = F.sum((F.col("lead") & ~twin).cast("int")).over(
-        Window.partitionBy(*DOC).orderBy(*place)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    every = F.array(
-        *[
-            F.struct(
-                F.lit(s).alias("section_key"), F.lit(i).alias("query_index")
-            )
-            for s, listed in queries.items()
-            for i in range(len(listed))
-        ]
-    )
-    hit_keys = F.transform(
-        "hits", lambda h: F.struct(h["section_key"], h["query_index"])
-    )
-    digit_only = F.transform(
-        F.array_except(every, hit_keys),
-        lambda e: F.struct(
-            e["section_key"].alias("section_key"),
-            e["query_index"].alias("query_index"),
-            F.lit(0).alias("score"),
-        ),
-    )
-    leads = F.col("lead") & (F.col("leads_so_far") <= limit)
-    rows = (
-        scored.withColumn("leads_so_far", so_far)
-        .withColumn(
-            "hits",
-            F.when(leads, F.concat(F.col("hits"), digit_only))
-            .otherwise(F.col("hits")),
-        )
-        .select(*DOC, *place, *info, "digit", F.explode("hits").alias("hit"))
-        .select(
-            *scope[:2], *place, *info, "digit", "hit.section_key",
-            "hit.query_index", F.col("hit.score").alias("hit_score"),
-        )
-        .withColumn("score", F.col("hit_score") + F.col("digit"))
-    )
-    ranked = _row_number(
-        rows, [*scope, "query_index"], [F.desc("score"), *place]
-    )
-    # Summed score: a unit gets its digit points once per query of a section.
-    sizes = F.create_map(
-        *[x for s, q in queries.items() for x in (F.lit(s), F.lit(len(q)))]
-    )
+    so_far = Window.partitionBy(*DOC).orderBy(*place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    leads = lexicon.leading_units(chunks, PER_CHUNK).withColumns({
+        "units": F.sum((~twin).cast("int")).over(so_far), "rows": F.count(F.lit(1)).over(so_far),
+    }).where(F.col("units") <= limit)
+    # The first few stand for every query, all of them once for every section.
+    refs = F.when(F.col("rows") <= BEST_PER_QUERY, F.array(F.lit(_QUERIES), F.lit(_SECTIONS))).otherwise(
+        F.array(F.lit(_SECTIONS))
+    )
+    extra = leads.select(*CHUNK, "line_start", "size", "line_end", "digit", F.explode(refs).alias("ref"))
+    asked = [(s, i) for s, listed in queries.items() for i in range(len(listed))]
+    found, known = lexicon.occurrences(chunks, queries, index, words)
+    known = known.unionByName(fixed_table(
+        chunks.sparkSession, ["ref", "section_key", "query_index"],
+        [(_QUERIES, s, i) for s, i in asked] + [(_SECTIONS, s, -1) for s, q in queries.items() if q] or [(-9, "", 0)],
+    ))
+    rows = lexicon.unit_hits(found, known, UNIT_BONUS, extra)
+    score = F.col("hit") + F.col("digit")
+    ranked = _row_number(rows.withColumn("score", score), [*scope, "query_index"], [F.desc("score"), *place])
     early = F.when(
-        F.col("_rn") <= BEST_PER_QUERY,
+        (F.col("_rn") <= BEST_PER_QUERY) & (F.col("query_index") >= 0),
         F.struct(F.col("query_index").alias("step"), F.col("_rn").alias("rank")),
     )
-    keyed = (
-        ranked.groupBy(*scope, *place, *info, "digit")
-        .agg(
-            F.min(early).alias("early"),
-            F.sum("hit_score").alias("hit_total"),
-        )
-        .withColumn(
-            "total",
-            F.col("hit_total")
-            + F.col("digit") * F.try_element_at(sizes, F.col("section_key")),
-        )
-        .withColumns(
-            {
-                "phase": F.col("early").isNull().cast("int"),
-                "step": F.coalesce("early.step", F.lit(0)),
-                "rank": F.coalesce(
-                    F.col("early.rank").cast("bigint"), -F.col("total")
-                ),
-            }
-        )
+    present = ranked.select(*scope, *unit, "hit", early.alias("early"))
+    # Summed score: a unit gets its digit points once per query of a section.
+    sizes = F.create_map(*[x for s, q in queries.items() for x in (F.lit(s), F.lit(len(q)))])
+    total = F.col("hit_total") + F.col("digit") * F.try_element_at(sizes, F.col("section_key"))
+    keyed = present.groupBy(*scope, *unit).agg(F.min("early").alias("early"), F.sum("hit").alias("hit_total")).select(
+        *scope, *unit, unit_id("line_start", "line_end").alias("unit_id"),
+        F.col("early").isNull().cast("int").alias("phase"),
+        F.coalesce("early.step", F.lit(0)).alias("step"),
+        F.coalesce(F.col("early.rank").cast("bigint"), -total).alias("rank"),
     )
     order = ["phase", "step", "rank", *place]
     chain = _first(keyed, [*scope, "unit_id"], order, 1)
@@ -417,17 +247,9 @@ def select_chunks(
     scope = [*DOC, "section_key"]
     with_basis = dict(queries)
     with_basis["_basis"] = list(basis_queries)
-    hits = (
-        _scored(
-            content.select(*DOC, "chunk_index", "content"), with_basis,
-            CHUNK_BONUS,
-        )
-        .select(*DOC, "chunk_index", F.explode("hits").alias("hit"))
-        .select(
-            *DOC, "chunk_index", "hit.section_key", "hit.query_index",
-            "hit.score",
-        )
-    )
+    # Read five times below.
+    hits = stored(lexicon.chunk_hits(*lexicon.occurrences(content, with_basis), CHUNK_BONUS))
+    hits = hits.withColumnRenamed("hit", "score")
     sums = hits.groupBy(*scope, "chunk_index").agg(
         F.sum("score").cast("int").alias("total")
     )

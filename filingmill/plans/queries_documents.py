@@ -200,6 +200,31 @@ def lexical_score(spark, sf_dir) -> DataFrame:
     )
 
 
+_MANY = [(s, i, q) for s, qs in V.MANY_QUERIES.items() for i, q in enumerate(qs)]
+
+
+@query(
+    "many_query_scores",
+    rf"""WITH {UNITS_SQL}, q(section_key, query_index, phrase) AS (VALUES {", ".join(f"('{s}', {i}, '{q}')" for s, i, q in _MANY)}),
+    k(section_key, query_index, token) AS (VALUES {", ".join(f"('{s}', {i}, '{t}')" for s, i, q in _MANY for t in _tokens(q))}),
+    norm AS (SELECT document_id, unit_id, size, chunk_index, line_start, content,
+      trim(regexp_replace(lower(content), '[^\p{{L}}\p{{N}}%₹]+', ' ', 'g')) AS t FROM units),
+    w AS (SELECT chunk_index, line_start, size, document_id, unnest(string_split_regex(t, '[^a-z0-9_]+')) AS token FROM norm),
+    n AS (SELECT chunk_index, line_start, size, document_id, token, least(8, count(*)) AS points FROM w
+      WHERE token IN (SELECT token FROM k) GROUP BY ALL),
+    p AS (SELECT document_id, chunk_index, line_start, size, section_key, query_index, points FROM n JOIN k USING (token)
+      UNION ALL SELECT document_id, chunk_index, line_start, size, section_key, query_index, 60 FROM norm, q WHERE contains(t, phrase))
+    SELECT document_id, CAST(size AS INTEGER) AS size, section_key, CAST(query_index AS INTEGER) AS query_index, unit_id,
+      CAST(sum(points) + any_value(CASE WHEN regexp_matches(content, '\d') THEN 2 ELSE 0 END) AS INTEGER) AS score
+    FROM p JOIN norm USING (document_id, chunk_index, line_start, size) GROUP BY document_id, chunk_index, line_start, size, unit_id, section_key, query_index""",
+)
+def many_query_scores(spark, sf_dir) -> DataFrame:
+    """Scores of 163 queries at once, through the index."""
+    return retrieve.lexical_scores(V.paragraph_chunks(spark, sf_dir), V.MANY_QUERIES).select(
+        "document_id", "unit_id", "size", "section_key", "query_index", "score"
+    )
+
+
 SELECT_SQL = f"""{UNITS_SQL}, {SCORED_SQL},
 early AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, section_key, query_index
     ORDER BY score DESC, chunk_index, line_start, size) AS rank FROM scored WHERE score > 0) WHERE rank <= 4),
@@ -606,13 +631,15 @@ def quote_fallback(spark, sf_dir) -> DataFrame:
 )
 def best_excerpt(spark, sf_dir) -> DataFrame:
     """Best supporting unit for the first line of each document."""
-    _, packs = _cited(spark, sf_dir)
+    packs = retrieve.select_evidence(
+        V.paragraph_chunks(spark, sf_dir), {"english": V.TEST_QUERIES["english"]}
+    )
     claims = V.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("document_id"),
         F.split("text", "\n")[0].alias("claim"),
     )
-    place = F.col("chunk_index") * 100000 + F.col("line_start")
-    units = packs.where("section_key = 'english'").withColumn("cite_pos", place)
+    place = F.struct("chunk_index", "line_start")
+    units = packs.withColumn("cite_pos", place)
     return K.best_excerpt(claims, units, ["document_id"]).select(
         "document_id", "excerpt_score", "excerpt"
     )

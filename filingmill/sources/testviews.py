@@ -7,6 +7,8 @@ view reads its whole tables; values are derived from the rows themselves.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,6 +278,14 @@ TEST_QUERIES = {
     "mixed": ["token", "copyright license"],
 }
 
+_COMMON = (
+    "that with the was from are thing que le dans pour une der und nicht ein".split()
+)
+# As many queries as the catalogue has: ordered pairs of common words.
+MANY_QUERIES: dict[str, list[str]] = {}
+for _a, _b in itertools.islice(itertools.permutations(_COMMON, 2), 163):
+    MANY_QUERIES.setdefault(_a, []).append(f"{_a} {_b}")
+
 
 def feed_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as news rows of a company per user."""
