@@ -448,11 +448,17 @@ def affected_sections(items: DataFrame) -> DataFrame:
     return _exploded(items, M.SOURCE_SECTIONS, "source_type", "report_section")
 
 
-def section_checks(sections: DataFrame, checks: DataFrame) -> DataFrame:
-    """Research checks of each section, through its check categories."""
+def section_checks(
+    sections: DataFrame, checks: DataFrame, also: Sequence[str] = ()
+) -> DataFrame:
+    """Research checks of each section, through its check categories.
+
+    ``also`` names further columns that both sides share; with large lists of
+    checks they bound how many of them a section meets.
+    """
     return _exploded(
         sections, R.SECTION_CHECK_CATEGORIES, "section_key", "category"
-    ).join(checks, "category")
+    ).join(checks, ["category", *also])
 
 
 def section_framework(sections: DataFrame, framework: DataFrame) -> DataFrame:

@@ -95,14 +95,16 @@ def replaced_chunks(spark, sf_dir) -> DataFrame:
 
 @query(
     "array_columns",
-    """SELECT n_name, CASE WHEN n_name IN ('FRANCE', 'KENYA') THEN 'PERU/extra' ELSE n_name || '/extra' END AS tags FROM nation""",
+    """SELECT c_custkey, CASE WHEN c_custkey IN (2, 3) THEN (SELECT c_name FROM customer WHERE c_custkey = 1) ELSE c_name END
+      || '/' || CASE WHEN c_custkey IN (2, 3) THEN (SELECT c_mktsegment FROM customer WHERE c_custkey = 1) ELSE c_mktsegment END AS tags
+    FROM customer""",
 )
 def array_columns(spark, sf_dir) -> DataFrame:
     """Arrays with an appended element, then one row's array on two others."""
-    rows = V.table(spark, sf_dir, "nation").select("n_name", F.array("n_name").alias("tags"))
-    longer = tables.append_to_array(rows, "tags", F.array(F.lit("extra")))
-    out = tables.copy_array_from(longer, "n_name", "PERU", ["FRANCE", "KENYA"], "tags")
-    return out.select("n_name", F.array_join("tags", "/").alias("tags"))
+    rows = V.table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.array("c_name").alias("tags"))
+    longer = tables.append_to_array(rows, "tags", F.array("c_mktsegment"))
+    out = tables.copy_array_from(longer, "c_custkey", 1, [2, 3], "tags")
+    return out.select("c_custkey", F.array_join("tags", "/").alias("tags"))
 
 
 # ------------------------------------------------------------------ catalogues
@@ -116,19 +118,22 @@ _CATEGORIES = sorted({c for listed in R.SECTION_CHECK_CATEGORIES.values() for c
     f"""SELECT o.o_orderkey, s.section_key, t.category, p.p_partkey FROM orders o
     JOIN (SELECT *, row_number() OVER () - 1 AS n FROM (SELECT unnest({_SECTIONS}) AS section_key)) s ON s.n = o.o_custkey % {len(_SECTIONS)}
     JOIN {_pairs(R.SECTION_CHECK_CATEGORIES)} t(section_key, category) ON t.section_key = s.section_key
-    JOIN part p ON ({_CATEGORIES})[1 + p.p_partkey % {len(_CATEGORIES)}] = t.category AND p.p_partkey <= 40""",
+    JOIN part p ON ({_CATEGORIES})[1 + p.p_partkey % {len(_CATEGORIES)}] = t.category
+      AND p.p_size = 1 + o.o_orderkey % 50 AND p.p_brand = 'Brand#' || CAST(1 + o.o_custkey % 25 AS VARCHAR)""",
 )
 def section_checks(spark, sf_dir) -> DataFrame:
-    """Research checks of each section through its check categories."""
+    """Research checks of each section through its categories, brand and size."""
     names = F.array(*[F.lit(s) for s in _SECTIONS])
     kinds = F.array(*[F.lit(c) for c in _CATEGORIES])
     sections = V.table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.get(names, (F.col("o_custkey") % len(_SECTIONS)).cast("int")).alias("section_key")
+        "o_orderkey", F.get(names, (F.col("o_custkey") % len(_SECTIONS)).cast("int")).alias("section_key"),
+        (1 + F.col("o_orderkey") % 50).cast("int").alias("p_size"),
+        F.concat(F.lit("Brand#"), 1 + F.col("o_custkey") % 25).alias("p_brand"),
     )
-    checks = V.table(spark, sf_dir, "part").where("p_partkey <= 40").select(
-        "p_partkey", F.get(kinds, (F.col("p_partkey") % len(_CATEGORIES)).cast("int")).alias("category")
+    checks = V.table(spark, sf_dir, "part").select(
+        "p_partkey", "p_size", "p_brand", F.get(kinds, (F.col("p_partkey") % len(_CATEGORIES)).cast("int")).alias("category")
     )
-    return report.section_checks(sections, checks).select(
+    return report.section_checks(sections, checks, ["p_size", "p_brand"]).select(
         "o_orderkey", "section_key", "category", "p_partkey"
     )
 
