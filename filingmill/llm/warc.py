@@ -40,11 +40,12 @@ CHUNK_BYTES = 8 << 10
 RECORDS_PER_FILE = 1000
 PARTS = 64
 URN = "urn:filingmill:page:"
+_HEX, _NUMBER = re.compile(rb"[0-9A-Fa-f]{1,15}"), re.compile(r"[0-9]{1,9}")
 
 RAW_SCHEMA = (
     "record_id string, record_type string, segment int, origin string, "
     "total long, target_uri string, payload_digest string, refers_to string, "
-    "block binary"
+    "block binary, problem string"
 )
 READ_SCHEMA = (
     "record_id string, record_type string, target_uri string, "
@@ -73,7 +74,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size without line end")
-        size = int(body[at:end].split(b";")[0], 16)
+        digits = body[at:end].split(b";")[0].strip()
+        if not _HEX.fullmatch(digits):
+            raise ValueError("chunk size is no number")
+        size = int(digits, 16)
         at = end + 2
         if size == 0:
             return b"".join(out)
@@ -212,20 +216,36 @@ def write_archives(
     )
 
 
-def inflated(content: bytes) -> bytes:
-    """The bytes of an archive, whatever its number of gzip members."""
+def inflated(content: bytes) -> tuple[bytes, str | None]:
+    """The bytes of an archive, whatever its number of gzip members.
+
+    Of a broken archive, what comes before the break, and what is wrong.
+    """
     if content[:2] != b"\x1f\x8b":
-        return content
+        return content, None
     out = []
     while content:
         member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
+        try:
+            out.append(member.decompress(content))
+        except zlib.error as wrong:
+            return b"".join(out), f"gzip: {wrong}"
+        if not member.eof:
+            return b"".join(out), "gzip: cut short"
         content = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+    return b"".join(out), None
+
 
+def number(value: str | None) -> int | None:
+    """A field's number; null if there is none."""
+    return int(value) if value is not None and _NUMBER.fullmatch(value) else None
 
-def split_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields and block of each record of an archive."""
+
+def split_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes, str | None]]:
+    """Header fields, block and what is wrong of each record of an archive.
+
+    After a length that is no number, reading goes on at the next header.
+    """
     at = 0
     while True:
         at = content.find(b"WARC/", at)
@@ -233,13 +253,20 @@ def split_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             return
         end = content.find(b"\r\n\r\n", at)
         if end < 0:
+            yield {}, b"", "no end of the record header"
             return
         fields = {}
         for line in content[at:end].decode("utf-8", "replace").split("\r\n")[1:]:
             name, _, value = line.partition(":")
             fields[name.strip().lower()] = value.strip()
-        length = int(fields.get("content-length", "0"))
-        yield fields, content[end + 4:end + 4 + length]
+        length, problem = number(fields.get("content-length", "0")), None
+        if length is None:
+            length, problem = 0, "content length is no number"
+        elif end + 4 + length > len(content):
+            problem = "record cut short"
+        elif "warc-segment-number" in fields and number(fields["warc-segment-number"]) is None:
+            problem = "segment number is no number"
+        yield fields, content[end + 4:end + 4 + length], problem
         at = end + 4 + length
 
 
@@ -247,14 +274,11 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     """All records of all archives under ``path``, segments unjoined."""
     names = [f.split()[0] for f in RAW_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(),
-             pa.string(), pa.string(), pa.string(), pa.binary()]
+             pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def bare(value: str | None) -> str | None:
         return None if value is None else value.strip("<>")
 
-    def number(value: str | None) -> int | None:
-        return None if value is None else int(value)
-
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         columns = zip(*rows)
         return pa.RecordBatch.from_arrays(
@@ -265,14 +289,17 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, size = [], 0
-                for f, block in split_records(inflated(content.as_py())):
+                whole, broken = inflated(content.as_py())
+                if broken:
+                    rows.append((None, "", None, None, None, None, None, None, b"", broken))
+                for f, block, problem in split_records(whole):
                     rows.append((
-                        bare(f.get("warc-record-id")), f.get("warc-type"),
+                        bare(f.get("warc-record-id")), f.get("warc-type", ""),
                         number(f.get("warc-segment-number")),
                         bare(f.get("warc-segment-origin-id")),
                         number(f.get("warc-segment-total-length")),
                         f.get("warc-target-uri"), f.get("warc-payload-digest"),
-                        bare(f.get("warc-refers-to")), block,
+                        bare(f.get("warc-refers-to")), block, problem,
                     ))
                     size += len(block)
                     if size > 1 << 20:
@@ -299,7 +326,9 @@ def decoded(
     want = digest.removeprefix("sha1:") if digest else None
     if kind == "revisit":
         length = fields.get("content-length")
-        return None, None if length is None else int(length), want, None
+        if length is not None and number(length) is None:
+            return None, None, want, "content length is no number"
+        return None, number(length), want, None
     if fields.get("transfer-encoding", "").lower() == "chunked":
         try:
             body = unchunked(body)
@@ -337,13 +366,13 @@ def reassembled(raw: DataFrame) -> DataFrame:
         F.max(F.when(first, F.col("target_uri"))).alias("target_uri"),
         F.max(F.when(first, F.col("payload_digest"))).alias("payload_digest"),
         F.max(F.when(first, F.col("refers_to"))).alias("refers_to"),
-        F.max("total").alias("total"),
+        F.max("total").alias("total"), F.max("problem").alias("problem"),
         F.array_sort(F.collect_set(F.struct("segment", "block"))).alias("segments"),
     )
-    names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "total", "segments"]
+    names = ["record_id", "record_type", "target_uri", "payload_digest", "refers_to", "total", "segments", "problem"]
     one = F.array(F.struct(F.lit(None).cast("int").alias("segment"), F.col("block")))
     rows = whole.select(
-        *names[:5], F.lit(None).cast("long").alias("total"), one.alias("segments")
+        *names[:5], F.lit(None).cast("long").alias("total"), one.alias("segments"), "problem"
     ).unionByName(grouped.withColumnRenamed("record", "record_id").select(*names))
     out_names = [f.split()[0] for f in READ_SCHEMA.split(", ")]
     kinds = [pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(),
@@ -352,12 +381,14 @@ def reassembled(raw: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            columns = [batch.column(i) for i in range(7)]
+            columns = [batch.column(i) for i in range(8)]
             for i in range(batch.num_rows):
-                rid, kind, uri, digest, refers, total, segments = (c[i].as_py() for c in columns)
+                rid, kind, uri, digest, refers, total, segments, problem = (c[i].as_py() for c in columns)
                 parts = [(s["segment"], s["block"]) for s in segments]
-                problem = None
-                if parts[0][0] is None and len(parts) == 1:
+                block = b""
+                if problem is not None:
+                    pass
+                elif parts[0][0] is None and len(parts) == 1:
                     block = parts[0][1]
                 else:
                     block, problem = joined(parts, total)

@@ -1,9 +1,11 @@
 """Chat formatting, archives and shards: exact round trips and odd rows."""
 
 import gzip
+import os
 import random
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from filingmill.llm import chat, shards, warc
@@ -121,7 +123,7 @@ def test_warc_finds_broken_segments(spark):
     path = work_folder(spark, "test-broken")
     raw = b"".join(p + b"\r\n\r\n" for part in parts for p in part)
     members = b"".join(gzip.compress(p + b"\r\n\r\n") for part in parts for p in part)
-    assert warc.inflated(members) == raw
+    assert warc.inflated(members) == (raw, None)
     spark.createDataFrame([(bytearray(raw),)], "b binary").select(F.col("b").cast("string")).write.option(
         "lineSep", "\n").text(path)
     got = {r.record_id[-1]: (r.problem, r.payload) for r in warc.read_archives(spark, path).collect()}
@@ -157,3 +159,49 @@ def test_fisher_yates_is_uniform():
     rng = np.random.default_rng(0)
     seen = Counter(tuple(shards.fisher_yates(3, rng).tolist()) for _ in range(6000))
     assert len(seen) == 6 and min(seen.values()) > 850
+
+
+def records_of(*records):
+    return b"".join(head + b"\r\n\r\n" + block + b"\r\n\r\n" for head, block in records)
+
+
+@pytest.mark.parametrize("body", [
+    b"1\r\nx\r\n-6\r\n", b"zz\r\n", b"\r\n\r\n", b"+1\r\nx\r\n0\r\n\r\n", b"1_0\r\n", b"5\r\nx\r\n", b"",
+    b"f" * 40 + b"\r\n",
+])
+def test_broken_chunks_end(body):
+    with pytest.raises(ValueError):
+        warc.unchunked(body)
+
+
+def test_malformed_archives_come_out_with_a_problem(spark):
+    ok = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:%s>\r\n%s"
+    size = b"Content-Length: %d" % len(ok)
+    files = {
+        "a": records_of(
+            (head % (b"good", size), ok), (head % (b"length", b"Content-Length: many"), ok),
+            (head % (b"segment", b"WARC-Segment-Number: one\r\n" + size), ok),
+            (head % (b"total", b"WARC-Segment-Number: 1\r\nWARC-Segment-Total-Length: x\r\n" + size), ok),
+            (head % (b"last", size), ok),
+        ),
+        "b": records_of((head % (b"cut", b"Content-Length: 4000"), ok)),
+        "c": b"WARC/1.1\r\nno end",
+        "d": gzip.compress(records_of((head % (b"zip", size), ok)))[:-30] + b"\xff" * 30,
+        "e": gzip.compress(b"x" * 100_000)[:40], "f": b"", "g": b"\x1f\x8b",
+        "h": records_of((
+            b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:revisit>\r\nContent-Length: 45",
+            b"HTTP/1.1 200 OK\r\nContent-Length: lots\r\n\r\n....",
+        )),
+    }
+    folder = work_folder(spark, "broken")
+    os.makedirs(folder)
+    for name, content in files.items():
+        with open(f"{folder}/{name}", "wb") as file:
+            file.write(content)
+    rows = {r.record_id: r for r in warc.read_archives(spark, folder).collect() if r.record_id}
+    assert {k for k, r in rows.items() if r.problem is None} == {"urn:good", "urn:last"}
+    assert {"urn:length", "urn:segment", "urn:total", "urn:cut", "urn:revisit"} <= set(rows)
+    assert all(r.payload is None for k, r in rows.items() if r.problem is not None)
+    lost = [r.problem for r in warc.read_archives(spark, folder).collect() if not r.record_id]
+    assert sum(p.startswith("gzip") for p in lost) == 3 and "no end of the record header" in lost
