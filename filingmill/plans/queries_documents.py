@@ -11,7 +11,7 @@ from filingmill import schemas
 from filingmill.functions import text as T
 from filingmill.operators import chunks as C
 from filingmill.operators import conclusions as K
-from filingmill.operators import dedupe, facts, qa, report, retrieve
+from filingmill.operators import dedupe, facts, qa, quotes, report, retrieve
 from filingmill.plans import flows
 from filingmill.plans.catalog import query
 from filingmill.plans.queries_metrics import FIRSTS_SQL
@@ -615,6 +615,24 @@ def quote_fallback(spark, sf_dir) -> DataFrame:
     )
 
 
+@query(
+    "document_quotes",
+    f"""WITH {V.CHUNKS_SQL}, s AS (SELECT DISTINCT document_id, lower(x) AS needle FROM (
+        SELECT document_id, unnest(string_split(content, chr(10))) AS x FROM chunks) WHERE length(trim(x)) > 40)
+    SELECT s.document_id, md5(needle) AS quote_md5, CAST(min(chunk_index) AS INTEGER) AS first_chunk, count(*) AS n_chunks
+    FROM s JOIN chunks c ON c.document_id = s.document_id AND contains(lower(c.content), needle) GROUP BY s.document_id, needle""",
+)
+def document_quotes(spark, sf_dir) -> DataFrame:
+    """Every sentence of 40 characters or more, sought in all chunks of its document."""
+    chunks = V.paragraph_chunks(spark, sf_dir)
+    asked = chunks.select(
+        *quotes.DOC, F.explode(F.split("content", "\n")).alias("supporting_quote")
+    )
+    return quotes.quote_places(asked, chunks).groupBy("document_id", "needle").agg(
+        F.min("chunk_index").cast("int").alias("first_chunk"), F.count(F.lit(1)).alias("n_chunks")
+    ).select("document_id", F.md5("needle").alias("quote_md5"), "first_chunk", "n_chunks")
+
+
 @query(
     "best_excerpt",
     f"""WITH {SELECT_SQL}, c AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, string_split(text, chr(10))[1] AS claim FROM documents),
