@@ -4,7 +4,6 @@ import random
 import re
 
 from filingmill.operators import lexicon, retrieve
-from filingmill.session import shared_folder
 
 CHUNK = "company_id string, document_id string, chunk_index int, page_start int, page_end int, content string"
 WORDS = ["net", "debt", "netdebt", "of", "the", "x", "größe", "50%", "year", "on", "a_b", "years", "7"]
@@ -75,10 +74,10 @@ def test_chunk_points_across_lines(spark):
     assert got == want
 
 
-def test_a_stored_index_gives_the_same(spark):
+def test_a_stored_index_gives_the_same(spark, tmp_path):
     _, chunks = frame(spark)
     queries = phrases(20, seed=1)
-    path = f"{shared_folder(spark)}/index"
+    path = str(tmp_path)
     lexicon.write_index(chunks, path, buckets=8)
     index = lexicon.read_index(spark, path)
     words = spark.read.parquet(f"{path}/words")
