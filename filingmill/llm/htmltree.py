@@ -37,7 +37,8 @@ CLOSES = {
 SCOPE = frozenset("ul ol dl table body".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    # A quote opens a string only behind an equals sign.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
