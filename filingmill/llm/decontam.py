@@ -49,6 +49,8 @@ LOSS = 1.5
 #: One walk may lose its place for good, so repetitions are dealt over many.
 WALKS = 16
 PIECE_EDITS = 4
+#: Windows that are embedded at a time.
+WINDOWS = 4_000
 BLOCK_ITEMS = 20_000
 #: Characters of an item in a full block, on average.
 BLOCK_CHARS = 400
@@ -93,32 +95,33 @@ def repetitions(size: int, edits: int, recall: float = TARGET_RECALL) -> int:
     return 1 if found == 1 else math.ceil(math.log(1 - recall) / math.log(1 - found))
 
 
-def samples(windows: np.ndarray, sizes: np.ndarray, reps: int) -> np.ndarray:
-    """LSH keys, one column per repetition.
+def samples(windows: np.ndarray, reps: int) -> np.ndarray:
+    """LSH keys of windows of one size, one column per repetition.
 
-    ``windows`` holds one window per row, filled up with zeros. A walk stays at
-    a word or goes on, as a random bit of the word and the step says; it needs
-    about two steps a word, and places up to 1.6 steps a word are sampled.
+    ``windows`` holds one window per row. A walk stays at a word or goes on, as
+    a random bit of the word and the step says; it needs about two steps a
+    word, and 1.6 steps a word are walked and sampled.
     """
-    rng = np.random.default_rng(SEED)
-    rows, width = windows.shape
-    steps = int(1.6 * width) + 1
-    padded = np.concatenate([windows, np.zeros((rows, 1), dtype=np.uint64)], axis=1)
-    line = np.arange(rows)
-    out = np.zeros((rows, reps), dtype=np.uint64)
-    span = (1.6 * sizes).astype(np.int64) + 1
+    rows, size = windows.shape
+    rng = np.random.default_rng([SEED, size])
+    steps = int(1.6 * size) + 1
+    # A row per word, so that neighbours in memory take the same step. The last
+    # row is the gap, which no walk leaves.
+    words = np.zeros((size + 1, rows), dtype=np.uint64)
+    words[:size] = windows.T
+    flat = words.ravel()
+    out = np.empty((rows, reps), dtype=np.uint64)
+    seen = np.empty((steps, rows), dtype=np.uint64)
     for walk in range(min(WALKS, reps)):
         turn = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        seen = np.zeros((rows, steps), dtype=np.uint64)
-        at = np.zeros(rows, dtype=np.int64)
+        at = np.arange(rows)
         for step in range(steps):
-            word = padded[line, at]
-            seen[:, step] = word
-            at = np.minimum(at + ((word * turn[step]) >> np.uint64(63)).astype(np.int64), width)
+            seen[step] = flat[at]
+            at += ((seen[step] * turn[step]) >> np.uint64(63)).astype(np.int64) * rows
         for rep in range(walk, reps, WALKS):
-            total = mix(np.full(rows, rep + 1, dtype=np.uint64)) + mix(sizes.astype(np.uint64))
+            total = mix(np.array([rep + 1, size << 32], dtype=np.uint64)).sum()
             for share, factor in zip(rng.random(SAMPLED), _FACTOR):
-                total = total + seen[line, (share * span).astype(np.int64)] * factor
+                total = total + seen[int(share * steps)] * factor
             out[:, rep] = mix(total)
     return out
 
@@ -153,13 +156,35 @@ def triple_ids(words: np.ndarray) -> np.ndarray:
     return mix(pairs[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[2:])
 
 
-def _counts(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+class Known:
+    """Sorted hashes, with a table of their first bits that most others miss."""
+
+    BITS = 20
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.table = np.zeros(1 << self.BITS, dtype=bool)
+        self.table[self._first_bits(values)] = True
+
+    def _first_bits(self, values: np.ndarray) -> np.ndarray:
+        return (values >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the raveled ``values`` that are known, and their first index here."""
+        values = values.ravel()
+        spots = np.flatnonzero(self.table[self._first_bits(values)])
+        low = np.searchsorted(self.values, values[spots])
+        low[low == len(self.values)] = 0
+        held = self.values[low] == values[spots]
+        return spots[held], low[held]
+
+
+def _counts(values: np.ndarray, known: Known) -> np.ndarray:
     """How many of the first values are known, for each number of them."""
-    if not len(known):
-        return np.zeros(len(values) + 1, dtype=np.int64)
-    at = np.searchsorted(known, values)
-    at[at == len(known)] = 0
-    return np.concatenate([[0], np.cumsum(known[at] == values)])
+    out = np.zeros(len(values) + 1, dtype=np.int64)
+    if len(known.values):
+        out[known.find(values)[0] + 1] = 1
+    return np.cumsum(out)
 
 
 class Items:
@@ -181,23 +206,20 @@ class Items:
             self.edits[size] = max(edits, self.edits.get(size, 0))
         self.sizes = sorted(self.edits)
         self.width = self.sizes[-1]
-        reps = {size: repetitions(size, self.edits[size], recall) for size in self.sizes}
-        self.reps = max(reps.values())
-        self.vocabulary = np.unique(np.concatenate([w for _, w in self.words]))
-        self.pairs = np.unique(np.concatenate([pair_ids(w) for _, w in self.words]))
-        self.triples = np.unique(np.concatenate([triple_ids(w) for _, w in self.words]))
-        grid = np.zeros((len(parts), self.width), dtype=np.uint64)
-        for i, (owner, first, size, _) in enumerate(parts):
-            grid[i, :size] = self.words[owner][1][first:first + size]
-        sizes = np.array([size for _, _, size, _ in parts])
-        keys = samples(grid, sizes, self.reps)
-        held = np.arange(self.reps) < np.array([reps[size] for size in sizes])[:, None]
-        flat = keys[held]
+        self.reps = {size: repetitions(size, self.edits[size], recall) for size in self.sizes}
+        self.vocabulary = Known(np.unique(np.concatenate([w for _, w in self.words])))
+        self.pairs = Known(np.unique(np.concatenate([pair_ids(w) for _, w in self.words])))
+        self.triples = Known(np.unique(np.concatenate([triple_ids(w) for _, w in self.words])))
+        keys, held = [], []
+        for size in self.sizes:
+            own = np.array([(owner, first) for owner, first, n, _ in parts if n == size], dtype=np.int32)
+            grid = np.stack([self.words[owner][1][first:first + size] for owner, first in own])
+            keys.append(samples(grid, self.reps[size]).ravel())
+            held.append(np.repeat(own, self.reps[size], axis=0))
+        flat = np.concatenate(keys)
         order = np.argsort(flat, kind="stable")
-        part = np.nonzero(held)[0][order]
-        self.keys = flat[order]
-        self.owners = np.array([p[0] for p in parts], dtype=np.int32)[part]
-        self.firsts = np.array([p[1] for p in parts], dtype=np.int32)[part]
+        self.keys = Known(flat[order])
+        self.owners, self.firsts = np.concatenate(held)[order].T
         # A window with k edits has n - 2 - 3k word triples of the item, and of
         # its runs of triples one holds its share of them.
         self.run, self.run_least = 0, 0
@@ -206,8 +228,8 @@ class Items:
             if least > 0 and least * max(self.run, 1) >= self.run_least * run:
                 self.run, self.run_least = run, least
 
-    def windows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and sizes of windows with enough words, pairs and triples."""
+    def windows(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Sizes, and starts of their windows with enough words, pairs and triples."""
         triples = _counts(triple_ids(words), self.triples)
         spots = np.arange(len(words))
         if self.run:
@@ -218,7 +240,6 @@ class Items:
             np.add.at(mark, dense + 1, -1)
             spots = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
         sums, pairs = _counts(words, self.vocabulary), _counts(pair_ids(words), self.pairs)
-        starts, sizes = [], []
         for size in self.sizes:
             edits = self.edits[size]
             own = spots[spots + size <= len(words)]
@@ -228,26 +249,22 @@ class Items:
             own = own[held]
             if size > 1:
                 own = own[triples[own + size - 2] - triples[own] >= size - 2 - 3 * edits]
-            starts.append(own)
-            sizes.append(np.full(len(own), size))
-        return np.concatenate(starts), np.concatenate(sizes)
+            yield size, own
 
     def candidates(self, words: np.ndarray) -> dict[int, list[int]]:
         """Starts by item, from windows that share a sample with one of its pieces."""
         found: dict[int, set[int]] = defaultdict(set)
-        starts, sizes = self.windows(words)
-        for first in range(0, len(starts), 20_000):
-            begin, size = starts[first:first + 20_000], sizes[first:first + 20_000]
-            reach = begin[:, None] + np.arange(self.width)
-            inside = np.arange(self.width) < size[:, None]
-            grid = np.where(inside, words[np.minimum(reach, len(words) - 1)], np.uint64(0))
-            keys = samples(grid, size, self.reps)
-            low = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            rows, reps = np.nonzero(self.keys[low] == keys)
-            high = np.searchsorted(self.keys, keys[rows, reps], "right")
-            for row, first_owner, end in zip(begin[rows], low[rows, reps], high):
-                for owner, first_word in zip(self.owners[first_owner:end], self.firsts[first_owner:end]):
-                    found[int(owner)].add(int(row) - int(first_word))
+        known = self.keys.values
+        for size, starts in self.windows(words):
+            reps = self.reps[size]
+            for first in range(0, len(starts), WINDOWS):
+                begin = starts[first:first + WINDOWS]
+                keys = samples(words[begin[:, None] + np.arange(size)], reps)
+                spots, low = self.keys.find(keys)
+                high = np.searchsorted(known, known[low], "right")
+                for row, start, end in zip(begin[spots // reps], low, high):
+                    for owner, first_word in zip(self.owners[start:end], self.firsts[start:end]):
+                        found[int(owner)].add(int(row) - int(first_word))
         return {owner: sorted(places) for owner, places in found.items()}
 
     def leaks(self, words: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
@@ -305,8 +322,7 @@ def _pass(docs: DataFrame, block: Items) -> DataFrame:
                 begin = first[:-1] + items.longest * np.arange(len(part))
                 row = np.zeros(len(words) + items.longest * (len(part) + 1), dtype=np.uint64)
                 row[np.arange(len(words)) + np.repeat(begin - first[:-1], counts)] = words | np.uint64(1)
-                at = np.concatenate([[0], np.cumsum([len(t.encode(errors="surrogatepass")) + 1 for t in own])])
-                out = []
+                at, out = None, []
                 for item, start, end, size, edits in items.leaks(row):
                     doc = int(np.searchsorted(begin, end - 1, "right")) - 1
                     shift = int(first[doc] - begin[doc])
@@ -314,6 +330,8 @@ def _pass(docs: DataFrame, block: Items) -> DataFrame:
                     end = min(end + shift, int(first[doc + 1]))
                     if start >= end:
                         continue
+                    if at is None:
+                        at = np.cumsum([0, *(len(t.encode(errors="surrogatepass")) + 1 for t in own)])
                     chars = chars_of(own[doc], starts[start] - at[doc], ends[end - 1] - at[doc])
                     out.append((ids[part.start + doc], item, *chars, size, edits))
                 if out:
