@@ -13,9 +13,9 @@ No group is expanded into all its pairs. First each class is compared with the
 hubs of its buckets, and links found are joined into components. Then, in small
 buckets, classes outside the bucket's main component are compared with classes
 of other components; in large ones, pairs are found by what they have in common
-that sets them off from the hub. Both ways keep every pair of different
-components that shares a bucket and can reach the limit, so no link between
-them is lost that the bands find. Rows of a band follow from ``percent``: a pair
+that sets them off from the hub, rare edits first. Both ways keep every pair of
+different components that shares a bucket and can reach the limit, so no link
+between them is lost that the bands find. Rows of a band follow from ``percent``: a pair
 at the limit shares no band with a probability of at most ``MISS`` (3e-6 at 80,
 9e-7 at 85; below 5 % one row is not enough for that).
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingmill.llm.common import batches_of, slices, stored
@@ -316,9 +316,10 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     c = (100 - percent) / (100 + percent), so their D share o = (|Dx| + |Dy| -
     t) / 2 shingles at least. If o is 0 or less, both are linked to the hub.
     Otherwise, in any fixed order, the first shingle they share stands among
-    the first |D| - o + 1 of both, and enough follow it. Shingles that the hub
-    lacks come first in the order, being rare. So pairs meet at shingles of
-    their edits, not at the text they have in common, and none is lost.
+    the first |D| - o + 1 of both, and enough follow it. The order is by the
+    number of classes that differ from the hub by a shingle, rarest first, so
+    that an edit which thousands of classes have in common is the last to be
+    met at. Shingles of one class alone meet nothing and are only counted.
     """
     c = (100 - percent) / (100 + percent)
     members = marked.select("hub", "cls", "n", "comp").distinct().where("cls <> hub")
@@ -326,39 +327,44 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     members = members.join(own, "hub", "left").withColumn(
         "near", F.col("comp") == F.coalesce("hub_comp", "hub")
     )
-    with_sets = members.join(
+    # A hub whose members are all linked to it has no pair left to find.
+    open_hubs = members.where("NOT near").select("hub").distinct()
+    with_sets = members.join(open_hubs, "hub").join(
         sets.select("cls", F.col("items").alias("mine")), "cls"
     ).join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("base")), "hub")
-    names = ["hub", "cls", "n", "comp", "near", "d", "place", "item"]
+    names = ["hub", "cls", "n", "comp", "near", "d", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {k: batch.column(k) for k in ("hub", "cls", "n", "comp", "near")}
-            parts = {"d": [], "place": [], "item": []}
-            counts = []
+            both = []
             for i in range(batch.num_rows):
                 mine, base = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in ("mine", "base"))
-                new = np.setdiff1d(mine, base, assume_unique=True)
-                lost = np.setdiff1d(base, mine, assume_unique=True)
-                d = len(new) + len(lost)
-                if rows["near"][i].as_py():
-                    first = int(d * (1 + c) / 2) + 2
-                else:
-                    first = int(c * len(mine) * (1 + 100 / percent)) + 2
-                items = np.concatenate([new, lost])[:first]
-                counts.append(len(items))
-                parts["item"].append(items)
-                parts["place"].append(np.arange(len(items)))
-                parts["d"].append(np.full(len(items), d))
+                both.append(np.setxor1d(mine, base, assume_unique=True))
+            counts = [len(d) for d in both]
             if sum(counts):
                 at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
-                columns = [rows[k].take(at) for k in names[:5]]
-                columns += [pa.array(np.concatenate(parts[k]).astype(np.int64)) for k in ("d", "place")]
-                columns.append(pa.array(np.concatenate(parts["item"]).view(np.int64)))
+                columns = [batch.column(k).take(at) for k in names[:5]]
+                columns.append(pa.array(np.repeat(counts, counts).astype(np.int64)))
+                columns.append(pa.array(np.concatenate(both).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "hub long, cls long, n long, comp long, near boolean, d long, place long, item long"
-    firsts = stored(with_sets.mapInArrow(run, schema), "firsts")
+    schema = "hub long, cls long, n long, comp long, near boolean, d long, item long"
+    edits = stored(with_sets.mapInArrow(run, schema), "edits")
+    held = stored(
+        edits.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held"
+    )
+    line = Window.partitionBy("hub", "cls")
+    ranked = edits.join(held, ["hub", "item"]).withColumns(
+        {"rank": F.row_number().over(line.orderBy("held", "item")), "common": F.count(F.lit(1)).over(line)}
+    )
+    first = F.when(F.col("near"), F.floor(F.col("d") * (1 + c) / 2)).otherwise(
+        F.floor(F.col("n") * c * (1 + 100 / percent))
+    ) + 2
+    firsts = stored(
+        ranked.withColumn("place", F.col("d") - F.col("common") + F.col("rank") - 1)
+        .where(F.col("place") < first).drop("held", "rank", "common"),
+        "firsts",
+    )
     others = firsts.where("NOT near").select(
         "hub", "item", *[F.col(k).alias(f"{k}1") for k in ("cls", "n", "comp", "d", "place")]
     )

@@ -114,6 +114,33 @@ def test_neardup_large_buckets(spark, copies, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(copies, 80)
 
 
+def with_common_lines(count):
+    """Edited copies of one text; every copy may hold some of six common lines."""
+    rng = random.Random(5)
+    new = lambda n: [f"v{rng.randrange(3000)}" for _ in range(n)]
+    base, lines, rows = new(150), [new(10) for _ in range(6)], []
+    for i in range(count):
+        words = list(base)
+        for line in rng.sample(lines, rng.randrange(3)):
+            at = rng.choice([0, 40, 80, 120, len(words)])
+            words[at:at] = line
+        rows.append((i, edited(rng, words, rng.randrange(4))))
+    return rows
+
+
+def test_neardup_pairs_grow_with_a_group_not_its_square(spark, monkeypatch):
+    tried, plain = [], neardup._promising
+    monkeypatch.setattr(
+        neardup, "_promising", lambda pairs, *rest: tried.append(pairs.count()) or plain(pairs, *rest)
+    )
+    for count in (200, 800):
+        rows = with_common_lines(count)
+        got = neardup.near_duplicates(table(spark, rows), percent=85).collect()
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 85)
+    small, large = sum(tried[:2]), sum(tried[2:])
+    assert large < 8 * small, (tried, "16 times as many pairs would be the square")
+
+
 def test_neardup_repeats_nulls_and_empty(spark):
     text = "the quick brown fox jumps over it"
     docs = table(spark, [(5, text), (5, text), (2, text.upper()), (None, text), (8, "else " + "z y x w v u")])
