@@ -49,6 +49,8 @@ PARTS = 64
 MARGIN = 5.0
 #: Classes of a bucket above which pairs are sought by differences to its hub.
 HOT = 16
+#: Classes of a hub that tell which edits are shared by many.
+SAMPLE = 256
 #: Most ids that are broadcast to pick texts; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -308,6 +310,15 @@ def _rest_pairs(marked: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _differences(rows: pa.RecordBatch | pa.Table) -> Iterator[np.ndarray]:
+    """The shingles that are in one of the sets ``mine`` and ``base``, for each row."""
+    for mine, base in zip(rows.column("mine"), rows.column("base")):
+        yield np.setxor1d(
+            np.frombuffer(mine.as_buffer(), dtype=np.uint64), np.frombuffer(base.as_buffer(), dtype=np.uint64),
+            assume_unique=True,
+        )
+
+
 def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of a large bucket that may be linked though not both to its hub.
 
@@ -316,10 +327,10 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     c = (100 - percent) / (100 + percent), so their D share o = (|Dx| + |Dy| -
     t) / 2 shingles at least. If o is 0 or less, both are linked to the hub.
     Otherwise, in any fixed order, the first shingle they share stands among
-    the first |D| - o + 1 of both, and enough follow it. The order is by the
-    number of classes that differ from the hub by a shingle, rarest first, so
-    that an edit which thousands of classes have in common is the last to be
-    met at. Shingles of one class alone meet nothing and are only counted.
+    the first |D| - o + 1 of both, and enough follow it. Any order loses no
+    pair; this one has edits that many classes share last, so that these are
+    not where classes meet. What is shared is read off ``SAMPLE`` classes of a
+    hub, which decides the order alone, not who takes part.
     """
     c = (100 - percent) / (100 + percent)
     members = marked.select("hub", "cls", "n", "comp").distinct().where("cls <> hub")
@@ -332,39 +343,49 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
     with_sets = members.join(open_hubs, "hub").join(
         sets.select("cls", F.col("items").alias("mine")), "cls"
     ).join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("base")), "hub")
-    names = ["hub", "cls", "n", "comp", "near", "d", "item"]
+    by_hash = Window.partitionBy("hub").orderBy(F.xxhash64("cls"), "cls")
+    picked = members.join(open_hubs, "hub").select("hub", "cls").withColumn("rank", F.row_number().over(by_hash))
+    picked = picked.where(F.col("rank") <= SAMPLE).drop("rank").join(
+        sets.select("cls", F.col("items").alias("mine")), "cls"
+    ).join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("base")), "hub")
+
+    def shared_edits(rows: pa.Table) -> pa.Table:
+        items, held = np.unique(np.concatenate(list(_differences(rows))), return_counts=True)
+        often = held > 1
+        line = items[often][np.argsort(held[often], kind="stable")]
+        return pa.table([rows.column("hub").slice(0, 1), pa.array([line.tobytes()], pa.binary())], ["hub", "shared"])
+
+    shared = stored(
+        picked.select("hub", "mine", "base").groupBy("hub").applyInArrow(shared_edits, "hub long, shared binary"),
+        "shared-edits",
+    )
+    names = ["hub", "cls", "n", "comp", "near", "d", "place", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = []
-            for i in range(batch.num_rows):
-                mine, base = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in ("mine", "base"))
-                both.append(np.setxor1d(mine, base, assume_unique=True))
-            counts = [len(d) for d in both]
+            places, items, sizes, counts = [], [], [], []
+            for i, edits in enumerate(_differences(batch)):
+                line = np.frombuffer(batch.column("shared")[i].as_buffer(), dtype=np.uint64)
+                often = np.isin(line, edits, assume_unique=True)
+                rare = np.setdiff1d(edits, line, assume_unique=True)
+                if batch.column("near")[i].as_py():
+                    first = int(len(edits) * (1 + c) / 2) + 2
+                else:
+                    first = int(c * batch.column("n")[i].as_py() * (1 + 100 / percent)) + 2
+                own = np.concatenate([np.sort(rare), line[often]])[:first]
+                items.append(own)
+                places.append(np.arange(len(own)))
+                sizes.append(len(edits))
+                counts.append(len(own))
             if sum(counts):
                 at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
                 columns = [batch.column(k).take(at) for k in names[:5]]
-                columns.append(pa.array(np.repeat(counts, counts).astype(np.int64)))
-                columns.append(pa.array(np.concatenate(both).view(np.int64)))
+                columns += [pa.array(v.astype(np.int64)) for v in (np.repeat(sizes, counts), np.concatenate(places))]
+                columns.append(pa.array(np.concatenate(items).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "hub long, cls long, n long, comp long, near boolean, d long, item long"
-    edits = stored(with_sets.mapInArrow(run, schema), "edits")
-    held = stored(
-        edits.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held"
-    )
-    line = Window.partitionBy("hub", "cls")
-    ranked = edits.join(held, ["hub", "item"]).withColumns(
-        {"rank": F.row_number().over(line.orderBy("held", "item")), "common": F.count(F.lit(1)).over(line)}
-    )
-    first = F.when(F.col("near"), F.floor(F.col("d") * (1 + c) / 2)).otherwise(
-        F.floor(F.col("n") * c * (1 + 100 / percent))
-    ) + 2
-    firsts = stored(
-        ranked.withColumn("place", F.col("d") - F.col("common") + F.col("rank") - 1)
-        .where(F.col("place") < first).drop("held", "rank", "common"),
-        "firsts",
-    )
+    schema = "hub long, cls long, n long, comp long, near boolean, d long, place long, item long"
+    firsts = stored(with_sets.join(shared, "hub").mapInArrow(run, schema), "firsts")
     others = firsts.where("NOT near").select(
         "hub", "item", *[F.col(k).alias(f"{k}1") for k in ("cls", "n", "comp", "d", "place")]
     )
