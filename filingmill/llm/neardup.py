@@ -13,7 +13,7 @@ No group is expanded into all its pairs. First each class is compared with the
 hubs of its buckets, and links found are joined into components. Then, in small
 buckets, classes outside the bucket's main component are compared with classes
 of other components; in large ones, pairs are found by what they have in common
-that sets them off from the hub, rare edits first. Both ways keep every pair of
+that sets them off from one base text of their group, rare edits first. Both ways keep every pair of
 different components that shares a bucket and can reach the limit, so no link
 between them is lost that the bands find. Rows of a band follow from ``percent``: a pair
 at the limit shares no band with a probability of at most ``MISS`` (3e-6 at 80,
@@ -271,14 +271,35 @@ def _with_hubs(buckets: DataFrame) -> DataFrame:
         F.max(F.struct("company", "cls", "n")).alias("top"), F.count(F.lit(1)).alias("m")
     )
     return buckets.join(
-        hubs.select("bucket", "m", F.col("top.cls").alias("hub"), F.col("top.n").alias("nh")), "bucket"
+        hubs.select(
+            "bucket", "m", F.col("top.cls").alias("hub"), F.col("top.n").alias("nh"), F.col("top.company").alias("company")
+        ),
+        "bucket",
     )
 
 
-def _star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Each class with the hubs of its buckets."""
+def _with_bases(hot: DataFrame) -> DataFrame:
+    """Large buckets with their base: the text that all members are set off from.
+
+    It is the hub with the most company among the hubs that the bucket's own
+    hub meets in large buckets, so the many buckets of one group of copies have
+    one base, and each copy is compared with it once and not once for each hub.
+    """
+    hubs = hot.select(F.col("hub").alias("cls")).distinct()
+    bases = hot.join(hubs, "cls").groupBy(F.col("cls").alias("hub")).agg(
+        F.max(F.struct("company", F.col("hub").alias("base"), "nh"))["base"].alias("base"),
+        F.max(F.struct("company", "hub", "nh"))["nh"].alias("nb"),
+    )
+    return hot.join(bases, "hub").select("base", "cls", "n", "nb").distinct()
+
+
+def _star_pairs(buckets: DataFrame, based: DataFrame, percent: int) -> DataFrame:
+    """Each class with the hubs and the bases of its buckets."""
+    centres = buckets.select("cls", "n", "hub", "nh").unionByName(
+        based.select("cls", "n", F.col("base").alias("hub"), F.col("nb").alias("nh"))
+    )
     return (
-        buckets.where(f"cls <> hub AND 100 * least(n, nh) >= {percent} * greatest(n, nh)")
+        centres.where(f"cls <> hub AND 100 * least(n, nh) >= {percent} * greatest(n, nh)")
         .select(F.least("cls", "hub").alias("a"), F.greatest("cls", "hub").alias("b"))
         .distinct()
     )
@@ -308,38 +329,38 @@ def _rest_pairs(marked: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a large bucket that may be linked though not both to its hub.
+def _hot_pairs(based: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a large bucket that may be linked though not both to its base.
 
-    A class differs from the hub by the symmetric difference D of the sets.
+    A class differs from the base by the symmetric difference D of the sets.
     Sets x and y at the limit differ by at most t = c (|x| + |y|) shingles,
     c = (100 - percent) / (100 + percent), so their D share o = (|Dx| + |Dy| -
-    t) / 2 shingles at least. If o is 0 or less, both are linked to the hub.
+    t) / 2 shingles at least. If o is 0 or less, both are linked to the base.
     Otherwise, in any fixed order, the first shingle they share stands among
     the first |D| - o + 1 of both, and enough follow it. The order is by the
-    number of classes that differ from the hub by a shingle, rarest first, so
+    number of classes that differ from the base by a shingle, rarest first, so
     that an edit which thousands of classes have in common is the last to be
     met at. Shingles of one class alone meet nothing and are only counted.
     """
     c = (100 - percent) / (100 + percent)
-    members = marked.select("hub", "cls", "n", "comp").distinct().where("cls <> hub")
-    own = labels.select(F.col("cls").alias("hub"), F.col("comp").alias("hub_comp"))
-    members = members.join(own, "hub", "left").withColumn(
-        "near", F.col("comp") == F.coalesce("hub_comp", "hub")
+    members = based.where("cls <> base").select("base", "cls", "n").join(labels, "cls", "left")
+    own = labels.select(F.col("cls").alias("base"), F.col("comp").alias("base_comp"))
+    members = members.withColumn("comp", F.coalesce("comp", "cls")).join(own, "base", "left").withColumn(
+        "near", F.col("comp") == F.coalesce("base_comp", "base")
     )
-    # A hub whose members are all linked to it has no pair left to find.
-    open_hubs = members.where("NOT near").select("hub").distinct()
-    with_sets = members.join(open_hubs, "hub").join(
+    # A base whose members are all linked to it has no pair left to find.
+    open_bases = members.where("NOT near").select("base").distinct()
+    with_sets = members.join(open_bases, "base").join(
         sets.select("cls", F.col("items").alias("mine")), "cls"
-    ).join(sets.select(F.col("cls").alias("hub"), F.col("items").alias("base")), "hub")
-    names = ["hub", "cls", "n", "comp", "near", "d", "item"]
+    ).join(sets.select(F.col("cls").alias("base"), F.col("items").alias("theirs")), "base")
+    names = ["base", "cls", "n", "comp", "near", "d", "item"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = []
             for i in range(batch.num_rows):
-                mine, base = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in ("mine", "base"))
-                both.append(np.setxor1d(mine, base, assume_unique=True))
+                mine, theirs = (np.frombuffer(batch.column(k)[i].as_buffer(), dtype=np.uint64) for k in ("mine", "theirs"))
+                both.append(np.setxor1d(mine, theirs, assume_unique=True))
             counts = [len(d) for d in both]
             if sum(counts):
                 at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
@@ -348,13 +369,13 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
                 columns.append(pa.array(np.concatenate(both).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "hub long, cls long, n long, comp long, near boolean, d long, item long"
+    schema = "base long, cls long, n long, comp long, near boolean, d long, item long"
     edits = stored(with_sets.mapInArrow(run, schema), "edits")
     held = stored(
-        edits.groupBy("hub", "item").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held"
+        edits.groupBy("base", "item").agg(F.count(F.lit(1)).alias("held")).where("held > 1"), "held"
     )
-    line = Window.partitionBy("hub", "cls")
-    ranked = edits.join(held, ["hub", "item"]).withColumns(
+    line = Window.partitionBy("base", "cls")
+    ranked = edits.join(held, ["base", "item"]).withColumns(
         {"rank": F.row_number().over(line.orderBy("held", "item")), "common": F.count(F.lit(1)).over(line)}
     )
     first = F.when(F.col("near"), F.floor(F.col("d") * (1 + c) / 2)).otherwise(
@@ -366,10 +387,10 @@ def _hot_pairs(marked: DataFrame, labels: DataFrame, sets: DataFrame, percent: i
         "firsts",
     )
     others = firsts.where("NOT near").select(
-        "hub", "item", *[F.col(k).alias(f"{k}1") for k in ("cls", "n", "comp", "d", "place")]
+        "base", "item", *[F.col(k).alias(f"{k}1") for k in ("cls", "n", "comp", "d", "place")]
     )
     return (
-        others.join(firsts, ["hub", "item"])
+        others.join(firsts, ["base", "item"])
         .where(
             "comp <> comp1 AND (near OR cls1 < cls) AND "
             f"100 * least(n, n1) >= {percent} * greatest(n, n1) AND "
@@ -414,13 +435,14 @@ def near_duplicates(
         tried = stored(_promising(pairs, classes, percent), f"{name}-pairs")
         return stored(_confirmed(tried, sets, percent), f"{name}-links"), tried
 
-    first, tried = links(_star_pairs(buckets, percent), "star")
+    based = stored(_with_bases(buckets.where(F.col("m") > HOT)), "based")
+    first, tried = links(_star_pairs(buckets, based, percent), "star")
     linked = components(first)
     marked = stored(
         buckets.join(linked, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "marked"
     )
     cold = _rest_pairs(marked.where(F.col("m") <= HOT), percent)
-    hot = _hot_pairs(marked.where(F.col("m") > HOT), linked, sets, percent)
+    hot = _hot_pairs(based, linked, sets, percent)
     rest = cold.unionByName(hot).distinct().join(tried, ["a", "b"], "left_anti")
     second, _ = links(rest, "rest")
     labels = components(first.unionByName(second))
