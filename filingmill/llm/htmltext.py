@@ -131,7 +131,9 @@ class Forest:
         for i, up in enumerate(parents):
             if up >= 0:
                 depth[i] = depth[up] + 1
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max(initial=0)) + 1)]
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=0)) + 1))
+        self.levels = np.split(order, cuts)[1:]
 
 
 class Model:

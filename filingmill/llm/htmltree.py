@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 #: Element names of HTML by role.
@@ -25,8 +26,8 @@ BLOCKS = frozenset(
 )
 #: Elements of svg and math that hold blocks.
 HOLDS_BLOCKS = frozenset("foreignobject desc annotation-xml".split())
-#: Unseen elements without an end that are read again in one page; later ones hold nothing.
-REREAD = 50
+#: Unseen elements that never stand in their like.
+ALONE = frozenset("button select".split())
 #: A start of the key closes an open one of the values.
 CLOSES = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
@@ -38,9 +39,14 @@ SCOPE = frozenset("ul ol dl table body".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     # A quote opens a string only behind an equals sign.
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*+(?:\"[^\"]*+\"|'[^']*+')|[^>])*+)>"
+    # A start of a tag that has no end.
+    r"|(<)(?=/?[a-zA-Z])",
     re.S,
 )
+_PLAIN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S
+)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
@@ -92,11 +98,17 @@ def parse(source: str) -> Page:
     anything else starts the body. An unseen element that is still open where
     an element around it or the page ends, has no end: it holds what stands
     before its first block, or nothing if the page ends before any block.
-    Script and style without an end hold the rest of the page.
+    Script and style without an end hold the rest of the page. Behind a tag
+    that has no end, quotes mean nothing and tags end at the next ``>``.
+
+    Each step looks at open elements by name, and an element without an end is
+    found once, so the time grows with the page whatever it holds; only svg and
+    math without an end that hold blocks in each other are read again for each.
     """
     page = Page()
     page.add(-1, "html", "", None, 0)
     stack: list[tuple[str, int]] = [("html", 0)]
+    depths: dict[str, list[int]] = {}
     buffer: list[str] = []
     state = {"links": 0, "inside": 0}
 
@@ -116,20 +128,43 @@ def parse(source: str) -> Page:
             if state["inside"]:
                 state["links"] += len(text.strip())
 
+    def push(name: str, marks: str) -> None:
+        depths.setdefault(name, []).append(len(stack))
+        stack.append((name, page.add(stack[-1][1], name, marks, None, 0)))
+
+    def pop_to(depth: int) -> None:
+        while len(stack) > depth:
+            depths[stack.pop()[0]].pop()
+
+    def innermost(names: set[str] | frozenset[str]) -> int:
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
     def close(names: set[str] | frozenset[str], scope: frozenset[str]) -> None:
-        for depth in range(len(stack) - 1, 0, -1):
-            if stack[depth][0] in names:
-                flush()
-                del stack[depth:]
-                state["inside"] = 0
-                return
-            if stack[depth][0] in scope:
-                return
-
-    at, skip, rereads = 0, None, 0
-    inner: list[str] = []
+        depth = innermost(names)
+        if depth and depth >= innermost(scope):
+            flush()
+            pop_to(depth)
+            state["inside"] = 0
+
+    at, skip = 0, None
+    token, until = _TOKEN, len(source)
+    #: Elements inside the unseen one: names, places behind their start tags, number of each name.
+    inner: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
     opened, block = 0, None
     endless: set[str] = set()
+    #: Where unseen elements end that have no end tag, and the element whose end that is.
+    known: dict[int, tuple[int, str]] = {}
+    past = len(source) + 1
+    last_block = -1
+
+    def leave(place: int | None = None, outer: str = "html") -> None:
+        """Forget the elements inside; those still open end at ``place``, if it is given."""
+        for name, start in inner if place is not None else ():
+            if name in UNSEEN and name not in ALONE:
+                known[start] = place, outer
+        inner.clear()
+        held.clear()
 
     def after_raw(name: str, at: int) -> int:
         """Where the text of a raw element ends, behind its end tag."""
@@ -141,15 +176,25 @@ def parse(source: str) -> Page:
         return len(source) if name in ("script", "style") else at
 
     while True:
-        found = _TOKEN.search(source, at)
+        found = token.search(source, at, until)
+        if found is not None and token is _TOKEN and found[4]:
+            token, until = _PLAIN, source.rfind(">") + 1
+            until = max(until, found.start())
+            continue
         if found is None:
             if skip is None:
-                take(source[at:])
+                take(source[at:].partition("<!")[0])
                 break
-            at, skip, rereads = opened if block is None else block, None, rereads + 1
+            leave(past)
+            at, skip = opened if block is None else block, None
             continue
         if skip is None:
             take(source[at:found.start()])
+        elif opened in known and found.start() >= known[opened][0]:
+            # Known from an earlier reading to end here.
+            leave()
+            at, skip = found.start(), None
+            continue
         at = found.end()
         name = found[2]
         if name is None:
@@ -157,31 +202,45 @@ def parse(source: str) -> Page:
         name, ends = name.lower(), bool(found[1])
         alone = found[3].endswith("/")
         if skip is not None:
-            if ends and inner and (inner[-1] == name or name in inner):
-                while inner.pop() != name:
-                    pass
+            if ends and held[name]:
+                while True:
+                    last, start = inner.pop()
+                    held[last] -= 1
+                    if last == name:
+                        break
+                    if last in UNSEEN and last not in ALONE and name not in INLINE:
+                        known[start] = found.start(), name
             elif ends and name == skip:
                 skip = None
-            elif ends and (name in ("body", "html") or any(name == own for own, _ in stack)):
+                leave()
+            elif ends and (name in ("body", "html") or depths.get(name)):
                 if block is None and name in ("body", "html"):
                     block = opened
-                rereads += block is not None
+                leave(past if name in ("body", "html") else found.start(), name)
                 at, skip = found.start() if block is None else block, None
             elif ends:
                 continue
             elif name in RAW and not alone:
                 at = after_raw(name, at)
-            elif name == skip and name in ("button", "select"):
-                # Neither stands in its like: the one before has no end.
-                rereads += block is not None
+            elif name == skip and name in ALONE:
+                # The one before has no end.
+                leave()
                 at, skip = found.start() if block is None else block, None
-            elif name in BLOCKS and skip in ("svg", "math") and HOLDS_BLOCKS.isdisjoint(inner):
+            elif name in BLOCKS and skip in ("svg", "math") and not any(held[h] for h in HOLDS_BLOCKS):
+                leave()
                 at, skip = found.start(), None
             elif name not in VOID and name not in ("html", "head", "body"):
-                if name in BLOCKS and block is None:
-                    block = found.start()
+                if name in BLOCKS:
+                    last_block = max(last_block, found.start())
+                    if block is None:
+                        block = found.start()
+                    if skip not in ("svg", "math") and opened in known:
+                        leave()
+                        at, skip = block, None
+                        continue
                 if not alone:
-                    inner.append(name)
+                    inner.append((name, at))
+                    held[name] += 1
             continue
         if name == "head":
             flush()
@@ -191,9 +250,13 @@ def parse(source: str) -> Page:
                 continue
             if name in RAW:
                 at = after_raw(name, at)
-            elif rereads < REREAD:
-                skip, opened, block = name, at, None
-                inner.clear()
+            else:
+                place, outer = known.get(at, (0, ""))
+                if place != past and not depths.get(outer) or name in ("svg", "math") and at <= last_block:
+                    # That element is no longer open, or a block may end it: read anew.
+                    known.pop(at, None)
+                if place != past or at <= last_block:
+                    skip, opened, block = name, at, None
             if name not in ("script", "style", "template", "svg", "math", "noscript"):
                 flush()
             continue
@@ -215,15 +278,15 @@ def parse(source: str) -> Page:
         if name in ("html", "body"):
             flush()
             if name == "body" and len(stack) == 1:
-                stack.append(("body", page.add(0, "body", marks_of(found[3]), None, 0)))
+                push("body", marks_of(found[3]))
             continue
         close({"p"}, SCOPE | {"td", "th", "li"})
         if name in CLOSES:
             close(CLOSES[name], SCOPE)
         flush()
         state["inside"] = 0
-        stack.append((name, page.add(stack[-1][1], name, marks_of(found[3]), None, 0)))
+        push(name, marks_of(found[3]))
         if alone:
-            stack.pop()
+            pop_to(len(stack) - 1)
     flush()
     return page

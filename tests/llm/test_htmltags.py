@@ -1,5 +1,7 @@
 """Tags whose attributes hold odd quotes."""
 
+import time
+
 import pytest
 
 from filingmill.llm import htmltree
@@ -20,3 +22,26 @@ def texts(page):
 ])
 def test_quotes_in_attributes(page, want):
     assert texts(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<p title='x" * 16_000, "<p title='x" * 16_000 + ">", "<div>" * 32_000, "<object>" * 20_000, "<svg>" * 20_000,
+    "<div>" + "<object><p>x " * 16_000 + "</div>", "<object><p>" * 16_000 + "</p>" * 16_000, "<" + "x" * 200_000,
+    "<dl><dt><ul>" + "<div>" * 16_000 + "<dd></dd>" * 16_000, "<button><div>" * 16_000, "<p a=" * 30_000 + '">"',
+])
+def test_time_grows_with_the_page(page):
+    start = time.process_time()
+    htmltree.parse(page)
+    assert time.process_time() - start < 3
+
+
+@pytest.mark.parametrize("page, want", [
+    ("<object><p>One.</p>" * 60, ["One."] * 60),
+    ("<svg> <object> One. </body> <video> <table>", ["One."]),
+    ("<select> <div> <template> <p>One.</p> <select>", ["One."]),
+    ("a <b c", ["a <b c"]),
+    ("<p>One.</p><p title='x<p>Two.</p>", ["One.", "Two."]),
+    ("<p>One.</p><p title='x", ["One.", "<p title='x"]),
+])
+def test_elements_without_an_end(page, want):
+    assert texts(page) == want
