@@ -11,7 +11,7 @@ from __future__ import annotations
 import random
 
 MARKER = "⁂"
-PAGES = 500
+PAGES = 700
 _SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe qui ro su ta ve wi xo zu än éti ción sch ung the of and".split()
 
 
@@ -121,6 +121,23 @@ class _Writer:
             f"<section><h2>{m}{self.words(1, 5)}</h2><p>{m}{text}</p></section>",
         )
 
+    def short(self) -> str:
+        """A note of a few short blocks of one kind, mostly without a heading."""
+        m, count = MARKER, self.rng.randint(1, 4)
+        kind = self.pick("p", "p", "p", "li", "div", "pre")
+        inner = "".join(
+            f"<{kind}>{m}{self.pick(self.words(4, 25), self.sentence(), self.prose(1, 3))}</{kind}>" for _ in range(count)
+        )
+        if kind == "li":
+            inner = f"<ul>{inner}</ul>"
+        if self.rng.random() < 0.2:
+            inner = f"<h2>{m}{self.words(1, 5)}</h2>" + inner
+        return self.pick(
+            f"<article>{inner}</article>", f"<main>{inner}</main>", f"<main><article>{inner}</article></main>",
+            self.box("div section article", "content post entry-content story article-body main", inner),
+            f"<div>{inner}</div>", inner,
+        )
+
     def article(self) -> str:
         parts = [self.block() for _ in range(self.rng.choice((1, 1, 2, 2, 3, 5, 8, 12)))]
         for extra in (self.advert, self.sidebar, self.form, self.notice, self.hidden):
@@ -139,8 +156,12 @@ class _Writer:
     def page(self) -> str:
         before = [f for f in (self.header, self.menu, self.advert, self.notice, self.form) if self.rng.random() < 0.5]
         after = [f for f in (self.sidebar, self.comments, self.form, self.advert, self.notice) if self.rng.random() < 0.4]
-        parts = [f() for f in before] + [self.article()] + [f() for f in after]
-        if self.rng.random() < 0.85:
+        bare = self.rng.random() < 0.35
+        if bare:
+            before, after = before[:self.rng.randint(0, 1)], after[:self.rng.randint(0, 1)]
+        text = self.short() if self.rng.random() < 0.45 else self.article()
+        parts = [f() for f in before] + [text] + [f() for f in after]
+        if self.rng.random() < (0.3 if bare else 0.85):
             parts.append(self.footer())
         body = "".join(parts)
         body = self.pick(body, body, f'<div class="{self.pick("page", "wrapper", "container")}">{body}</div>')

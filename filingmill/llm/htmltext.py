@@ -167,7 +167,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -50, 50))), pairs
 
 
-def trained(pages: list[tuple[Page, list[int]]], rounds: int = 200, ridge: float = 0.02) -> Model:
+def trained(pages: list[tuple[Page, list[int]]], rounds: int = 200, ridge: float = 0.003) -> Model:
     """Fit the potentials to pages with a label for each node."""
     forest, model = Forest([p for p, _ in pages]), Model()
     label = np.array([x for _, labels in pages for x in labels])

@@ -1,10 +1,11 @@
 """Tags whose attributes hold odd quotes."""
 
+import re
 import time
 
 import pytest
 
-from filingmill.llm import htmltree
+from filingmill.llm import htmltext, htmltree
 
 
 def texts(page):
@@ -45,3 +46,21 @@ def test_time_grows_with_the_page(page):
 ])
 def test_elements_without_an_end(page, want):
     assert texts(page) == want
+
+
+W = "quiet river bends north past old mills and fields of barley while people walk home along dusty roads at dusk".split()
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<article><p>{20}</p></article>", 1),
+    ('<div class="content"><p>{20}.</p><p>{20}.</p><p>{20}.</p><p>{20}.</p></div>', 4),
+    ("<main><p>{8}</p><p>{8}</p></main>", 2),
+    ("<p>{12}.</p>", 1),
+    ("<article><ul><li>{3}</li><li>{5}</li></ul></article>", 2),
+    ("<html><body><h1>{2}</h1><p>{9}</p></body></html>", 2),
+    ("<body><nav><a href=/>Home</a><a href=/a>About us</a></nav><article><p>{20}</p></article><footer>&copy; 2020 Some Name</footer>", 1),
+])
+def test_short_articles(page, blocks):
+    source = re.sub(r"\{(\d+)\}", lambda m: " ".join(W[:int(m[1])]), page)
+    found = htmltext.main_texts([source], htmltext.default_model())[0].split("\n\n")
+    assert len(found) == blocks and all(t.split()[0] == "quiet" for t in found)
