@@ -10,8 +10,11 @@ law ``rows``) and slots have no gaps.
 
 Defined results: null and empty texts have size 1. Null keys, repeated keys
 and repeated rows are rows like others: the hash takes the row's number too,
-so repeated rows do not meet in one bucket. All columns are kept; a text may
-be as long as a task's memory allows. An empty table gives empty shards.
+so repeated rows do not meet in one bucket. All columns are kept, whatever
+their names: they travel as one struct, and a column named ``shard`` or
+``slot`` comes back as ``doc_shard`` or ``doc_slot`` (with one more ``doc_``
+while that is taken). A text may be as long as a task's memory allows. An empty
+table gives empty shards.
 """
 
 from __future__ import annotations
@@ -27,8 +30,10 @@ from pyspark.sql.window import Window
 
 from filingmill.llm.common import batches_of, text_of, work_folder
 
-#: Bytes of text that a bucket holds on average.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text that a bucket holds on average; a task holds about four times that.
+BUCKET_BYTES = 64 << 20
+#: Least number of buckets, so that small tables use several tasks.
+LEAST_BUCKETS = 32
 SEED = 20240229
 BATCH_ROWS = 2000
 
@@ -42,6 +47,22 @@ def fisher_yates(rows: int, rng: np.random.Generator) -> np.ndarray:
     return order
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_names(names: list[str]) -> list[str]:
+    """The names of the result: ``shard`` and ``slot`` stay free."""
+    taken, out = {n.lower() for n in names}, []
+    for name in names:
+        if name.lower() in ("shard", "slot"):
+            name = f"doc_{name}"
+            while name.lower() in taken:
+                name = f"doc_{name}"
+        out.append(name)
+    return out
+
+
 def pile_batch(piles: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     bucket, size, blob = zip(*piles)
     return pa.RecordBatch.from_arrays(
@@ -56,29 +77,27 @@ def shuffle_to(
 ) -> None:
     """Write ``docs`` in shuffled order to ``path``, bucket by bucket.
 
-    The written rows have all columns of ``docs`` and ``_bucket``, ``_place``.
+    The written rows have ``row``, a struct of all columns of ``docs``, and
+    ``_bucket``, ``_place``.
     """
     total = docs.agg(
         F.coalesce(F.sum(F.octet_length(text_of(text)) + 1), F.lit(0))
     ).first()[0]
-    buckets = total // bucket_bytes + 1
+    buckets = max(total // bucket_bytes + 1, LEAST_BUCKETS)
     number = F.monotonically_increasing_id()
     scattered = docs.select(
-        "*",
-        F.pmod(F.xxhash64(F.lit(seed), key, number), F.lit(buckets))
-        .cast("int").alias("_bucket"),
-        F.xxhash64(key, text).alias("_order"),
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"),
+        F.pmod(F.xxhash64(F.lit(seed), F.col(quoted(key)), number), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.xxhash64(F.col(quoted(key)), F.col(quoted(text))).alias("_order"),
     )
 
-    fields = [c for c in scattered.columns if c != "_bucket"]
-
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One compressed pile per bucket and batch: texts shrink before they move."""
         codec = pa.Codec("zstd")
         for batch in batches:
             rows = pa.Table.from_batches([batch]).sort_by("_bucket")
             own = rows["_bucket"].to_numpy()
-            rows = rows.select(fields).combine_chunks()
+            rows = rows.select(["row", "_order"]).combine_chunks()
             cuts = np.flatnonzero(np.diff(own, prepend=-1, append=-1))
             held, size = [], 0
             for start, end in zip(cuts[:-1], cuts[1:]):
@@ -113,8 +132,7 @@ def shuffle_to(
                 yield from rows.append_column("_place", place).to_batches()
 
     schema = StructType(
-        [*docs.schema.fields, StructField("_bucket", IntegerType()),
-         StructField("_place", LongType())]
+        [StructField("row", docs.schema), StructField("_bucket", IntegerType()), StructField("_place", LongType())]
     )
     # A larger batch has more rows for each bucket, which compress better.
     batches_of(docs.sparkSession, 10_000)
@@ -141,20 +159,18 @@ def read_shards(
             )
         ).alias("total"),
     )
-    kept = columns or [c for c in rows.columns if c not in ("_bucket", "_place")]
-    rank = F.col("offset") + F.col("_place")
+    kept = columns or rows.schema["row"].dataType.names
+    # Fields are pruned in the scan; numbers as names meet no other name.
+    own = rows.select(
+        "_bucket", "_place", *[F.col(f"row.{quoted(c)}").alias(f"c{i}") for i, c in enumerate(kept)]
+    )
     # Shard s starts at floor(s * total / k).
-    placed = rows.join(offsets, "_bucket").withColumn("_rank", rank)
-    shard = F.expr(f"(_rank * {shards} + {shards - 1}) div total").cast("int")
-    start = F.expr(f"(_shard * total) div {shards}")
-    return (
-        placed.withColumn("_shard", shard)
-        .withColumn("_slot", F.col("_rank") - start)
-        .select(
-            *[F.col(f"`{c}`") for c in kept],
-            F.col("_shard").alias("shard"),
-            F.col("_slot").cast("long").alias("slot"),
-        )
+    placed = own.join(offsets, "_bucket").withColumn("rank", F.col("offset") + F.col("_place"))
+    placed = placed.withColumn("to", F.expr(f"(rank * {shards} + {shards - 1}) div total").cast("int"))
+    return placed.select(
+        *[F.col(f"c{i}").alias(name) for i, name in enumerate(free_names(kept))],
+        F.col("to").alias("shard"),
+        (F.col("rank") - F.expr(f"(to * total) div {shards}")).cast("long").alias("slot"),
     )
 
 

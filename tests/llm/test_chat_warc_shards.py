@@ -153,6 +153,16 @@ def test_shards_law_and_rows(spark):
     assert shards.shuffled_shards(docs.drop("shard").limit(0), 8).collect() == []
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_bucket", "_order", "_place", "_rank", "Shard", "slot", "doc_slot", "total", "a.b", "row"]
+    rows = [tuple([i, f"t{i}"] + [10 * i + j for j in range(len(names) - 2)]) for i in range(50)]
+    docs = spark.createDataFrame(rows, names)
+    got = shards.shuffled_shards(docs, 4, bucket_bytes=100)
+    want = [*names[:6], "doc_Shard", "doc_doc_slot", "doc_slot", *names[9:]]
+    assert got.columns == [*want, "shard", "slot"]
+    assert sorted(tuple(r)[:-2] for r in got.collect()) == rows
+
+
 def test_fisher_yates_is_uniform():
     import numpy as np
 
