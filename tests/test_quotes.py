@@ -54,3 +54,17 @@ def test_a_hot_sentence_and_empty_tables(spark):
     assert found(spark, [], chunks, 40) == found(spark, [("c", "d", line)], [], 40) == []
     with pytest.raises(ValueError):
         quotes.quote_places(spark.createDataFrame([], QUOTE), spark.createDataFrame([], CHUNK), 10)
+
+
+def test_a_word_of_a_text_moves_once_without_its_document(spark):
+    chunks = [("c", "d", i, "Net debt of the group fell by 50% in the year") for i in range(10)]
+    grams = quotes._text_grams(spark.createDataFrame(chunks, CHUNK), 40)
+    assert dict(grams.dtypes) == {"gram": "bigint", "chunk_index": "int", "place": "int"}
+    assert grams.count() <= 10 * 11
+
+
+def test_quotes_of_few_words_and_equal_ids_of_other_companies(spark):
+    long = "Internationalisation"
+    chunks = [("a", "d", 0, f"x {long} {long}{long} y z"), ("b", "d", 0, f"pre{long} {long} of {long}s"), ("b", "d", 1, "no 7 b c d e")]
+    asked = [("a", "d", f"{long} {long}"), ("b", "d", f"{long} {long} OF {long}"), ("b", "d", long * 2), ("a", "d", long * 2)]
+    assert found(spark, asked, chunks, 36) == want(asked, chunks, 36) and len(want(asked, chunks, 36)) == 3
