@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from filingmill.functions import text as T
 from filingmill.functions.rows import compute_once
 from filingmill.rules.words import QUERY_STOP_WORDS
-from filingmill.session import fixed_table
+from filingmill.session import fixed_table, written
 
 #: A unit's least length in characters.
 MIN_UNIT = 24
@@ -203,18 +203,28 @@ def occurrences(
     phrase's word. ``index`` and ``words`` are a stored index of the chunks.
     """
     keys, refs = query_tables(chunks.sparkSession, queries)
-    found = matched_words(distinct_words(chunks) if words is None else words, keys, queries)
+    # Few words match. A table of known size is broadcast, so postings stay
+    # where they were made and only those that match are moved.
+    found = written(matched_words(distinct_words(chunks) if words is None else words, keys, queries))
     rows = (postings(chunks) if index is None else index).join(found, "word")
     start = F.when(F.col("n_words") == 0, F.col("line")).otherwise(F.col("place") - F.col("part"))
     return rows.select(*CHUNK, "ref", "n_words", start.alias("start"), "times", "line", "mask"), refs
 
 
 def _met(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Tokens per line, and phrases all of whose words are there."""
-    return rows.groupBy(*CHUNK, "ref", "n_words", "start").agg(
-        F.sum("times").cast("int").alias("n"), F.min(F.struct("line", "mask")).alias("first"),
-        F.max("line").alias("last"), *[F.first(c).alias(c) for c in keep],
+    """Tokens per line, and phrases all of whose words are there.
+
+    All results are numbers, the first line with its mask and ``keep`` too, so
+    that rows are hashed and not sorted.
+    """
+    first = F.col("first")
+    met = rows.groupBy(*CHUNK, "ref", "n_words", "start").agg(
+        F.sum("times").cast("int").alias("n"), F.min(F.col("line").cast("bigint") * 128 + F.col("mask")).alias("first"),
+        F.max("line").alias("last"), *[F.max(c).alias(c) for c in keep],
     ).where("n_words = 0 OR n = n_words")
+    return met.withColumn("first", F.struct(
+        F.floor(first / 128).cast("int").alias("line"), (first % 128).cast("int").alias("mask")
+    ))
 
 
 def _by_query(met: DataFrame, refs: DataFrame, by: list[str], bonus: int) -> DataFrame:
@@ -254,11 +264,20 @@ def unit_hits(found: DataFrame, refs: DataFrame, bonus: int, extra: DataFrame |
     keep = []
     if extra is not None:
         keep = ["unit"]
-        units = F.when(F.col("unit").isNotNull(), F.array("unit")).otherwise(units)
+        code, begin = F.col("unit"), F.floor(F.col("unit") / 16).cast("int")
+        given = F.struct(
+            begin.alias("line_start"), (F.floor(code / 2) % 2 + 1).cast("int").alias("size"),
+            (begin + F.floor(code / 4) % 4).cast("int").alias("line_end"),
+            (code % 2 * DIGIT_SCORE).cast("int").alias("digit"),
+        )
+        units = F.when(code.isNotNull(), F.array(given)).otherwise(units)
         more = extra.select(
             *CHUNK, "ref", F.lit(0).alias("n_words"), (F.col("line_start") * 2 + F.col("size")).alias("start"),
             F.lit(0).alias("times"), F.col("line_start").alias("line"), F.lit(0).alias("mask"),
-            F.struct("line_start", "size", "line_end", "digit").alias("unit"),
+            (
+                F.col("line_start").cast("bigint") * 16 + (F.col("line_end") - F.col("line_start")) * 4
+                + (F.col("size") - 1) * 2 + (F.col("digit") > 0).cast("int")
+            ).alias("unit"),
         )
         found = found.unionByName(more, allowMissingColumns=True)
     met = _met(found.repartition(*DOC), keep).select(*CHUNK, "ref", "n_words", "n", F.explode(units).alias("u"))

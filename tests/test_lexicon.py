@@ -91,3 +91,21 @@ def test_no_queries(spark):
     assert retrieve.lexical_scores(chunks, {}).count() == 0
     assert retrieve.lexical_scores(chunks, {"s": ["", "..."]}).count() == 0
     assert retrieve.select_evidence(chunks, {"s": []}).count() == 0
+
+
+def test_matched_words_are_broadcast_and_postings_stay(spark):
+    chunks = spark.createDataFrame(
+        [("c", f"d{i}", 1, "Revenue grew in the year.\nDebt fell by 12 % in the year.") for i in range(50)],
+        "company_id string, document_id string, chunk_index int, content string",
+    )
+    rows, _ = lexicon.occurrences(chunks, {"s": ["the year", "debt"]})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    # Twice the token year and both words of the phrase, once debt as either.
+    assert rows.count() == 50 * 8
+
+
+def test_settings_keep_partitions_small(spark):
+    conf = spark.conf.get
+    assert conf("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "2m"
+    assert int(conf("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 2000
