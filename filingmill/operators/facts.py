@@ -25,7 +25,9 @@ XBRL_FACT = (
 TABLE_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
 TABLE_CELL = r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"
 PARAGRAPH = r"(?is)<p[^>]*>(.*?)</p>"
-TEXT_FACT = r"([A-Za-z /\-]+?)\s{2,}([\d,]+(?:\.\d+)?)"
+# A label begins where its run of letters and blanks does, so that a run is
+# tried once and not from each of its letters.
+TEXT_FACT = r"(?<![A-Za-z /\-])([A-Za-z /\-]+?)\s{2,}+([\d,]+(?:\.\d+)?)"
 
 
 

@@ -1,6 +1,8 @@
 """Extraction and the conflict-tracked metric table."""
 
 import random
+import re
+import time
 
 from filingmill.functions import text as T
 from filingmill.operators import facts
@@ -172,3 +174,24 @@ def test_leading_number(spark):
     rows = spark.createDataFrame([("12abc",), ("(5)",), ("-1,234.5 cr",), ("",)], "t string")
     got = [r.n for r in rows.select(T.leading_number(F.col("t")).alias("n")).collect()]
     assert got == [12.0, None, -1234.5, None]
+
+
+def test_text_facts_try_a_run_of_letters_once(spark):
+    plain = re.compile(r"([A-Za-z /\-]+?)\s{2,}([\d,]+(?:\.\d+)?)", re.ASCII)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("aB /-\n\t  12,.;") for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["Net sales   1,234.5\nDebt  7", "  12", "a  ,b  3.", "x" * 20 + "  9"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = rows.select("i", F.regexp_extract_all("t", F.lit(facts.TEXT_FACT), 0).alias("m")).collect()
+    want = {i: [m.group(0) for m in plain.finditer(t)] for i, t in enumerate(texts)}
+    assert {r.i: r.m for r in got} == want and sum(map(len, want.values())) > 300
+    start = time.time()
+    long = spark.range(1).select(F.repeat(F.lit("words without a stop "), F.lit(20_000)).alias("t"))
+    assert long.select(F.size(F.regexp_extract_all("t", F.lit(facts.TEXT_FACT), 0)).alias("n")).first().n == 0
+    assert time.time() - start < 10
+
+
+def test_news_text_is_made_once(spark):
+    raw = spark.createDataFrame([], "company_id string, fetched_at timestamp, http_status int, payload string")
+    plan = feeds.news_items(raw.repartition(2))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(concat_ws") == 1
