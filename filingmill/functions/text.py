@@ -358,7 +358,15 @@ def news_materiality(
     keywords: Sequence[str] = W.NEWS_KEYWORDS,
 ) -> Column:
     """Score between 0 and 1 from keywords, a rupee amount and a scale."""
-    text = F.lower(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
+    return text_materiality(news_text(title, summary), keywords)
+
+
+def news_text(title: Column, summary: Column) -> Column:
+    return F.lower(F.concat_ws(" ", title, F.coalesce(summary, F.lit(""))))
+
+
+def text_materiality(text: Column, keywords: Sequence[str] = W.NEWS_KEYWORDS) -> Column:
+    """The score of a text in lower case; it is read once per keyword."""
     hits = sum(
         (F.contains(text, F.lit(k)).cast("int") for k in keywords),
         F.lit(0),

@@ -165,9 +165,9 @@ def news_items(
             items.withColumn("_rn", F.row_number().over(feed))
             .where(F.col("_rn") <= max_items).drop("_rn")
         )
-    score = T.news_materiality(F.col("title"), F.col("summary"))
+    items = compute_once(items, _text=T.news_text(F.col("title"), F.col("summary")))
     return (
-        compute_once(items, score=score)
+        compute_once(items, score=T.text_materiality(F.col("_text")))
         .where(F.col("score") >= min_score)
         .select(
             "company_id", "fetched_at", "feed_pos",
