@@ -41,6 +41,27 @@ def test_frameworks(spark):
     assert governance.count() == 7
 
 
+def test_section_checks_of_a_frequent_key(spark):
+    """Pairs of one key take many tasks, and none is lost or made twice."""
+    sections = spark.range(3000, numPartitions=1).select(
+        F.expr("nullif(id DIV 2, 7)").alias("order"), F.lit("industry").alias("section_key"), F.lit(1).alias("size")
+    )
+    checks = spark.range(2500, numPartitions=1).select(
+        F.col("id").alias("check"), F.expr("nullif(id % 5, 0)").alias("weight"), F.lit("long_term").alias("category"), F.lit(1).alias("size")
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = report.section_checks(sections, checks, ["size"])
+        assert sorted(rows.columns) == ["category", "check", "order", "section_key", "size", "weight"]
+        tasks = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 3000 * 2500 and max(tasks) <= sum(tasks) // 2
+        twice = rows.groupBy("order", "check", "weight").count().agg(F.min("count"), F.max("count"), F.count("*")).first()
+        assert tuple(twice) == (2, 2, 1500 * 2500)
+        assert rows.where("order IS NULL").count() == 2 * 2500 and rows.where("weight IS NULL").count() == 3000 * 500
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_period_kind(spark):
     rows = spark.createDataFrame([("H1FY25",), ("FY25",), ("X",)], "p string")
     got = [tuple(r.k) for r in rows.select(T.period_kind(F.col("p"), M.PERIOD_PREFIXES).alias("k")).collect()]
