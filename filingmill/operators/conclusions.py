@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,30 +48,30 @@ def best_excerpt(
     subjects near them, and contain at least four claim words. Ties go to the
     shorter unit, then to the earlier one.
     """
-    rows = claims.select(*keys, "claim").join(
-        units.select(*keys, "cite_pos", "content"), list(keys)
-    )
-    numbers = T.grouped_numbers(F.col("claim"))
-    words = T.meaningful_words(F.col("claim"))
+    # What depends on the claim alone is found once, not once per unit. Most
+    # claims name no subject, so that their text need not be moved.
+    claim = F.col("claim")
+    named = reduce(
+        lambda a, b: a | b,
+        [claim.rlike(T.ascii_words("|".join(s))) for s in subjects], F.lit(False),
+    )
+    asked = compute_once(
+        claims.select(*keys, "claim"), _numbers=T.grouped_numbers(claim),
+        _words=T.meaningful_words(claim), _named=F.when(named, claim),
+    ).drop("claim")
+    rows = asked.join(units.select(*keys, "cite_pos", "content"), list(keys))
     # Numbers need no normal form, so most units leave before Python is asked.
-    rows = compute_once(rows, _numbers=numbers, _words=words).where(
-        F.size(
-            T.missing_from(
-                F.col("_numbers"), T.grouped_numbers(F.col("content"))
-            )
-        ) == 0
-    )
+    missing = T.missing_from(F.col("_numbers"), T.grouped_numbers(F.col("content")))
+    rows = rows.where(F.when(F.size("_numbers") == 0, True).otherwise(F.size(missing) == 0))
     rows = rows.withColumn("_plain", T.nfkc(F.col("content")))
+    supported = T.subject_supported(F.col("_named"), F.col("_text"), subjects)
     rows = (
         compute_once(rows, _text=T.evidence_normalise(F.col("_plain")))
-        .where(
-            T.subject_supported(F.col("claim"), F.col("_text"), subjects)
-        )
-        .withColumn(
-            "_hits", T.count_contained(F.col("_words"), F.col("_text"))
-        )
-        .where(F.col("_hits") >= F.least(F.lit(4), F.size("_words")))
+        .where(F.when(F.col("_named").isNull(), True).otherwise(supported))
     )
+    rows = compute_once(
+        rows, _hits=T.count_contained(F.col("_words"), F.col("_text"))
+    ).where(F.col("_hits") >= F.least(F.lit(4), F.size("_words")))
     score = F.col("_hits") * 3 + F.size("_numbers") * 4
     order = F.struct(-score, F.length("content"), F.col("cite_pos"))
     return rows.groupBy(*keys).agg(

@@ -30,6 +30,8 @@ MIN_UNIT = 24
 DIGIT_SCORE = 2
 #: How often a token counts in one unit or chunk.
 MAX_TOKEN_COUNT = 8
+#: Up to so many different words of all queries, texts are tried for any of them first.
+FEW_WORDS = 64
 
 DOC = ["company_id", "document_id"]
 CHUNK = [*DOC, "chunk_index"]
@@ -84,8 +86,13 @@ def line_marks(chunks: DataFrame, keep: Sequence[str]) -> DataFrame:
     return compute_once(rows, masks=F.transform("facts", mask)).select(*keep, "content", "masks")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """word, chunk, line, place in the chunk and the line's mask."""
+def postings(chunks: DataFrame, holding: Sequence[str] | None = None) -> DataFrame:
+    """word, chunk, line, place in the chunk and the line's mask.
+
+    Words that hold none of the strings ``holding`` are left out, if given.
+    """
+    has = lambda text: F.lit(True) if holding is None else T.contains_any(text, holding)
+    chunks = chunks.where(has(F.lower("content")))
     clean = F.split(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}%₹\n]+", " "), "\n")
     rows = compute_once(line_marks(chunks, CHUNK), clean=F.transform(clean, lambda x: F.trim(x)))
     # Words before each line: its words are one more than its blanks.
@@ -95,10 +102,12 @@ def postings(chunks: DataFrame) -> DataFrame:
     before = F.aggregate(sizes, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n)))
     rows = compute_once(rows, before=before)
     lines = rows.select(*CHUNK, F.posexplode(F.arrays_zip("clean", "masks", "before")).alias("i", "l")).where(
-        "l.clean <> ''"
+        (F.col("l.clean") != "") & has(F.col("l.clean"))
     ).select(*CHUNK, (F.col("i") + 1).alias("line"), "l.clean", F.col("l.masks").alias("mask"), "l.before")
     words = lines.select(*CHUNK, "line", "mask", "before", F.posexplode(F.split("clean", " ")).alias("p", "word"))
-    return words.select(*CHUNK, "word", "line", "mask", (F.col("before") + F.col("p")).alias("place"))
+    return words.where(has(F.col("word"))).select(
+        *CHUNK, "word", "line", "mask", (F.col("before") + F.col("p")).alias("place")
+    )
 
 
 def distinct_words(chunks: DataFrame) -> DataFrame:
@@ -128,6 +137,16 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 # --------------------------------------------------------------------- queries
 
 
+def held_words(queries: Mapping[str, Sequence[str]]) -> list[str] | None:
+    """Strings one of which each word that matches a query holds, if they are few.
+
+    Whole words, edges, pieces and substrings all hold the query's word.
+    """
+    words = {w for listed in queries.values() for q in listed for w in normalised(q).split()}
+    words = {w for w in words if not any(o != w and o in w for o in words)}
+    return sorted(words) if 0 < len(words) <= FEW_WORDS else None
+
+
 def query_tables(spark: SparkSession, queries: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """What words are compared with, and the queries of each token and phrase.
 
@@ -203,6 +222,11 @@ def occurrences(
     phrase's word. ``index`` and ``words`` are a stored index of the chunks.
     """
     keys, refs = query_tables(chunks.sparkSession, queries)
+    holding = held_words(queries)
+    if index is None and words is None and holding is not None:
+        # One pass over the texts: postings that may match are few and kept.
+        index = written(postings(chunks, holding))
+        words = index.select("word").distinct()
     # Few words match. A table of known size is broadcast, so postings stay
     # where they were made and only those that match are moved.
     found = written(matched_words(distinct_words(chunks) if words is None else words, keys, queries))
@@ -299,6 +323,7 @@ def leading_units(chunks: DataFrame, per_chunk: int) -> DataFrame:
         units_of(line(i), m), lambda u: (u["line_start"] == line(i)) & (u["digit"] > 0)
     )))
     spans = F.transform("units", lambda u: F.struct(u["line_start"], u["line_end"]))
+    chunks = chunks.where(F.col("content").rlike(r"\d"))
     rows = compute_once(line_marks(chunks, CHUNK).drop("content"), units=units).where(F.size("units") > 0)
     rows = rows.withColumn("first", F.slice(F.array_distinct(spans), 1, per_chunk))
     kept = F.filter("units", lambda u: F.array_contains("first", F.struct(u["line_start"], u["line_end"])))

@@ -147,9 +147,10 @@ def selected_units(
     rows = lexicon.unit_hits(found, known, UNIT_BONUS, extra)
     score = F.col("hit") + F.col("digit")
     ranked = _row_number(rows.withColumn("score", score), [*scope, "query_index"], [F.desc("score"), *place])
+    # One number, so that rows are hashed below and not sorted.
     early = F.when(
         (F.col("_rn") <= BEST_PER_QUERY) & (F.col("query_index") >= 0),
-        F.struct(F.col("query_index").alias("step"), F.col("_rn").alias("rank")),
+        F.col("query_index") * (BEST_PER_QUERY + 1) + F.col("_rn"),
     )
     present = ranked.select(*scope, *unit, "hit", early.alias("early"))
     # Summed score: a unit gets its digit points once per query of a section.
@@ -158,12 +159,12 @@ def selected_units(
     keyed = present.groupBy(*scope, *unit).agg(F.min("early").alias("early"), F.sum("hit").alias("hit_total")).select(
         *scope, *unit, unit_id("line_start", "line_end").alias("unit_id"),
         F.col("early").isNull().cast("int").alias("phase"),
-        F.coalesce("early.step", F.lit(0)).alias("step"),
-        F.coalesce(F.col("early.rank").cast("bigint"), -total).alias("rank"),
+        F.coalesce(F.floor(F.col("early") / (BEST_PER_QUERY + 1)).cast("int"), F.lit(0)).alias("step"),
+        F.coalesce((F.col("early") % (BEST_PER_QUERY + 1)).cast("bigint"), -total).alias("rank"),
     )
     order = ["phase", "step", "rank", *place]
-    chain = _first(keyed, [*scope, "unit_id"], order, 1)
-    chain = _first(chain, [*scope, "chunk_index"], order, PER_CHUNK)
+    # A twin has the same points and digit as the line alone, so it always ranks after it.
+    chain = _first(keyed.where(~twin), [*scope, "chunk_index"], order, PER_CHUNK)
     chain = _first(chain, scope, order, limit)
     return chain.select(
         *scope, "unit_id", "chunk_index", "line_start", "line_end", "size"

@@ -341,3 +341,24 @@ def test_fact_grounded(spark):
     none = F.array().cast("array<string>")
     got = [r.g for r in rows.select(T.fact_grounded(F.col("f"), none, F.col("e")).alias("g")).collect()]
     assert got == [True, False, True]
+
+
+def test_best_excerpt_reads_a_claim_once(spark):
+    """Words and numbers of a claim are found below the join with its units."""
+    claims = spark.createDataFrame(
+        [(1, "Jio Platforms earned 1,250 crore profit this quarter"), (2, "margins improved sharply during winter"), (3, None), (4, "")],
+        "id int, claim string",
+    )
+    units = spark.createDataFrame(
+        [(1, 1, "profit this quarter earned 1250 crore"), (1, 2, "Jio Platforms earned 1250 crore profit this quarter"),
+         (2, 1, "Margins improved sharply in winter, during snow"), (2, 2, "margins improved"), (3, 1, "text"), (4, 1, "any")],
+        "id int, cite_pos int, content string",
+    )
+    out = K.best_excerpt(claims, units, ["id"])
+    got = {r.id: (r.excerpt, r.excerpt_score) for r in out.collect()}
+    assert got == {
+        1: ("Jio Platforms earned 1250 crore profit this quarter", 19),
+        2: ("Margins improved sharply in winter, during snow", 15), 4: ("any", 0),
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert r"[^\p{L}\p{N}]+" in plan.split("Join Inner")[1] and r"[^\p{L}\p{N}]+" not in plan.split("Join Inner")[0]

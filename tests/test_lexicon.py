@@ -109,3 +109,24 @@ def test_settings_keep_partitions_small(spark):
     conf = spark.conf.get
     assert conf("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "2m"
     assert int(conf("spark.sql.adaptive.coalescePartitions.initialPartitionNum")) >= 2000
+
+
+def test_words_left_out_match_nothing(spark):
+    """Postings of words that hold a query's word are all that a search needs."""
+    queries = {"s": ["the thereof", "net debt", "x-ray year's end"], "t": ["was", "net % of"]}
+    held = lexicon.held_words(queries)
+    assert held == ["%", "debt", "end", "net", "of", "ray", "s", "the", "x", "year"]
+    assert lexicon.held_words({"s": ["--"]}) is None
+    assert lexicon.held_words({"s": [f"{a}q{b}" for a in "abcdefghi" for b in "jklmnopr"]}) is None
+    chunks = spark.createDataFrame(
+        [("c", "1", 1, "The net debt thereof\nwas washed ashore, 12% of it\nmid year ends"), ("c", "1", 2, "blank Zeile ohne Wort\nkoo"),
+         ("c", "2", 1, "networks; other x_ray\nx-ray YEAR S ENDing _the_")],
+        "company_id string, document_id string, chunk_index int, content string",
+    )
+    keys, _ = lexicon.query_tables(spark, queries)
+    every = lexicon.postings(chunks)
+    some = lexicon.postings(chunks, held)
+    matched = {r.word for r in lexicon.matched_words(lexicon.distinct_words(chunks), keys, queries).collect()}
+    assert {tuple(r) for r in every.collect() if r.word in matched} <= {tuple(r) for r in some.collect()}
+    assert {r.word for r in some.select("word").collect()}.isdisjoint({"blank", "zeile", "koo", "mid", "it"})
+    assert some.where("chunk_index = 2").count() == 0
