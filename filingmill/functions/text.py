@@ -164,10 +164,11 @@ def evidence_normalise(c: Column) -> Column:
     Compatibility forms are a separate step, ``nfkc``: a Python function
     cannot be part of a higher-order function, so it is its own column.
     """
-    text = F.translate(c, "\u00ad", "")
+    # All these characters lie outside ASCII; most texts have none.
     text = F.translate(
-        text, "\u2010\u2011\u2012\u2013\u2014\u201c\u201d\u2018\u2019", "-----\"\"''"
+        c, "\u2010\u2011\u2012\u2013\u2014\u201c\u201d\u2018\u2019\u00ad", "-----\"\"''"
     )
+    text = F.when(F.length(c) < F.octet_length(c), text).otherwise(c)
     return F.lower(collapse(text))
 
 

@@ -210,3 +210,12 @@ def test_statement_type(spark):
         c=facts.statement_type(F.lit("Capex")),
     )
     assert tuple(r) == ("income_statement", "balance_sheet", "cash_flow")
+
+
+def test_evidence_normalise_of_plain_and_other_texts(spark):
+    """Only texts beyond ASCII are translated, with the same result."""
+    listed = ["A ‐‑‒–— b", "“q” ‘s’", "so­ft  Été", "Plain  'text' - \"x\"", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(listed)], "i int, t string")
+    out = rows.select("i", T.evidence_normalise(F.col("t")).alias("n"))
+    assert [r.n for r in out.orderBy("i").collect()] == ["a ----- b", "\"q\" 's'", "soft été", "plain 'text' - \"x\"", "", None]
+    assert "octet_length" in out._jdf.queryExecution().optimizedPlan().toString()
