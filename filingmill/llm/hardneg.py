@@ -34,10 +34,14 @@ from pyspark.sql.window import Window
 
 from filingmill.llm.common import stored
 
-#: Rows of a block, anchors of a group, and values that a block may hold.
-BLOCK_ROWS, GROUP_ANCHORS, BLOCK_VALUES = 8192, 1024, 1 << 20
+#: Rows of a block, anchors of a group, and values that each may hold.
+BLOCK_ROWS, GROUP_ANCHORS, BLOCK_VALUES = 8192, 4096, 1 << 20
+#: Tasks that the cells are dealt to at most.
+CELL_TASKS = 2000
 #: Dimensions that are read between two looks at the bounds.
 STEP = 8
+#: Whole numbers up to here are exact as floats.
+EXACT = float(1 << 53)
 
 
 def quantised(vector: str, scale: int) -> Column:
@@ -52,6 +56,34 @@ def quantised(vector: str, scale: int) -> Column:
     return F.when(fit, parts.cast("array<bigint>"))
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Integers in as few bytes each as hold them all, after that number."""
+    low, high = (int(values.min()), int(values.max())) if values.size else (0, 0)
+    kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + values.astype(kind).tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, dtype=f"i{held[0]}", offset=1).astype(np.int64)
+
+
+def packed_vectors(rows: DataFrame) -> DataFrame:
+    """The rows with ``vector`` packed."""
+    names = rows.columns
+    at = names.index("vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, edges = batch.column(at).flatten().to_numpy(), batch.column(at).offsets.to_numpy()
+            edges = edges - edges[0]
+            vectors = pa.array([packed(flat[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], vectors, *batch.columns[at + 1:]], names)
+
+    return rows.mapInArrow(run, ", ".join(
+        f"{c} {'binary' if c == 'vector' else kind}" for c, kind in rows.dtypes
+    ))
+
+
 def packed_blocks(rows: DataFrame) -> DataFrame:
     """Blocks of (id, label, vector): ids, labels, and values by dimension."""
     names = ["rows", "dims", "ids", "labels", "cells"]
@@ -64,7 +96,7 @@ def packed_blocks(rows: DataFrame) -> DataFrame:
             cells[:len(v), i] = v
         return pa.RecordBatch.from_arrays([
             pa.array([len(ids)]), pa.array([dims]),
-            *(pa.array([np.asarray(x, dtype=np.int64).tobytes()], pa.binary()) for x in (ids, labels, cells)),
+            *(pa.array([packed(np.asarray(x, dtype=np.int64))], pa.binary()) for x in (ids, labels, cells)),
         ], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,19 +121,26 @@ def packed_blocks(rows: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Rows of a block by dimension, and what its dimensions can add."""
+    """Rows of a block by dimension, and what its dimensions can add.
+
+    Ids, labels and cells are buffers of 64-bit integers.
+    """
 
-    def __init__(self, ids: bytes, labels: bytes, cells: bytes, dims: int):
+    def __init__(self, ids, labels, cells, dims: int):
         self.ids = np.frombuffer(ids, dtype=np.int64)
         self.labels = np.frombuffer(labels, dtype=np.int64)
         self.cells = np.frombuffer(cells, dtype=np.int64).reshape(dims, len(self.ids))
         self.low, self.high = self.cells.min(axis=1), self.cells.max(axis=1)
+        self.most = np.maximum(np.abs(self.low.astype(float)), np.abs(self.high.astype(float)))
+        # Products of floats are faster; sums below 2^53 are exact in them.
+        self.floats = self.cells.astype(float) if self.most.max(initial=0) < EXACT else None
+        self.unique = len(np.unique(self.ids)) == len(self.ids)
 
     def scan(self, anchor: np.ndarray, rows: np.ndarray, keep) -> tuple[np.ndarray, np.ndarray]:
         """Rows that ``keep`` lets pass at every step, with their scores.
 
         ``keep(rows, least, most)`` says which rows may matter, given bounds of
-        their scores.
+        their scores, which are as far apart for each row.
         """
         dims = min(len(anchor), len(self.cells))
         order = np.argsort(-np.abs(anchor[:dims]), kind="stable")
@@ -112,13 +151,19 @@ class Block:
         least, most = (
             np.concatenate([np.cumsum(e[::-1])[::-1], [0]]) for e in (ends.min(axis=0), ends.max(axis=0))
         )
-        score = np.zeros(len(rows), dtype=np.int64)
+        cells = self.cells
+        if self.floats is not None and np.abs(weight.astype(float)) @ self.most[order] < EXACT:
+            cells, weight = self.floats, weight.astype(float)
+        score = np.zeros(len(rows), dtype=cells.dtype)
         for at in range(0, len(order), STEP):
             if not len(rows):
                 break
             few = order[at:at + STEP]
-            part = self.cells[few] if len(rows) == len(self.ids) else self.cells[few[:, None], rows]
-            score += weight[at:at + STEP] @ part
+            if 4 * len(rows) > len(self.ids):
+                part = weight[at:at + STEP] @ cells[few]
+                score += part if len(rows) == len(self.ids) else part[rows]
+            else:
+                score += weight[at:at + STEP] @ cells[few[:, None], rows]
             done = min(at + STEP, len(order))
             alive = keep(rows, score + least[done], score + most[done])
             if not alive.all():
@@ -126,7 +171,7 @@ class Block:
         if not len(order):
             alive = keep(rows, score, score)
             rows, score = rows[alive], score[alive]
-        return rows, score
+        return rows, score.astype(np.int64)
 
 
 def best_rule(count: int):
@@ -142,9 +187,22 @@ def best_rule(count: int):
 
 def window_rule(low: np.ndarray, high: np.ndarray, count: int):
     """Keeps what may be among the ``count`` best inside one of the windows."""
+    # Windows that overlap are one for rows that may lie in any of them.
+    joined: list[list] = []
+    for a, b in sorted(zip(low.tolist(), high.tolist())):
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], b)
+        else:
+            joined.append([a, b])
+    widest = max(b - a for a, b in zip(low.tolist(), high.tolist()))
 
     def keep(rows: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
         alive = np.zeros(len(rows), dtype=bool)
+        if len(rows) and most[0] - least[0] > widest:
+            # No row is sure to lie in a window yet.
+            for a, b in joined:
+                alive |= (most >= a) & (least <= b)
+            return alive
         for a, b in zip(low, high):
             need = a
             sure = least[(least >= a) & (most <= b)]
@@ -171,7 +229,8 @@ def _cells(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     groups. A cell holds a few blocks and one group.
     """
     slots = max(1, blocks.count())
-    groups = -(-anchors.count() // GROUP_ANCHORS) or 1
+    held = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("vector")).alias("bytes")).first()
+    groups = max(-(-held["n"] // GROUP_ANCHORS), -(-(held["bytes"] or 0) // BLOCK_VALUES), 1)
     deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     grouped = anchors.withColumn("grp", F.pmod(F.xxhash64("anchor"), F.lit(groups)).cast("int")).groupBy("grp").agg(
         F.collect_list(F.struct(*anchors.columns)).alias("anchors")
@@ -179,7 +238,10 @@ def _cells(blocks: DataFrame, anchors: DataFrame) -> DataFrame:
     placed = blocks.withColumn(
         "slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)).cast("int")
     ).withColumn("grp", deal(groups))
-    return placed.join(grouped, ["slot", "grp"]).select("dims", "ids", "labels", "cells", "anchors")
+    # The planner takes the files' size for that of the copies, and for the work.
+    tasks = min(slots * groups, CELL_TASKS)
+    placed, grouped = (x.repartition(tasks, "slot", "grp") for x in (placed, grouped))
+    return placed.join(grouped.hint("merge"), ["slot", "grp"]).select("dims", "ids", "labels", "cells", "anchors")
 
 
 def _scanned(cells: DataFrame, search, schema: str) -> DataFrame:
@@ -193,7 +255,7 @@ def _scanned(cells: DataFrame, search, schema: str) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 dims, ids, labels, values, anchors = (batch.column(c)[i].as_py() for c in range(5))
-                block = Block(ids, labels, values, dims)
+                block = Block(unpacked(ids), unpacked(labels), unpacked(values), dims)
                 out = [row for anchor in anchors for row in search(block, anchor)]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names)
@@ -219,15 +281,15 @@ def hard_negatives(
     ).where("id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL")
     blocks = stored(packed_blocks(named), "vector-blocks")
     chosen = named.where(F.col("id") % anchor_step == 0).dropDuplicates(["id", "label", "vector"])
-    anchors = stored(
-        chosen.select(F.xxhash64("id", "label", "vector").alias("anchor"), F.col("id").alias("own"), "label", "vector"),
-        "anchors",
+    named_anchors = chosen.select(
+        F.xxhash64("id", "label", "vector").alias("anchor"), F.col("id").alias("own"), "label", "vector"
     )
+    anchors = stored(packed_vectors(named_anchors), "anchors")
 
     def alike(block: Block, anchor: dict) -> Iterator[tuple]:
         mine = np.flatnonzero((block.labels == anchor["label"]) & (block.ids != anchor["own"]))
         # Rows that repeat another one take no place from it.
-        found, scores = block.scan(np.asarray(anchor["vector"]), mine, best_rule(positives + repeats(block, mine)))
+        found, scores = block.scan(unpacked(anchor["vector"]), mine, best_rule(positives + repeats(block, mine)))
         for i in _first(block.ids[found], scores, positives):
             yield anchor["anchor"], anchor["own"], int(block.ids[found[i]]), int(scores[i])
 
@@ -240,7 +302,7 @@ def hard_negatives(
             return
         others = np.flatnonzero((block.labels != anchor["label"]) & (block.ids != anchor["own"]))
         count = negatives + repeats(block, others)
-        found, own = block.scan(np.asarray(anchor["vector"]), others, window_rule(least[fit], most[fit], count))
+        found, own = block.scan(unpacked(anchor["vector"]), others, window_rule(least[fit], most[fit], count))
         ids = block.ids[found]
         for place in np.flatnonzero(fit):
             inside = np.flatnonzero((own >= least[place]) & (own <= most[place]))
@@ -269,4 +331,4 @@ def hard_negatives(
 
 def repeats(block: Block, rows: np.ndarray) -> int:
     """How many of the rows repeat the key of another one."""
-    return len(rows) - len(np.unique(block.ids[rows]))
+    return 0 if block.unique else len(rows) - len(np.unique(block.ids[rows]))

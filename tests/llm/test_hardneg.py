@@ -74,6 +74,54 @@ def test_huge_components_and_empty_table(spark):
     assert mined(spark, []) == []
 
 
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """Copies of anchors, one per slot, never gather in the driver, however small their file."""
+    monkeypatch.setattr(hardneg, "BLOCK_ROWS", 50)
+    seen, cells = [], hardneg._cells
+    monkeypatch.setattr(hardneg, "_cells", lambda *sides: seen.append(cells(*sides)) or seen[-1])
+    rows = vectors(200, 5, 2)
+    assert mined(spark, rows) == brute(rows)
+    assert len(seen) == 2
+    for frame in seen:
+        assert frame.count() >= 4 and "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sums_beyond_floats():
+    """Scores that floats would round are summed as integers."""
+    rng = np.random.default_rng(3)
+    cells = rng.integers(-(1 << 28), 1 << 28, (6, 500))
+    cells[:, :250] //= 1 << 20
+    for held in (cells, cells[:, :250]):
+        ids = np.arange(held.shape[1])
+        block = hardneg.Block(ids, np.zeros_like(ids), np.ascontiguousarray(held), 6)
+        for anchor in (cells[:, 3], cells[:, 400]):
+            found, scores = block.scan(anchor, ids, lambda rows, least, most: np.ones(len(rows), dtype=bool))
+            assert (found == ids).all() and (scores == anchor @ held).all()
+
+
+@pytest.mark.parametrize("top", [0, 100, 127, 128, 1 << 15, 1 << 31, (1 << 62)])
+def test_packed_integers(top):
+    values = np.array([0, top, -top, 5], dtype=np.int64)
+    assert (hardneg.unpacked(hardneg.packed(values)) == values).all()
+    assert len(hardneg.unpacked(hardneg.packed(values[:0]))) == 0
+
+
+def test_windows_keep_what_may_be_among_the_best():
+    rng = np.random.default_rng(7)
+    for gap in (0, 3, 30):
+        for _ in range(60):
+            low = rng.integers(0, 60, 4)
+            high = low + rng.integers(0, 25, 4)
+            score = rng.integers(-20, 100, 80)
+            least = score - rng.integers(0, gap + 1, 1)
+            kept = hardneg.window_rule(low, high, 2)(np.arange(80), least, least + gap)
+            for a, b in zip(low, high):
+                inside = np.flatnonzero((score >= a) & (score <= b))
+                assert kept[inside[np.argsort(-score[inside])][:2]].all()
+            if not gap:
+                assert not kept[~((score[:, None] >= low) & (score[:, None] <= high)).any(axis=1)].any()
+
+
 def test_scans_drop_rows_early():
     rng = np.random.default_rng(1)
     cells = rng.integers(-60, 60, (64, 4000))
