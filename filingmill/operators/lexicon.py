@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from filingmill.functions import text as T
 from filingmill.functions.rows import compute_once
+from filingmill.operators import points
 from filingmill.rules.words import QUERY_STOP_WORDS
 from filingmill.session import fixed_table, written
 
@@ -150,36 +151,37 @@ def held_words(queries: Mapping[str, Sequence[str]]) -> list[str] | None:
 def query_tables(spark: SparkSession, queries: Mapping[str, Sequence[str]]) -> tuple[DataFrame, DataFrame]:
     """What words are compared with, and the queries of each token and phrase.
 
-    Keys are kind, key, ref, n_words and part: kinds are ``w`` token, ``e`` equal
-    word, ``p`` prefix, ``s`` suffix, ``c`` substring; a token has no words.
-    The second table has ref, section_key and query_index.
+    Keys are kind, key, part and their number, the element: kinds are ``w``
+    token, ``e`` equal word, ``p`` prefix, ``s`` suffix, ``c`` substring; a
+    token has the part -1. Phrases share the elements that they have in common.
+    The second table has ref, section_key, query_index, n_words and elements; a
+    token has no words.
     """
     numbers: dict[tuple, int] = {}
-    keys: dict[tuple, None] = {}
+    keys: dict[tuple, int] = {}
     refs: list[tuple] = []
     for section, listed in queries.items():
         for index, query in enumerate(listed):
             for token in query_tokens(query):
                 ref = numbers.setdefault(("w", token), len(numbers))
-                keys[("w", token, ref, 0, 0)] = None
-                refs.append((ref, section, index))
+                refs.append((ref, section, index, 0, [keys.setdefault(("w", token, -1), len(keys))]))
             phrase = normalised(query)
             words = phrase.split()
             if not words:
                 continue
             ref = numbers.setdefault(("p", phrase), len(numbers))
-            refs.append((ref, section, index))
-            for part, word in enumerate(words):
-                kind = "c" if len(words) == 1 else "s" if part == 0 else "p" if part == len(words) - 1 else "e"
-                keys[(kind, word, ref, len(words), part)] = None
+            kinds = ["c"] if len(words) == 1 else ["s", *"e" * (len(words) - 2), "p"]
+            refs.append((ref, section, index, len(words), [
+                keys.setdefault((kind, word, part), len(keys)) for part, (kind, word) in enumerate(zip(kinds, words))
+            ]))
     return (
-        fixed_table(spark, ["kind", "key", "ref", "n_words", "part"], [*keys] or [("", "", -9, 0, 0)]),
-        fixed_table(spark, ["ref", "section_key", "query_index"], refs or [(-9, "", 0)]),
+        fixed_table(spark, ["kind", "key", "part", "element"], [(*k, n) for k, n in keys.items()] or [("", "", 0, -9)]),
+        fixed_table(spark, ["ref", "section_key", "query_index", "n_words", "elements"], refs or [(-9, "", 0, 0, [-9])]),
     )
 
 
 def matched_words(words: DataFrame, keys: DataFrame, queries: Mapping[str, Sequence[str]]) -> DataFrame:
-    """word, ref, n_words, part and times of the words that match a query."""
+    """word, element, part and times of the words that match a query."""
     listed = [normalised(q).split() for group in queries.values() for q in group]
     short = lambda words: min(map(len, words), default=1)
     first = short(w[0] for w in listed if len(w) > 1)
@@ -207,7 +209,7 @@ def matched_words(words: DataFrame, keys: DataFrame, queries: Mapping[str, Seque
         F.when(F.col("kind") == "s", F.endswith(word, key)).when(F.col("kind") == "p", F.startswith(word, key))
         .when(F.col("kind") == "c", F.contains(word, key)).otherwise(True)
     )
-    return rows.join(blocks, ["kind", "block"]).where(fits).groupBy("word", "ref", "n_words", "part").agg(
+    return rows.join(blocks, ["kind", "block"]).where(fits).groupBy("word", "element", "part").agg(
         F.count(F.lit(1)).cast("int").alias("times")
     )
 
@@ -218,8 +220,10 @@ def occurrences(
 ) -> tuple[DataFrame, DataFrame]:
     """Postings of words that match a query, and the queries of the refs.
 
-    ``start`` is the line of a token, and where its phrase would begin of a
-    phrase's word. ``index`` and ``words`` are a stored index of the chunks.
+    A posting has a row for each element that it matches, not for each phrase
+    with that element. ``start`` is the line of a token, and where its phrase
+    would begin of a phrase's word. ``index`` and ``words`` are a stored index
+    of the chunks.
     """
     keys, refs = query_tables(chunks.sparkSession, queries)
     holding = held_words(queries)
@@ -231,8 +235,15 @@ def occurrences(
     # where they were made and only those that match are moved.
     found = written(matched_words(distinct_words(chunks) if words is None else words, keys, queries))
     rows = (postings(chunks) if index is None else index).join(found, "word")
-    start = F.when(F.col("n_words") == 0, F.col("line")).otherwise(F.col("place") - F.col("part"))
-    return rows.select(*CHUNK, "ref", "n_words", start.alias("start"), "times", "line", "mask"), refs
+    start = F.when(F.col("part") < 0, F.col("line")).otherwise(F.col("place") - F.col("part"))
+    return rows.select(*CHUNK, "element", start.alias("start"), "times", "line", "mask"), refs
+
+
+def _of_refs(found: DataFrame, refs: DataFrame) -> DataFrame:
+    """A row for each token or phrase of the rows' elements."""
+    uses = {(e, r.ref, r.n_words) for r in refs.collect() for e in r.elements or []}
+    table = fixed_table(found.sparkSession, ["element", "ref", "n_words"], sorted(uses))
+    return found.join(table, "element").drop("element")
 
 
 def _met(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -256,7 +267,7 @@ def _by_query(met: DataFrame, refs: DataFrame, by: list[str], bonus: int) -> Dat
     scored = met.groupBy(*by, "ref", "n_words").agg(F.sum("n").alias("n")).select(
         *by, "ref", F.when(F.col("n_words") == 0, F.least("n", F.lit(MAX_TOKEN_COUNT))).otherwise(bonus).alias("points")
     )
-    return scored.join(refs, "ref").groupBy(*by, "section_key", "query_index").agg(
+    return scored.join(refs.select("ref", "section_key", "query_index"), "ref").groupBy(*by, "section_key", "query_index").agg(
         F.sum("points").cast("int").alias("hit")
     )
 
@@ -275,42 +286,54 @@ def units_of(line: Column, mask: Column) -> Column:
     ))
 
 
+def _unit_points(found: DataFrame, refs: DataFrame, bonus: int) -> DataFrame:
+    """``unit_hits`` of found rows alone, without rows for each ref."""
+    kinds = {f.name: f.dataType.simpleString() for f in found.schema}
+    names = [*UNIT, "section_key", "query_index", "hit"]
+    counts = points.Points(refs.collect(), bonus, MAX_TOKEN_COUNT, DIGIT_SCORE)
+    rows = found.repartition(*DOC).sortWithinPartitions(*CHUNK)
+    return rows.select(*CHUNK, "element", "start", "times", "line", "mask").mapInArrow(
+        lambda batches: points.scored(counts, len(CHUNK), batches, names),
+        ", ".join(f"{c} {kinds.get(c, 'string' if c == 'section_key' else 'int')}" for c in names),
+    )
+
+
 def unit_hits(found: DataFrame, refs: DataFrame, bonus: int, extra: DataFrame | None = None) -> DataFrame:
     """Points of each unit and query with a hit, without the digit points.
 
     ``extra`` are units that get no points: UNIT columns and a ref. Rows are
     dealt by document once.
     """
+    if extra is None:
+        return _unit_points(found, refs, bonus)
+    found = _of_refs(found, refs)
     line, mask = F.col("first.line"), F.col("first.mask")
     around = units_of(line, mask)
     both = F.filter(around, lambda u: (u["line_start"] == line) & (u["size"] == 2))
     units = F.when(F.col("last") == line, around).when(F.col("last") == line + 1, both)
-    keep = []
-    if extra is not None:
-        keep = ["unit"]
-        code, begin = F.col("unit"), F.floor(F.col("unit") / 16).cast("int")
-        given = F.struct(
-            begin.alias("line_start"), (F.floor(code / 2) % 2 + 1).cast("int").alias("size"),
-            (begin + F.floor(code / 4) % 4).cast("int").alias("line_end"),
-            (code % 2 * DIGIT_SCORE).cast("int").alias("digit"),
-        )
-        units = F.when(code.isNotNull(), F.array(given)).otherwise(units)
-        more = extra.select(
-            *CHUNK, "ref", F.lit(0).alias("n_words"), (F.col("line_start") * 2 + F.col("size")).alias("start"),
-            F.lit(0).alias("times"), F.col("line_start").alias("line"), F.lit(0).alias("mask"),
-            (
-                F.col("line_start").cast("bigint") * 16 + (F.col("line_end") - F.col("line_start")) * 4
-                + (F.col("size") - 1) * 2 + (F.col("digit") > 0).cast("int")
-            ).alias("unit"),
-        )
-        found = found.unionByName(more, allowMissingColumns=True)
-    met = _met(found.repartition(*DOC), keep).select(*CHUNK, "ref", "n_words", "n", F.explode(units).alias("u"))
+    code, begin = F.col("unit"), F.floor(F.col("unit") / 16).cast("int")
+    given = F.struct(
+        begin.alias("line_start"), (F.floor(code / 2) % 2 + 1).cast("int").alias("size"),
+        (begin + F.floor(code / 4) % 4).cast("int").alias("line_end"),
+        (code % 2 * DIGIT_SCORE).cast("int").alias("digit"),
+    )
+    units = F.when(code.isNotNull(), F.array(given)).otherwise(units)
+    more = extra.select(
+        *CHUNK, "ref", F.lit(0).alias("n_words"), (F.col("line_start") * 2 + F.col("size")).alias("start"),
+        F.lit(0).alias("times"), F.col("line_start").alias("line"), F.lit(0).alias("mask"),
+        (
+            F.col("line_start").cast("bigint") * 16 + (F.col("line_end") - F.col("line_start")) * 4
+            + (F.col("size") - 1) * 2 + (F.col("digit") > 0).cast("int")
+        ).alias("unit"),
+    )
+    found = found.unionByName(more, allowMissingColumns=True)
+    met = _met(found.repartition(*DOC), ["unit"]).select(*CHUNK, "ref", "n_words", "n", F.explode(units).alias("u"))
     return _by_query(met.select(*CHUNK, "u.*", "ref", "n_words", "n"), refs, UNIT, bonus)
 
 
 def chunk_hits(found: DataFrame, refs: DataFrame, bonus: int) -> DataFrame:
     """Points of each chunk and query with a hit."""
-    return _by_query(_met(found.repartition(*DOC)), refs, CHUNK, bonus)
+    return _by_query(_met(_of_refs(found, refs).repartition(*DOC)), refs, CHUNK, bonus)
 
 
 def leading_units(chunks: DataFrame, per_chunk: int) -> DataFrame:

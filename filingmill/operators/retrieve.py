@@ -143,7 +143,7 @@ def selected_units(
     known = known.unionByName(fixed_table(
         chunks.sparkSession, ["ref", "section_key", "query_index"],
         [(_QUERIES, s, i) for s, i in asked] + [(_SECTIONS, s, -1) for s, q in queries.items() if q] or [(-9, "", 0)],
-    ))
+    ), allowMissingColumns=True)
     rows = lexicon.unit_hits(found, known, UNIT_BONUS, extra)
     score = F.col("hit") + F.col("digit")
     ranked = _row_number(rows.withColumn("score", score), [*scope, "query_index"], [F.desc("score"), *place])

@@ -3,7 +3,10 @@
 import random
 import re
 
+import numpy as np
+
 from filingmill.operators import lexicon, retrieve
+from filingmill.operators import points as P
 
 CHUNK = "company_id string, document_id string, chunk_index int, page_start int, page_end int, content string"
 WORDS = ["net", "debt", "netdebt", "of", "the", "x", "größe", "50%", "year", "on", "a_b", "years", "7"]
@@ -130,3 +133,46 @@ def test_words_left_out_match_nothing(spark):
     assert {tuple(r) for r in every.collect() if r.word in matched} <= {tuple(r) for r in some.collect()}
     assert {r.word for r in some.select("word").collect()}.isdisjoint({"blank", "zeile", "koo", "mid", "it"})
     assert some.where("chunk_index = 2").count() == 0
+
+
+def test_a_posting_has_a_row_per_element_not_per_phrase(spark):
+    """Phrases that share a first word share its rows."""
+    chunks = spark.createDataFrame(
+        [("c", f"d{i}", 1, "the year of the debt") for i in range(20)],
+        "company_id string, document_id string, chunk_index int, content string",
+    )
+    few, many = ({"s": [f"the {w}" for w in words]} for words in (["year"], [f"year{i}" for i in range(40)]))
+    rows = {len(q["s"]): lexicon.occurrences(chunks, q)[0].count() for q in (few, many)}
+    # Twice "the" of any phrase; "year" as a token and as the second word of the one.
+    assert rows == {1: 20 * 4, 40: 20 * 2}
+
+
+def test_points_on_arrays_are_those_on_rows(spark):
+    """Chunks that go over batches, that come twice, and that have null keys."""
+    rows, _ = frame(spark, seed=11)
+    rows += [*rows[:9], ("c", None, 1, 1, 1, "net debt\nof the year 7"), (None, "d1", 1, 1, 1, "debt of the year, 50% net debt")]
+    rows += [("c", "long", 1, 1, 1, "\n".join(r[-1] for r in rows if r[-1]))]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    queries = phrases(60, seed=2) | {"twice": ["net net debt", "the 7 net", "netdebt", "of the year years on"]}
+    found, refs = lexicon.occurrences(chunks, queries)
+    none = chunks.where("false").selectExpr(*lexicon.CHUNK, *(f"0 AS {c}" for c in ("line_start", "size", "line_end", "digit", "ref")))
+    key = lambda rows: sorted(map(str, rows.collect()))
+    want = key(lexicon.unit_hits(found, refs, 60, none))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (3, 50, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert key(lexicon.unit_hits(found, refs, 60)) == want and len(want) > 2000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_codes_tell_rows_apart():
+    huge = np.array([0, 1 << 40, 0, 1 << 40, 5])
+    code = P.coded(huge, np.array([-3, 1 << 30, -3, 0, -3]), huge)
+    assert code[0] == code[2] and len(set(code.tolist())) == 4
+    order, edges = P.grouped(code)
+    assert sorted(np.diff([*edges, 5]).tolist()) == [1, 1, 1, 2]
+    assert [len(x) for x in P.grouped(code[:0])] == [0, 0]
+    rows, items = P.Lists([(1, 7), (3, 8), (1, 9)], 5).of(np.array([3, 0, 1, 1]))
+    assert rows.tolist() == [0, 2, 2, 3, 3] and items.tolist() == [8, 7, 9, 7, 9]
