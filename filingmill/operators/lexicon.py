@@ -93,9 +93,10 @@ def postings(chunks: DataFrame, holding: Sequence[str] | None = None) -> DataFra
     Words that hold none of the strings ``holding`` are left out, if given.
     """
     has = lambda text: F.lit(True) if holding is None else T.contains_any(text, holding)
-    chunks = chunks.where(has(F.lower("content")))
-    clean = F.split(F.regexp_replace(F.lower("content"), r"[^\p{L}\p{N}%₹\n]+", " "), "\n")
-    rows = compute_once(line_marks(chunks, CHUNK), clean=F.transform(clean, lambda x: F.trim(x)))
+    # A filter would work out the lower case for each string again.
+    chunks = compute_once(chunks.select(*CHUNK, "content"), lower=F.lower("content")).where(has(F.col("lower")))
+    clean = F.split(F.regexp_replace("lower", r"[^\p{L}\p{N}%₹\n]+", " "), "\n")
+    rows = compute_once(line_marks(chunks, [*CHUNK, "lower"]), clean=F.transform(clean, lambda x: F.trim(x))).drop("lower")
     # Words before each line: its words are one more than its blanks.
     sizes = F.transform("clean", lambda x: F.when(x == "", 0).otherwise(
         F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
@@ -286,26 +287,33 @@ def units_of(line: Column, mask: Column) -> Column:
     ))
 
 
-def _unit_points(found: DataFrame, refs: DataFrame, bonus: int) -> DataFrame:
+def _unit_points(found: DataFrame, refs: DataFrame, bonus: int, also: Mapping[str, Column]) -> DataFrame:
     """``unit_hits`` of found rows alone, without rows for each ref."""
     kinds = {f.name: f.dataType.simpleString() for f in found.schema}
-    names = [*UNIT, "section_key", "query_index", "hit"]
     counts = points.Points(refs.collect(), bonus, MAX_TOKEN_COUNT, DIGIT_SCORE)
     rows = found.repartition(*DOC).sortWithinPartitions(*CHUNK)
-    return rows.select(*CHUNK, "element", "start", "times", "line", "mask").mapInArrow(
-        lambda batches: points.scored(counts, len(CHUNK), batches, names),
-        ", ".join(f"{c} {kinds.get(c, 'string' if c == 'section_key' else 'int')}" for c in names),
+    units = rows.select(*CHUNK, "element", "start", "times", "line", "mask").mapInArrow(
+        lambda batches: points.scored(counts, len(CHUNK), batches, [*UNIT, "hits"]),
+        ", ".join(f"{c} {kinds.get(c, 'int')}" for c in UNIT) + ", hits array<bigint>",
+    )
+    asked, number = counts.asked or [("", 0)], F.shiftright("h", 32).cast("int")
+    sections, indexes = (F.array(*[F.lit(x) for x in column]) for column in zip(*asked))
+    return units.withColumns(also).select(*UNIT, *also, F.explode("hits").alias("h")).select(
+        *UNIT, *also, F.get(sections, number).alias("section_key"), F.get(indexes, number).alias("query_index"),
+        F.col("h").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("hit"),
     )
 
 
-def unit_hits(found: DataFrame, refs: DataFrame, bonus: int, extra: DataFrame | None = None) -> DataFrame:
+def unit_hits(
+    found: DataFrame, refs: DataFrame, bonus: int, extra: DataFrame | None = None, **also: Column
+) -> DataFrame:
     """Points of each unit and query with a hit, without the digit points.
 
-    ``extra`` are units that get no points: UNIT columns and a ref. Rows are
-    dealt by document once.
+    ``extra`` are units that get no points: UNIT columns and a ref. ``also`` are
+    columns made of a unit, without extra units. Rows are dealt by document once.
     """
     if extra is None:
-        return _unit_points(found, refs, bonus)
+        return _unit_points(found, refs, bonus, also)
     found = _of_refs(found, refs)
     line, mask = F.col("first.line"), F.col("first.mask")
     around = units_of(line, mask)

@@ -59,9 +59,8 @@ class Points:
         refs = [r for r in refs if r.elements and min(r.elements) >= 0]
         used = {(e, r.ref, r.n_words) for r in refs for e in r.elements}
         asked = {(r.section_key, r.query_index): None for r in refs}
+        self.asked = [*asked]
         numbers = {k: n for n, k in enumerate(asked)}
-        self.sections = pa.array([s for s, _ in numbers], pa.string())
-        self.indexes = np.array([i for _, i in numbers], dtype=np.int32)
         size = 1 + max([0, *(max(e, r) for e, r, _ in used)])
         self.refs = Lists([(e, r) for e, r, _ in used], size)
         self.queries = Lists([(r.ref, numbers[r.section_key, r.query_index]) for r in refs], size)
@@ -110,18 +109,25 @@ class Points:
         )
 
     def hits(self, group, element, start, times, line, mask) -> tuple[np.ndarray, ...]:
-        """Group, line_start, size, line_end, digit, query and points of each hit."""
+        """Group, line_start, size, line_end and digit of each unit with a hit, and its hits.
+
+        Those are the place of each unit's first hit, and all hits: the query's
+        number above the 32 bits of its points.
+        """
         *unit, ref, n = self.units(*self.met(group, element, start, times, line, mask))
-        if not len(ref):
-            return (*unit, ref, n)
         place = coded(*unit)
         order, edges = grouped(coded(place, ref))
+        if not len(order):
+            return (*unit, np.zeros(1, dtype=np.int64), n)
         n, first = np.add.reduceat(n[order], edges), order[edges]
         points = np.where(self.n_words[ref[first]] == 0, np.minimum(n, self.most), self.bonus)
         rows, query = self.queries.of(ref[first])
         first, points = first[rows], points[rows]
         order, edges = grouped(coded(place[first], query))
-        return (*(x[first[order[edges]]] for x in unit), query[order[edges]], np.add.reduceat(points[order], edges))
+        hits = (query[order[edges]] << 32) + np.add.reduceat(points[order], edges)
+        first = first[order[edges]]
+        at = np.flatnonzero(np.diff(place[first], prepend=-1))
+        return (*(x[first[at]] for x in unit), np.append(at, len(hits)), hits)
 
 
 def chunk_numbers(batch: pa.RecordBatch, keys: int) -> np.ndarray:
@@ -134,19 +140,20 @@ def chunk_numbers(batch: pa.RecordBatch, keys: int) -> np.ndarray:
 
 
 def scored(points: Points, keys: int, batches: Iterator[pa.RecordBatch], names: Sequence[str]) -> Iterator[pa.RecordBatch]:
-    """The hits of batches whose rows are sorted by chunk.
+    """The units with hits of batches whose rows are sorted by chunk.
 
     Rows have the chunk's columns, then element, start, times, line and mask.
+    A unit's hits are a list, which Spark turns into rows faster than it reads them.
     """
 
     def made(batch: pa.RecordBatch, number: np.ndarray) -> Iterator[pa.RecordBatch]:
         columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[keys:]]
-        group, *unit, query, hit = points.hits(number, *columns)
+        group, *unit, ends, hits = points.hits(number, *columns)
         if len(group):
             row = pa.array(np.searchsorted(number, group))
             yield pa.RecordBatch.from_arrays([
                 *(c.take(row) for c in batch.columns[:keys]), *(pa.array(x.astype(np.int32)) for x in unit),
-                points.sections.take(pa.array(query)), pa.array(points.indexes[query]), pa.array(hit.astype(np.int32)),
+                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(hits)),
             ], names)
 
     held: list[pa.RecordBatch] = []

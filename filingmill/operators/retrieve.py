@@ -89,9 +89,10 @@ def lexical_scores(
     ``index`` and ``words`` are a stored index of the same chunks; without
     them, postings are made on the way.
     """
-    hits = lexicon.unit_hits(*lexicon.occurrences(chunks, queries, index, words), UNIT_BONUS)
+    found = lexicon.occurrences(chunks, queries, index, words)
+    hits = lexicon.unit_hits(*found, UNIT_BONUS, unit_id=unit_id("line_start", "line_end"))
     return hits.select(
-        *CHUNK, "line_start", "line_end", "size", unit_id("line_start", "line_end").alias("unit_id"),
+        *CHUNK, "line_start", "line_end", "size", "unit_id",
         "section_key", "query_index", (F.col("hit") + F.col("digit")).alias("score"),
     )
 
