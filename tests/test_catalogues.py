@@ -62,6 +62,16 @@ def test_section_checks_of_a_frequent_key(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+def test_section_checks_hold_one_section_at_once(spark):
+    """The lists of a pair of blocks become rows in two generated stages, not in one."""
+    sections = spark.range(40).select(F.col("id").alias("order"), F.lit("industry").alias("section_key"))
+    checks = spark.range(30).select(F.col("id").alias("check"), F.lit("long_term").alias("category"))
+    rows = report.section_checks(sections, checks)
+    assert rows.count() == rows.distinct().count() == 40 * 30
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode(_listed") < plan.index("Coalesce") < plan.index("Generate explode(_own")
+
+
 def test_period_kind(spark):
     rows = spark.createDataFrame([("H1FY25",), ("FY25",), ("X",)], "p string")
     got = [tuple(r.k) for r in rows.select(T.period_kind(F.col("p"), M.PERIOD_PREFIXES).alias("k")).collect()]
